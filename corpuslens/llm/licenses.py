@@ -15,6 +15,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Families and short notices that name them (fixed values, public texts).
 NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License"],
@@ -37,12 +39,17 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def grams_of(words: Column) -> Column:
-    """The distinct word pairs and triples; a single word stands for itself."""
-    n = F.size(words)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(2))))).otherwise(words)
-    triples = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(pairs, triples))
+def grams_of(line: Column) -> Column:
+    """The distinct word pairs and triples of a line; a single word stands for itself. The words are bound once, so the
+    work stays in proportion to the line."""
+
+    def pieces(words: Column) -> Column:
+        n, none = F.size(words), F.array().cast("array<string>")
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(words)
+        triples = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))).otherwise(none)
+        return F.array_distinct(F.concat(pairs, triples))
+
+    return F.transform(F.array(words_of(line)), pieces)[0]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -56,23 +63,27 @@ def _notices(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.range(1).select(F.explode(rows).alias("x")).select("x.*")
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, templates: dict[str, list[list[str]]], sample: int = SAMPLE) -> DataFrame:
     """``family, line, held``: notices as they are, with text before or after and without a word at either end; for the
-    unknown class corpus paragraphs, some followed by a third of a notice. ``held``: every fifth row, for calibration."""
+    unknown class corpus paragraphs that hold no notice, some followed by the first quarter of a notice. ``held``: every fifth row, for calibration."""
     notices = _notices(docs)
     lines = paragraphs(docs).select("line").where("length(line) <= 2000")
-    corpus = lines.orderBy(F.xxhash64("line"), "line").limit(sample).select(F.row_number().over(_by_hash()).alias("k"), "line")
+    known = [F.array(*map(F.lit, t)) for texts in templates.values() for t in texts]
+    held = F.transform(F.array(grams_of(F.col("line"))), lambda g: F.greatest(*[F.size(F.array_intersect(g, t)) / F.size(t) for t in known]))[0]
+    corpus = lines.orderBy(F.xxhash64("line"), "line").limit(sample).where(held < CONFIRM).select(F.row_number().over(_by_hash()).alias("k"), "line")
+    corpus, notices = written(corpus, "sample"), written(notices, "notices")  # small tables keep the plans below short
     n = sum(map(len, NOTICES.values()))
     numbered = notices.withColumn("k", F.row_number().over(_by_hash()))
     beside = numbered.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("j", F.col("k") + F.col("at") * n)
     beside = beside.join(corpus.select(F.col("k").alias("j"), F.substring_index("line", " ", 12).alias("other")), "j", "left")
+    beside = written(beside, "beside")
     other, parts = F.coalesce("other", F.lit("")), F.split("line", " ")
     forms = F.array(F.col("line"), F.concat_ws(" ", other, F.col("line")), F.concat_ws(" ", F.col("line"), other), F.concat_ws(" ", F.lit("Copyright 2024."), "line"))
     shorter = F.when(F.size(parts) > 6, F.array(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " "), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " "))).otherwise(F.array().cast("array<string>"))
     good = beside.select("family", F.explode(F.array_union(forms, shorter)).alias("line"))
-    half = beside.select(F.lit(UNKNOWN).alias("family"), F.concat_ws(" ", other, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(parts) / 3).cast("int"))), " ")).alias("line"))
+    half = beside.select(F.lit(UNKNOWN).alias("family"), F.concat_ws(" ", other, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(parts) / 4).cast("int"))), " ")).alias("line"))
     rows = good.unionByName(half).unionByName(corpus.select(F.lit(UNKNOWN).alias("family"), "line")).distinct()
-    return rows.withColumn("held", F.pmod(F.xxhash64("line"), F.lit(5)) == 0)
+    return written(rows.withColumn("held", F.pmod(F.xxhash64("line"), F.lit(5)) == 0), "training")
 
 
 def _by_hash() -> WindowSpec:
@@ -84,22 +95,23 @@ class Classifier:
     """Weights by gram, intercepts and the calibrated bound, all on the driver: their number is that of the notices' grams."""
 
     def __init__(self, docs: DataFrame, sample: int = SAMPLE) -> None:
-        grams = _notices(docs).select("family", grams_of(words_of(F.col("line"))).alias("grams")).collect()
+        grams = _notices(docs).select("family", grams_of(F.col("line")).alias("grams")).collect()
         self.vocabulary = sorted({g for r in grams for g in r.grams})
         self.templates = {f: [list(r.grams) for r in grams if r.family == f] for f in NOTICES}
         self.families = [*NOTICES, UNKNOWN]
-        rows = training_rows(docs, sample).select("family", "held", F.array_intersect(grams_of(words_of(F.col("line"))), self._known()).alias("grams"))
+        rows = written(training_rows(docs, self.templates, sample).select("family", "held", F.array_intersect(grams_of(F.col("line")), self._known()).alias("grams")), "features")
         label = reduce(lambda c, f: c.when(F.col("family") == f, float(self.families.index(f))), self.families, F).cast("double")
         present = F.transform(self._known(), lambda g: F.array_contains("grams", g).cast("double"))
-        data = rows.select("held", label.alias("label"), array_to_vector(present).alias("features")).repartition(4, "label").cache()
-        model = LogisticRegression(maxIter=60, regParam=1e-3, elasticNetParam=0.2, family="multinomial").fit(data.where("not held"))
+        data = rows.select("held", label.alias("label"), array_to_vector(present).alias("features")).coalesce(1).cache()
+        model = LogisticRegression(maxIter=40, regParam=2e-4, elasticNetParam=0.2, family="multinomial").fit(data.where("not held"))
         weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
         data.unpersist()
         self.bias = [round(float(x), 6) for x in bias]
         self.weights = {g: [round(float(x), 6) for x in weights[:, i]] for i, g in enumerate(self.vocabulary) if abs(weights[:, i]).max() > 1e-6}
         held = self.predict(rows.where("held")).where((F.col("family") == UNKNOWN) & (F.col("guess") != UNKNOWN))
-        #: A family's probability must exceed what any held-out unknown row reaches, and a half.
-        self.bound = min(0.95, max(0.5, held.agg(F.max("probability")).first()[0] or 0.0))
+        #: A family's probability must exceed what all but one in twenty of the held-out unknown rows that are taken for
+        #: a family reach, and a half.
+        self.bound = min(0.9, max(0.5, held.agg(F.percentile("probability", F.lit(0.95))).first()[0] or 0.0))
 
     def _known(self) -> Column:
         return F.array(*map(F.lit, self.vocabulary))
@@ -109,10 +121,15 @@ class Classifier:
         table = F.create_map(*[x for g, w in self.weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))])
         start = F.array(*map(F.lit, self.bias))
         total = F.aggregate("grams", start, lambda a, g: F.zip_with(a, F.coalesce(F.element_at(table, g), F.array(*[F.lit(0.0)] * len(self.bias))), lambda x, y: x + y))
-        scored = rows.withColumn("_s", total).withColumn("_top", F.array_max("_s"))
-        p = 1 / F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-        guess = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("_s", F.col("_top")).cast("int"))
-        return scored.select(*[F.col(c) for c in rows.columns], guess.alias("guess"), F.round(p, 6).alias("probability"))
+        names = F.array(*map(F.lit, self.families))
+
+        def best(s: Column) -> Column:
+            top = F.array_max(s)
+            share = F.transform(F.array(top), lambda t: 1 / F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - t)))[0]
+            return F.struct(F.element_at(names, F.array_position(s, top).cast("int")).alias("guess"), F.round(share, 6).alias("probability"))
+
+        bound = F.transform(F.array(total), best)[0]  # the sums are bound once
+        return rows.select("*", bound.alias("_best")).select(*rows.columns, "_best.guess", "_best.probability")
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -123,7 +140,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     whole; repeated rows give repeated results; null ids stay. A table without text trains on the notices alone.
     """
     model = Classifier(docs, sample)
-    grams = grams_of(words_of(F.col("line")))
+    grams = grams_of(F.col("line"))
     rows = paragraphs(docs).select("doc_id", "paragraph", F.array_intersect(grams, model._known()).alias("grams")).where("size(grams) > 0")
     found = model.predict(rows).where((F.col("guess") != UNKNOWN) & (F.col("probability") > model.bound))
     cases = F.lit(0.0)
