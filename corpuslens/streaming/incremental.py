@@ -1,0 +1,19 @@
+"""An extension: signatures of files that keep arriving. Each micro-batch appends the signatures of its files to a table;
+clusters are built from that table by the batch engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..config import DEFAULT, Config
+from ..operators.similarity import signatures, with_shingles
+
+
+def append_signatures(files: DataFrame, table: str, checkpoint: str, config: Config = DEFAULT) -> StreamingQuery:
+    """files: a streaming frame with ``file_index, content``. A batch that is run again writes its own folder again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        signatures(with_shingles(batch, config), config).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
