@@ -6,6 +6,11 @@ Spark's binary reader, one task for many files.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,11 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".md") -> list[str]
     return sorted(found)
 
 
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(content=[Path(re.sub("^file:/+", "/", p)).read_bytes() for p in batch["path"]])
+
+
 def scan(spark: SparkSession, root: str, config: Config = DEFAULT) -> DataFrame:
     """``file_index, marketplace, plugin, relative_path, full_path, content`` of the Markdown files of every collection
     (folder of ``root`` that isn't hidden). Paths with ``backup`` in them and short files are left out; bytes that are no
@@ -48,7 +58,13 @@ def scan(spark: SparkSession, root: str, config: Config = DEFAULT) -> DataFrame:
         fs_root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         base = fs_root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(fs_root).toString().rstrip("/")
         names = spark.createDataFrame([(p, f"{base}/{p}") for p in listed], "relative_path string, full_path string")
-        raw = spark.read.format("binaryFile").load([f"{base}/{p}".replace("{", "\\{").replace("[", "\\[") for p in listed])
+        hidden = [p for p in listed if any(x.startswith(("_", ".")) for x in p.split("/"))]
+        plain = sorted(set(listed) - set(hidden))
+        escaped = [re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{base}/{p}") for p in plain]
+        raw = spark.read.format("binaryFile").load(escaped).select("path", "content") if plain else spark.createDataFrame([], "path string, content binary")
+        if hidden:  # Spark's readers skip these names; they are opened by path
+            own = spark.createDataFrame([(f"{base}/{p}",) for p in hidden], "path string").repartition(min(len(hidden), 200))
+            raw = raw.unionByName(own.mapInPandas(_opened, "path string, content binary"))
         text = F.make_valid_utf8(F.col("content").cast("string"))
         clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
         rows = names.join(raw.select(clean(F.col("path")).alias("_p"), text.alias("content")), clean(F.col("full_path")) == F.col("_p")).drop("_p")
