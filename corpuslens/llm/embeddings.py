@@ -166,6 +166,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape:
     lists = written(nodes.mapInArrow(_lists(pivots, near, seed), "node string, copies long, vector binary, keys array<long>"), "lists")
     entries = lists.select("node", "copies", "vector", "keys", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    sizes = written(sizes, "sizes")
     entries = entries.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("one"), F.greatest(x, "block").alias("two")))
     entries = entries.select("key", "node", "copies", "vector", "keys", "block", F.explode(meet).alias("m")).select("key", "m.one", "m.two", "block", "node", "copies", "vector", "keys")
@@ -177,5 +178,6 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape:
     state = state.select(F.col("node").alias("_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_root", "node").alias("_root"))
     rooted = written(rows.select("vec_id", "node").join(state, F.col("node") == F.col("_node"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "_root"), "rooted")
     least = rooted.where("_root is not null").groupBy(F.col("_root").alias("r")).agg(F.min("vec_id").alias("least"))
+    least = written(least, "components")
     out = rooted.join(least, F.col("_root") == F.col("r"), "left").withColumn("component_id", F.when(F.col("_root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

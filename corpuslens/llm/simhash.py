@@ -122,6 +122,7 @@ def covering_edges(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64))).alias("key")) for i, m in enumerate(masks)]))
     first = distinct.select("fp", table.alias("x")).select("x.t", "x.key", "fp")
     full = first.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    full = written(full, "buckets")
     first = first.join(full, ["t", "key"])
     # A pair in a large bucket differs outside its mask only, so the masks cover it again there.
     finer = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("sub"), F.xxhash64(F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))).alias("rest")) for i, m in enumerate(masks)])
@@ -146,6 +147,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = rows.join(roots, F.col("fingerprint") == F.col("node"), "left").select("doc_id", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(least, "components")  # a side of its own, so that a hot component can be split
     out = rooted.join(least, "root")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -140,19 +140,23 @@ class Repeats:
     def __init__(self, docs: DataFrame) -> None:
         base = written(docs.select("doc_id", "text").mapInArrow(_base, "doc_id long, n_words long, sha string, anchors array<long>"), "anchors")
         named = base.where(f"doc_id is not null and n_words >= {SPAN}")
-        owners = named.groupBy("sha").agg(F.min("doc_id").alias("owner"))
+        # Grouped sides are written before a join on their key: a side read from a table can be split where a key is hot.
+        owners = named.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+        owners = written(owners.drop("last"), "owners")
         #: doc_id, sha of texts that a smaller doc_id has too, word for word.
         self.copies = written(named.select("doc_id", "sha").join(owners, "sha").where("doc_id > owner").select("doc_id", "sha").distinct(), "copies")
         anchors = named.select("doc_id", "sha", F.explode("anchors").alias("anchor"))
         one = F.xxhash64("sha").alias("text")
         recurring = anchors.select("anchor", one).groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("anchor")
+        recurring = written(recurring, "recurring")
         held = anchors.join(recurring, "anchor").groupBy("doc_id", "sha").agg(F.collect_list("anchor").alias("anchors"))
         held = held.join(self.copies, ["doc_id", "sha"], "left_anti").select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"), "anchors")
         texts = docs.select("doc_id", "text").join(held, F.col("doc_id") == F.col("_d"))
         #: Candidates with their texts; a repeated row stays repeated, and a doc_id with several texts has each of them.
         self.texts = written(texts.select("doc_id", "text", F.col("_s").alias("sha"), "anchors"), "candidates")
         found = self.texts.mapInArrow(_windows, "w1 long, w2 long, doc_id long, at int, sha string")
-        least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"))
+        least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+        least = written(least.drop("last"), "confirmed")
         hits = found.join(least, ["w1", "w2"]).where("doc_id > owner")
         #: doc_id, short (of sha), starts: windows whose words a document with a smaller doc_id has too.
         self.hits = written(hits.groupBy("doc_id", F.col("sha").alias("short")).agg(F.collect_set("at").alias("starts")), "windows")

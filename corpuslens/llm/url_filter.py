@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most distinct host sizes (labels) and path lengths of rules; their number is checked.
 MAX_SHAPES = 512
@@ -61,6 +63,7 @@ def filter_urls(df: DataFrame, url: str, rules: DataFrame, into: str = "url_filt
     asked = asked.withColumn("prefix", F.substring("full", 1, 8))
     found = asked.join(known, "prefix").where("full = digest")
     found = found.groupBy("_h", "_p").agg(F.max(F.struct(F.length("rule"), "rule", "verdict")).alias("_best"))
+    found = written(found, "rules")  # a side of its own, so that a hot host can be split
     rows = rows.withColumns({f"_left{k}": v for k, v in key.items()})
     out = rows.join(found, (F.col("_left_h") == F.col("_h")) & (F.col("_left_p") == F.col("_p")), "left")
     judged = F.struct(F.col(f"`{into}`.host").alias("host"), F.col(f"`{into}`.path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
