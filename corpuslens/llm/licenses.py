@@ -52,6 +52,28 @@ def grams_of(line: Column) -> Column:
     return F.transform(F.array(words_of(line)), pieces)[0]
 
 
+def known_grams_of(line: Column, vocabulary: list[str]) -> Column:
+    """The grams of a line that the vocabulary holds, as ``array_intersect(grams_of(line), vocabulary)`` has them. Pairs and
+    triples are only built where a word that begins a known gram stands before one that follows in one."""
+    split = [g.split(" ") for g in vocabulary]
+    first, second = sorted({g[0] for g in split if len(g) > 1}), sorted({g[1] for g in split if len(g) > 1})
+    known = F.array(*map(F.lit, vocabulary))
+
+    def pieces(words: Column) -> Column:
+        n, none = F.size(words), F.array().cast("array<string>")
+        starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(words, i).isin(first) & F.element_at(words, i + 1).isin(second))
+
+        def around(at: Column) -> Column:
+            pairs = F.transform(at, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+            triples = F.transform(F.filter(at, lambda i: i < n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
+            return F.concat(pairs, triples)
+
+        found = F.transform(F.array(starts), around)[0]
+        return F.array_intersect(F.when(n > 1, found).when(n == 1, words).otherwise(none), known)
+
+    return F.transform(F.array(words_of(line)), pieces)[0]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, paragraph`` (line number from 0) and ``line`` of every line with text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
@@ -140,8 +162,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     whole; repeated rows give repeated results; null ids stay. A table without text trains on the notices alone.
     """
     model = Classifier(docs, sample)
-    grams = grams_of(F.col("line"))
-    rows = paragraphs(docs).select("doc_id", "paragraph", F.array_intersect(grams, model._known()).alias("grams")).where("size(grams) > 0")
+    rows = paragraphs(docs).select("doc_id", "paragraph", known_grams_of(F.col("line"), model.vocabulary).alias("grams")).where("size(grams) > 0")
     found = model.predict(rows).where((F.col("guess") != UNKNOWN) & (F.col("probability") > model.bound))
     cases = F.lit(0.0)
     for family, templates in model.templates.items():

@@ -342,3 +342,13 @@ def test_pipeline(spark, sf_dir):
     for r in packed.collect():
         got[r.doc_id] += r.length
     assert got == ids
+
+
+def test_known_grams_are_those_of_the_whole_line(spark):
+    lines = ["", " . ", "the", "Released under the MIT License.", "so the work is licensed under the GNU General Public License", "under the the under", "all rights"]
+    vocabulary = ["under the", "the work", "is licensed under", "licensed under", "all rights", "under the gnu", "the"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    known = F.array(*map(F.lit, vocabulary))
+    pairs = rows.select(F.array_sort(F.array_intersect(licenses.grams_of(F.col("line")), known)).alias("whole"), F.array_sort(licenses.known_grams_of(F.col("line"), vocabulary)).alias("found")).collect()
+    assert [r.found for r in pairs] == [r.whole for r in pairs]
+    assert sum(map(len, (r.found for r in pairs))) > 5
