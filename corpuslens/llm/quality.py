@@ -1,14 +1,15 @@
 """Quality rules: counts of words, symbols and repeats, and an n-gram model's perplexity.
 
-The model is a modified Kneser-Ney 4-gram model of letters for each language, counted by Spark over all texts. Letters
-are 64 codes (a-z, one code for capitals, digits, white space, common marks, classes of other bytes), so an n-gram is a
-24-bit number and a language's tables have a proven bound: at most 2^18 contexts of 64 probabilities. It is kept as
-sorted arrays of context numbers with a row of costs each. Every language has a lower and an upper band of bits a letter,
-set from the spread over its documents.
+The model is an interpolated modified Kneser-Ney model of word pairs, one for all languages, counted by Spark over all
+texts. Words are runs of letters and digits, runs of marks count as words of their own, and a text begins after a start
+mark. Pairs are kept as 64-bit hashes in partitioned tables that grow with the corpus; texts are scored by a join with
+them, so no task or driver holds the model. The bits of a text are divided by its words, marks left out: junk that strews
+marks between words costs more a word. Every language has a lower and an upper band, set from the spread over its documents.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,56 +20,61 @@ from pyspark.sql import functions as F
 from .common import WordHashes, binaries, covered, windows, written
 
 MIN_WORDS, REPEAT, MAX_REPEAT_PERCENT = 20, 8, 30
-#: The band: so many times the distance from the median to the quartiles, at least LEAST bits, more for short texts.
-WIDTH, LEAST, SHORT = 12.0, 0.2, 300.0
-#: Bits a byte over the mean of its language from which a text is looked at sentence by sentence.
-FOREIGN = 0.05
-#: Bytes of models that go to the executors together; more languages than fit are scored in several rounds.
-MODEL_BYTES = 96 << 20
-ORDER, LETTERS = 4, 64
+#: The band: so many times the distance from the median to the quartiles, at least LEAST bits, more for texts of few words.
+WIDTH, LEAST, SHORT = 12.0, 0.2, 50.0
+ORDER, LETTERS = 4, 64  # of kneser_ney()
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_WORDS = re.compile(rb"[A-Za-z0-9\x80-\xff']+|[^\sA-Za-z0-9\x80-\xff']+")
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
+_SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
+_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+#: The start mark; no word has a line end in it.
+START = WordHashes()[b"\n"]
 
 
-def letter_codes() -> np.ndarray:
-    """The code of each byte: 0 for control bytes, marks of their own, digits together, capitals together."""
-    codes = np.zeros(256, np.uint8)
-    for i, c in enumerate(" \nabcdefghijklmnopqrstuvwxyz.,;:!?'\"-()|#*$%&<>@/_="):
-        codes[ord(c)] = i + 1
-    codes[ord("A") : ord("Z") + 1] = 54
-    codes[ord("0") : ord("9") + 1] = 55
-    codes[[9, 11, 12, 13]] = codes[ord(" ")]
-    codes[128:192] = 56 + np.arange(64) % 7
-    codes[192:256] = 63
-    return codes
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different word pairs with their numbers."""
+    known = WordHashes()
+    for batch in batches:
+        keys, a, b, n, size = [], [], [], [], 0
+        for key, text in zip(batch.column("key").to_pylist(), binaries(batch.column("text")), strict=True):
+            words = known.of([b"\n", *_WORDS.findall(text)])
+            if len(words) < 2:
+                continue
+            _, first, times = np.unique(windows(words, 2), return_index=True, return_counts=True)
+            keys.append(np.full(len(first), key, np.int64))
+            a.append(words[first].view(np.int64))
+            b.append(words[first + 1].view(np.int64))
+            n.append(times)
+            size += len(first)
+            if size > 500_000:
+                yield _table(keys, a, b, n)
+                keys, a, b, n, size = [], [], [], [], 0
+        if keys:
+            yield _table(keys, a, b, n)
 
 
-_CODES = letter_codes()
-_SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+def _table(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], ["key", "a", "b", "n"])
 
 
-def _keys(text: bytes) -> np.ndarray:
-    """The 4-gram that ends at each byte; three line ends stand before the text."""
-    c = np.empty(len(text) + 3, np.uint32)
-    c[:3] = _CODES[10]
-    c[3:] = _CODES[np.frombuffer(text, np.uint8)]
-    return c[:-3] << 18 | c[1:-2] << 12 | c[2:-1] << 6 | c[3:]
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("key", F.xxhash64(F.coalesce("lang", F.lit("")), "text"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), binaries(batch.column("text")), strict=True):
-            if text:
-                by.setdefault(lang or "", []).append(_keys(text))
-        for lang, keys in by.items():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """``key, a, b, n``: how often word b follows word a in each text (hashes); key: of language and text."""
+    return _keyed(docs).where("text is not null").select("key", "text").mapInArrow(_pairs, "key long, a long, b long, n long")
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """What counts of 0, 1, 2 and 3 or more lose (Chen and Goodman, 1999); from smoothed counts of counts."""
-    n1, n2, n3, n4 = (float((counts == i).sum()) + 1.0 for i in (1, 2, 3, 4))
+    return _losses([int((counts == i).sum()) for i in (1, 2, 3, 4)])
+
+
+def _losses(of: list[int]) -> np.ndarray:
+    n1, n2, n3, n4 = (x + 1.0 for x in of)
     y = n1 / (n1 + 2 * n2)
     d = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
     return np.array([0.0, *(min(max(d[i], 0.1), i - 0.1) for i in (1, 2, 3))])
@@ -96,20 +102,32 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return contexts.astype(np.int64), -np.log2(np.vstack([rows, mean])).astype(np.float32)
 
 
-def _train(table: pa.Table) -> pa.Table:
-    lang, gram, n = table.column("lang")[0].as_py(), table.column("gram").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(gram)
-    contexts, costs = kneser_ney(gram[order], n[order])
-    gram, n = gram[order], n[order]
-    mean = float((costs[np.searchsorted(contexts, gram >> 6), gram & 63] * n).sum() / n.sum())
-    return pa.table({"lang": [lang], "contexts": [contexts.astype("<i4").tobytes()], "costs": [costs.astype("<f4").tobytes()], "mean": [mean]})
+def _of_counts(rows: DataFrame, name: str) -> np.ndarray:
+    """The discounts of a table's counts."""
+    found = {r[0]: r[1] for r in rows.where(F.col(name) <= 4).groupBy(name).count().collect()}
+    return _losses([found.get(i, 0) for i in (1, 2, 3, 4)])
+
 
+def _lost(n: Column, loss: np.ndarray) -> Column:
+    return F.when(n == 1, float(loss[1])).when(n == 2, float(loss[2])).otherwise(float(loss[3]))
 
-def language_models(docs: DataFrame) -> DataFrame:
-    """``lang, contexts, costs, mean`` (bits a byte over all it was counted from), one row a language (null counts as the empty one). Counts cover all bytes of all texts;
-    they are summed in each task before they are shuffled. A language's table has at most 2^24 rows."""
-    grams = docs.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return grams.groupBy("lang").applyInArrow(_train, "lang string, contexts binary, costs binary, mean double")
+
+def pair_costs(docs: DataFrame) -> DataFrame:
+    """``a, b, cost`` (millionths of a bit) of every word pair of the texts: modified Kneser-Ney of order two over all
+    rows, interpolated with the number of different words before b, and that with an even share for each word."""
+    pairs = written(word_pairs(docs).groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    loss = _of_counts(pairs, "n")
+    once = [F.count(F.when(c, 1)) for c in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
+    # Whole numbers are summed, so the order of the rows changes no cost.
+    freed = sum((c * float(loss[i]) for i, c in enumerate(once, 1)), F.lit(0.0))
+    before = pairs.groupBy("a").agg(F.sum("n").alias("total"), freed.alias("freed"))
+    after = written(pairs.groupBy("b").agg(F.count("*").alias("kinds")), "words")
+    low = _of_counts(after, "kinds")
+    all_ = after.agg(F.sum("kinds").alias("n"), F.count("*").alias("words"), *[F.count(F.when(c, 1)).alias(f"k{i}") for i, c in enumerate((F.col("kinds") == 1, F.col("kinds") == 2, F.col("kinds") > 2), 1)]).first()
+    total, rest = float(all_.n or 1), sum(float(low[i]) * all_[f"k{i}"] for i in (1, 2, 3))
+    after = after.select("b", ((F.col("kinds") - _lost(F.col("kinds"), low)) / total + rest / total / max(1, all_.words)).alias("lower"))
+    share = (F.col("n") - _lost(F.col("n"), loss) + F.col("freed") * F.col("lower")) / F.col("total")
+    return pairs.join(before, "a").join(after, "b").select("a", "b", F.round(-F.log2(share) * 1_000_000).cast("long").alias("cost"))
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -126,6 +144,12 @@ def repeated_words(hashes: np.ndarray) -> int:
     return int(covered(np.flatnonzero(again), REPEAT, len(hashes)).sum())
 
 
+def n_terms(text: bytes) -> int:
+    """Runs of letters and digits."""
+    of = _LETTERS[np.frombuffer(text, np.uint8)]
+    return int(of[:1].sum() + (of[1:] & ~of[:-1]).sum())
+
+
 def counts_of(text: bytes, known: WordHashes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words, b = text.split(), np.frombuffer(text, np.uint8)
@@ -134,95 +158,26 @@ def counts_of(text: bytes, known: WordHashes) -> tuple[int, int, int, int, int]:
     return len(words), chars, int(_SYMBOLS[b].sum()), len(lines) - len(set(lines)), repeated_words(known.of(words))
 
 
-class _Model:
-    def __init__(self, contexts: bytes, costs: bytes, mean: float) -> None:
-        self.mean = mean
-        known = np.frombuffer(contexts, "<i4")
-        self.costs = np.frombuffer(costs, "<f4").reshape(-1, LETTERS)
-        self.row = np.full(1 << 6 * (ORDER - 1), len(known), np.int32)
-        self.row[known] = np.arange(len(known), dtype=np.int32)
-        self.flat = self.costs.ravel()
-
-    def costs_of(self, keys: np.ndarray) -> np.ndarray:
-        """The cost of each byte, given the 4-gram that ends there."""
-        return self.flat[(self.row[keys >> np.uint32(6)].astype(np.int64) << 6) + (keys & np.uint32(63))]
-
-
-def _bits(text: bytes, lang: str, models: dict[str, _Model]) -> float:
-    """Mean bits a byte. A text that its own language's model finds unlikely is taken sentence by sentence, each
-    under the language that explains it best: a foreign passage is no fault."""
-    total = 0.0
-    for s in range(0, len(text), 1 << 20):
-        lead = text[max(0, s - 3) : s]
-        part = text[s : s + (1 << 20)]
-        keys = _keys(lead + part)[len(lead) :]
-        own = models[lang].costs_of(keys)
-        bits = float(own.sum(dtype=np.float64))
-        if bits > (models[lang].mean + FOREIGN) * len(part) and len(models) > 1:
-            b = np.frombuffer(part, np.uint8)
-            ends = np.flatnonzero((b[:-1] == 46) & (b[1:] == 32) | (b[:-1] == 10)) + 1  # after a full stop or a line
-            starts = np.concatenate([[0], ends])
-            sums = [np.add.reduceat(m.costs_of(keys), starts, dtype=np.float64) for m in models.values()]
-            bits = float(np.minimum.reduce(sums).sum())
-        total += bits
-    return round(total / len(text), 6)
-
-
-def _load(held: dict[str, tuple[bytes, bytes, float]]) -> dict[str, _Model]:
-    return {lang: _Model(*m) for lang, m in sorted(held.items())}
-
-
-def _score(models):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, known = _load(models.value), WordHashes()
-        for batch in batches:
-            texts, langs = binaries(batch.column("text")), batch.column("lang").to_pylist()
-            counts, bits = [], []
-            for text, lang in zip(texts, langs, strict=True):
-                counts.append(counts_of(text, known))
-                lang = lang or ""
-                bits.append(_bits(text, lang, loaded) if text and lang in loaded else None)
-            columns = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 5
-            size = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x or "" for x in langs], pa.string()), *columns, size, pa.array(bits, pa.float64())], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "bits"])
-
-    return run
-
-
 def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _rounds(models: DataFrame) -> Iterator[tuple[list[str], dict[str, tuple[bytes, bytes, float]]]]:
-    """The languages in groups whose models stay under MODEL_BYTES, with their models."""
-    sizes = models.select("lang", (F.length("costs") + F.length("contexts") + F.lit(1 << 20)).alias("size")).orderBy("lang").collect()
-    rounds: list[list[str]] = []
-    room = 0
-    for r in sizes:
-        if not rounds or r.size > room:
-            rounds.append([])
-            room = MODEL_BYTES
-        rounds[-1].append(r.lang)
-        room -= r.size
-    for langs in rounds or [[]]:
-        own = models.where(F.col("lang").isin(langs)).collect() if langs else []
-        yield langs, {r.lang: (bytes(r.contexts), bytes(r.costs), r.mean) for r in own}
-
-
-def scored(docs: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """``doc_id, lang``, the five counts, ``n_bytes`` and ``bits`` (mean bits a byte under the model of the row's language)
-    of every row. Languages whose models exceed MODEL_BYTES together are scored in rounds, each over its own rows."""
-    models = written(language_models(docs), "models") if models is None else models
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    out, rounds = None, list(_rounds(models))
-    for i, (langs, held) in enumerate(rounds):
-        # Languages without a model (no text at all) go with the first round.
-        others = [x for other, _ in rounds for x in other if x not in held]
-        own = rows if len(rounds) == 1 else rows.where(~F.col("lang").isin(others) if i == 0 else F.col("lang").isin(langs))
-        part = own.mapInArrow(_score(broadcast(held)), f"doc_id long, lang string, {COUNTS}, n_bytes long, bits double")
-        out = part if out is None else out.unionByName(part)
-    return written(out, "scores")
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        texts = binaries(batch.column("text"))
+        counts = [(*counts_of(t, known), n_terms(t)) for t in texts]
+        columns = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 6
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("key"), *columns], ["doc_id", "lang", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_terms"])
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, key``, the five counts, ``n_terms`` and ``bits`` (a word) of every row."""
+    total, copies = F.sum(F.col("n") * F.col("cost")), F.sum(F.when(F.col("a") == np.uint64(START).view(np.int64).item(), F.col("n")))
+    bits = word_pairs(docs).join(pair_costs(docs), ["a", "b"]).groupBy("key").agg((total / copies / 1_000_000).alias("bits"))
+    rows = _keyed(docs).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "key", "text").mapInArrow(_count, f"doc_id long, lang string, key long, {COUNTS}, n_terms long")
+    found = rows.join(bits, "key", "left").withColumn("bits", F.round(F.col("bits") / F.greatest("n_terms", F.lit(1)), 6))
+    return written(found.select("doc_id", "lang", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_terms", "bits"), "scores")
 
 
 def bands(scores: DataFrame) -> DataFrame:
@@ -234,48 +189,28 @@ def bands(scores: DataFrame) -> DataFrame:
     return points.select("lang", q[1].alias("median"), F.greatest(F.lit(LEAST), WIDTH * (q[1] - q[0])).alias("below"), F.greatest(F.lit(LEAST), WIDTH * (q[2] - q[1])).alias("above"))
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    found = scored(docs)
+    limits = bands(found).withColumnRenamed("lang", "_lang")
+    rows = found.join(limits, F.col("lang") == F.col("_lang"), "left").withColumn("base_failed", _base_failed())
+    wide = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_terms", F.lit(1)))
+    inside = (F.col("bits") >= F.col("median") - F.col("below") * wide) & (F.col("bits") <= F.col("median") + F.col("above") * wide)
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits, kept`` of every row.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated 8-word windows. ``kept``: not so, and the bits
-    a byte lie within the language's bands; bands widen for short texts. Null text: no words, not kept. Null language: one
+    a word lie within the language's bands; bands widen for short texts. Null text: no words, not kept. Null language: one
     of its own. Repeated rows are judged alike; ids play no part.
     """
-    found = scored(docs)
-    limits = bands(found).withColumnRenamed("lang", "_lang")
-    rows = found.join(limits, F.col("lang") == F.col("_lang"), "left").withColumn("base_failed", _base_failed())
-    wide = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_bytes", F.lit(1)))
-    inside = (F.col("bits") >= F.col("median") - F.col("below") * wide) & (F.col("bits") <= F.col("median") + F.col("above") * wide)
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "bits", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+    return _judged(docs).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "bits", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all columns. The rules look at language and text only, so each
-    row is judged where it stands, by the same models and bands; null and repeated ids don't matter."""
-    models = written(language_models(docs), "models")
-    limits = {r.lang: (r.median, r.below, r.above) for r in bands(scored(docs, models)).collect()}  # a row a language
-    broadcast, out = docs.sparkSession.sparkContext.broadcast, None
-    for _, held in _rounds(models):
-        shared = broadcast({k: (v, limits.get(k)) for k, v in held.items()})
-
-        @F.pandas_udf("boolean")
-        def good(langs, texts, shared=shared):  # noqa: ANN001, ANN202
-            known, out = WordHashes(), []
-            loaded = _load({k: v[0] for k, v in shared.value.items()})
-            for lang, text in zip(langs, texts, strict=True):
-                lang, text = lang or "", b"" if text is None else text.encode()
-                out.append(lang in loaded and shared.value[lang][1] is not None and _good(text, lang, loaded, shared.value[lang][1], known))
-            return type(texts)(out, dtype=bool)
-
-        part = docs.where(good("lang", "text"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _good(text: bytes, lang: str, models: dict[str, _Model], limit: tuple[float, float, float], known: WordHashes) -> bool:
-    n, _, _, _, again = counts_of(text, known)
-    if n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n:
-        return False
-    wide = (1 + SHORT / len(text)) ** 0.5
-    bits = _bits(text, lang, models)
-    return limit[0] - limit[1] * wide <= bits <= limit[0] + limit[2] * wide
+    """The rows of ``docs`` that :func:`judge` keeps, with all columns. The rules look at language and text only, so rows are
+    found again by a hash of both; null and repeated ids don't matter."""
+    kept = written(_judged(docs).where("kept").select(F.col("key").alias("_kept")).distinct(), "kept")
+    key = F.xxhash64(F.coalesce("lang", F.lit("")), "text")
+    return docs.join(kept, key == F.col("_kept"), "left_semi").where("text is not null")

@@ -352,3 +352,14 @@ def test_known_grams_are_those_of_the_whole_line(spark):
     pairs = rows.select(F.array_sort(F.array_intersect(licenses.grams_of(F.col("line")), known)).alias("whole"), F.array_sort(licenses.known_grams_of(F.col("line"), vocabulary)).alias("found")).collect()
     assert [r.found for r in pairs] == [r.whole for r in pairs]
     assert sum(map(len, (r.found for r in pairs))) > 5
+
+
+def test_quality_rejects_junk_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = quality.judge(docs).where("not base_failed").join(labels, "doc_id", "left").cache()
+    kept = {r.quality: (r.n, r.kept) for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("kept")).collect()}
+    assert kept[1][1] >= 0.995 * kept[1][0]
+    assert kept[0][1] <= 0.05 * kept[0][0]
+    symbols = judged.where("n_symbols > 0.05 * word_chars")
+    assert symbols.where("kept").count() <= 0.03 * symbols.count()
