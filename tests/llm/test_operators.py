@@ -363,3 +363,23 @@ def test_quality_rejects_junk_and_keeps_clean_documents(spark):
     assert kept[0][1] <= 0.05 * kept[0][0]
     symbols = judged.where("n_symbols > 0.05 * word_chars")
     assert symbols.where("kept").count() <= 0.03 * symbols.count()
+
+
+def test_quality_model_grows_and_is_modified_kneser_ney(spark):
+    sizes = []
+    for sf in ("0.001", "0.01"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        sizes.append(quality.pair_costs(docs).count())
+    assert sizes[1] > 3 * sizes[0]
+    texts = ["the cat saw the dog. the end", "the cat saw a dog", "a cat | a dog", "the cat saw the dog. the end"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    pairs = Counter(p for t in texts for w in [["\n", *t.replace(".", " .").split()]] for p in zip(w, w[1:], strict=False))
+    loss, kinds = quality._discounts(np.array(list(pairs.values()))), Counter(b for _, b in pairs)
+    low = quality._discounts(np.array(list(kinds.values())))
+    rest = sum(low[min(k, 3)] for k in kinds.values())
+    lower = {b: (k - low[min(k, 3)] + rest / len(kinds)) / len(pairs) for b, k in kinds.items()}
+    want = []
+    for (a, b), n in pairs.items():
+        own = [m for (c, _), m in pairs.items() if c == a]
+        want.append(-np.log2((n - loss[min(n, 3)] + sum(loss[min(m, 3)] for m in own) * lower[b]) / sum(own)))
+    assert np.allclose(sorted(r.cost / 1e6 for r in quality.pair_costs(docs).collect()), sorted(want), atol=1e-5)
