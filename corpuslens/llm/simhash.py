@@ -15,13 +15,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, written
+from .common import WordHashes, binaries, mixed, windows, written
 from .components import connected_components
 
 RADIUS = 3
 #: A bucket of more fingerprints is spread over the masks once more, by the bits that its own mask leaves out.
 LARGE = 4_096
 SEED = 42
+#: Of the pipeline's stage: words in a shingle, least Jaccard similarity, and MinHash bands of so many rows that bring
+#: texts together (a pair at a similarity of 0.8 misses all bands with a probability of 0.000003).
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
+_TURNS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -152,10 +156,80 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes, known: WordHashes) -> np.ndarray:
+    """Sorted hashes of the different five-word shingles; a shorter text is one shingle."""
+    h = known.of(text.lower().split())
+    return np.unique(windows(h, min(SHINGLE, len(h))) if len(h) else np.zeros(1, np.uint64))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        bands = np.zeros((batch.num_rows, BANDS), np.uint64)
+        for i, text in enumerate(binaries(batch.column("text"))):
+            h, least = shingles(text, known), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+            for s in range(0, len(h), 16_384):
+                least = np.minimum(least, mixed(h[s : s + 16_384, None] * _TURNS).min(axis=0))
+            for row in least.reshape(BANDS, ROWS).T:
+                bands[i] = mixed(bands[i] * np.uint64(0x9E3779B97F4A7C15) + row)
+        column = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), column], ["node", "bands"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        sets = [shingles(t, known).view(np.int64) for t in binaries(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def similar_edges(docs: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between texts (by XXH64), so many that their components are those of all pairs that share a MinHash
+    band and have a Jaccard similarity of SIMILAR or more, computed exactly. The members of a bucket are first compared
+    with its least one; other pairs only where that left a bucket in several components."""
+    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+    signed = texts.mapInArrow(_signed, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
+    members = signed.select("node", F.posexplode("bands").alias("band", "key"))
+    least = members.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = written(members.join(least, ["band", "key"]), "members")
+    wanted = written(members.select("node").distinct(), "wanted")
+    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_shingled, "node long, shingles array<long>")
+    sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
+        both = pairs.distinct().join(one, "a").join(two, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+        return both.where(F.col("_n") >= SIMILAR * (F.size("_a") + F.size("_b") - F.col("_n"))).select("a", "b")
+
+    stars = written(confirmed(members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))), "stars")
+    roots = connected_components(stars)
+    members = members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    rest = written(members.join(open_, ["band", "key"]), "open")
+    other = rest.select("band", "key", F.col("node").alias("b"), F.col("root").alias("_root"))
+    pairs = rest.join(other, ["band", "key"]).where("root != _root and node < b").select(F.col("node").alias("a"), "b")
+    return stars.unionByName(confirmed(pairs))
+
+
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group that links of a similarity of SIMILAR or more join (five-word shingles):
+    the one with the smallest doc_id; ids as in :func:`keep_one`. Null texts are empty ones, and those are alike."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    roots = connected_components(similar_edges(own))
+    rows = own.select("doc_id", F.xxhash64("text").alias("node")).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rows = written(rows, "rooted")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return _named(docs, rows.join(least, "root"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id. Of repeated rows with that
     id one stays. Rows with a null doc_id can't be told apart and stay."""
-    found = near_duplicates(docs, radius).where("doc_id is not null and doc_id = component_id")
+    return _named(docs, near_duplicates(docs, radius))
+
+
+def _named(docs: DataFrame, components: DataFrame) -> DataFrame:
+    found = components.where("doc_id is not null and doc_id = component_id")
     kept = found.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("_kept"), "n")
     kept = written(kept, "kept")
     out = docs.join(kept.select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")

@@ -383,3 +383,36 @@ def test_quality_model_grows_and_is_modified_kneser_ney(spark):
         own = [m for (c, _), m in pairs.items() if c == a]
         want.append(-np.log2((n - loss[min(n, 3)] + sum(loss[min(m, 3)] for m in own) * lower[b]) / sum(own)))
     assert np.allclose(sorted(r.cost / 1e6 for r in quality.pair_costs(docs).collect()), sorted(want), atol=1e-5)
+
+
+def test_pipeline_drops_documents_of_similarity_eight_tenths(spark, sf_dir, odd):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    edited = []
+    for i in range(60):
+        words = [f"t{x}" for x in rng.integers(0, 5000, 120)]
+        edited.append((2 * i, " ".join(words)))
+        for at in rng.choice(120, 1 + i % 5, replace=False):
+            words[at] = "changed"
+        edited.append((2 * i + 1, " ".join(words)))
+    edited = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in edited], "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (documents(spark, sf_dir), odd.where("doc_id is null or doc_id != 3"), odd.where("false"), edited):
+        sets = {}
+        for r in docs.select("doc_id", "text").collect():
+            w = (r.text or "").encode().lower().split()
+            sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))), []).append(r.doc_id)
+        nodes = list(sets)
+        at, near = defaultdict(list), Counter()
+        for i, s in enumerate(nodes):
+            for x in s:
+                near.update((j, i) for j in at[x])
+                at[x].append(i)
+        of = components(range(len(nodes)), [(a, b) for (a, b), n in near.items() if n >= 0.8 * (len(nodes[a]) + len(nodes[b]) - n)])
+        least = {}
+        for i, s in enumerate(nodes):
+            for d in sets[s]:
+                if d is not None:
+                    least[of[i]] = min(least.get(of[i], d), d)
+        kept = rows_of(corpus_pipeline.simhash_dedup(spark, docs, sf_dir), "doc_id")
+        assert kept == Counter([(x,) for x in least.values()] + [(None,) for s in sets.values() for d in s if d is None])
