@@ -33,6 +33,10 @@ UNKNOWN = "unknown"
 #: Corpus paragraphs that stand for the unknown class in training (those with the smallest hashes), and the share of a
 #: notice that a paragraph must hold.
 SAMPLE, CONFIRM = 1_000, 0.7
+#: A notice that runs over several lines is looked for in so many characters on either side of a line's end (marks before
+#: a line's first word not counted), and in so many lines: twice the longest notice, and its words.
+REACH = 2 * max(len(t) for texts in NOTICES.values() for t in texts)
+LINES = max(len(t.split()) for texts in NOTICES.values() for t in texts)
 
 
 def words_of(line: Column) -> Column:
@@ -80,6 +84,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
+def joined(docs: DataFrame) -> DataFrame:
+    """``doc_id, paragraph`` and ``line, rest, before`` of every line that text follows: the line's end, what follows it and
+    the end of the line before, each up to the next line without a word."""
+    marks = r"^[^\p{L}\p{N}]+"
+
+    def around(plain: Column) -> Column:
+        heads = F.transform(plain, lambda x: F.left(x, F.lit(REACH)))
+
+        def one(heads: Column) -> Column:
+            return F.transform(plain, lambda x, i: F.struct(
+                i.alias("paragraph"), F.right(x, F.lit(REACH)).alias("line"),
+                F.left(F.substring_index(F.concat(F.array_join(F.slice(heads, i + 2, F.lit(LINES)), "\n"), F.lit("\n\n")), "\n\n", 1), F.lit(REACH)).alias("rest"),
+                F.when(i > 0, F.right(F.get(plain, i - 1), F.lit(REACH))).otherwise("").alias("before"),
+            ))
+
+        return F.transform(F.array(heads), one)[0]
+
+    # A line end at the start of what follows a line stands for a line without a word.
+    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, marks, ""))
+    rows = docs.select("doc_id", F.explode(F.transform(F.array(lines), around)[0]).alias("x")).select("doc_id", "x.*")
+    return rows.where((F.col("line") != "") & (F.col("rest") != "") & ~F.startswith("rest", F.lit("\n")))
+
+
 def _notices(docs: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("line")) for f, texts in NOTICES.items() for t in texts])
     return docs.sparkSession.range(1).select(F.explode(rows).alias("x")).select("x.*")
@@ -158,7 +185,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, paragraph, family, probability, similarity`` of each paragraph of ``docs`` that is a licence notice.
 
     probability: the family's, above the calibrated bound; similarity: the largest share of one of its notices' grams that
-    the paragraph holds, at least CONFIRM. Null, empty and blank texts have no paragraphs; paragraphs of any length count
+    the paragraph holds, at least CONFIRM. A notice wrapped over several lines has the number of its first one. Null, empty and blank texts have no paragraphs; paragraphs of any length count
     whole; repeated rows give repeated results; null ids stay. A table without text trains on the notices alone.
     """
     model = Classifier(docs, sample)
@@ -169,4 +196,27 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         shares = [F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) / F.lit(len(t)) for t in templates]
         cases = F.when(F.col("guess") == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(cases)
     found = found.withColumn("similarity", F.round(cases, 6)).where(F.col("similarity") >= CONFIRM)
-    return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("guess").alias("family"), "probability", "similarity")
+    columns = ["doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("guess").alias("family"), "probability", "similarity"]
+    return found.select(*columns).unionByName(_wrapped(docs, model).select(*columns))
+
+
+def _wrapped(docs: DataFrame, model: Classifier) -> DataFrame:
+    """Notices that no line holds enough of, but a line with those that follow it: at the line where they begin. The line
+    must add to what follows it, and the line before must not."""
+    rows = joined(docs)
+    whole = F.concat_ws("\n", "line", "rest")
+    rows = rows.withColumn("grams", known_grams_of(whole, model.vocabulary)).where("size(grams) > 1")
+    other = [known_grams_of(x, model.vocabulary).alias(n) for n, x in (("_own", F.col("line")), ("_rest", F.col("rest")), ("_more", F.concat_ws("\n", "before", "line", "rest")))]
+    enough = [F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) >= F.lit(CONFIRM * len(t)) for texts in model.templates.values() for t in texts]
+    rows = rows.where(reduce(lambda a, b: a | b, enough)).select("doc_id", "paragraph", "grams", *other)
+    cases = []
+    for family, templates in model.templates.items():
+        for t in templates:
+            known = F.array(*map(F.lit, t))
+            n, own, rest, more = (F.size(F.array_intersect(x, known)) for x in ("grams", "_own", "_rest", "_more"))
+            begins = (n >= CONFIRM * len(t)) & (own < CONFIRM * len(t)) & (n > rest) & (n >= more)
+            cases.append(F.when(begins, F.struct(F.round(n / F.lit(len(t)), 6).alias("similarity"), F.lit(family).alias("family"), F.array_intersect("grams", known).alias("grams"))))
+    found = F.filter(F.array(*cases), lambda x: x.isNotNull())
+    best = F.filter(F.sort_array(found, asc=False), lambda x, i: i == 0)
+    rows = rows.select("doc_id", "paragraph", F.explode(best).alias("x")).select("doc_id", "paragraph", "x.*")
+    return model.predict(rows).where((F.col("guess") == F.col("family")) & (F.col("probability") > model.bound)).drop("family")

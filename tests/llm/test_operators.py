@@ -416,3 +416,20 @@ def test_pipeline_drops_documents_of_similarity_eight_tenths(spark, sf_dir, odd)
                     least[of[i]] = min(least.get(of[i], d), d)
         kept = rows_of(corpus_pipeline.simhash_dedup(spark, docs, sf_dir), "doc_id")
         assert kept == Counter([(x,) for x in least.values()] + [(None,) for s in sets.values() for d in s if d is None])
+
+
+def test_licenses_wrapped_over_lines(spark):
+    import textwrap
+
+    notices = [(f, t) for f, texts in licenses.NOTICES.items() for t in texts if len(t.split()) > 10]
+    docs, want = [], set()
+    for width in (40, 80):
+        for mark in ("", "# ", " * "):
+            for f, t in notices:
+                lines = textwrap.wrap(t, width)
+                if max(len(x.split()) for x in lines) < 0.6 * len(t.split()):
+                    want.add((len(docs), 2, f))
+                    docs.append((len(docs), "\n".join(mark + x for x in ["Some words here", "and one more line.", *lines, "More of the text."])))
+    docs += [(900, "under the terms of\nthe hill\n\nthe GNU General\n\nPublic License"), (901, "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software and associated documentation files"), (902, None)]
+    got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 10 and got == want
