@@ -433,3 +433,12 @@ def test_licenses_wrapped_over_lines(spark):
     docs += [(900, "under the terms of\nthe hill\n\nthe GNU General\n\nPublic License"), (901, "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software and associated documentation files"), (902, None)]
     got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(want) > 10 and got == want
+
+
+def test_quality_bits_do_not_depend_on_rounds(spark, monkeypatch):
+    english, french = "the cat and the dog saw that it was there. ", "le chat et le chien de la rue sont dans une maison. "
+    texts = [("en", english * 3)] * 3 + [("fr", french * 3)] * 3 + [("en", english * 2 + french * 2), ("de", "der hund und die katze. " * 4)]
+    docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string")
+    want = rows_of(quality.judge(docs), "doc_id", "bits")
+    monkeypatch.setattr(quality, "MODEL_BYTES", 1, raising=False)
+    assert rows_of(quality.judge(docs), "doc_id", "bits") == want
