@@ -30,7 +30,7 @@ NOTICES = {
     "proprietary": ["All rights reserved."],
 }
 UNKNOWN = "unknown"
-#: Corpus paragraphs that stand for the unknown class in training (those with the smallest hashes), and the share of a
+#: Different corpus paragraphs that stand for the unknown class in training (those with the smallest hashes), and the share of a
 #: notice that a paragraph must hold.
 SAMPLE, CONFIRM = 1_000, 0.7
 #: A notice that runs over several lines is looked for in so many characters on either side of a line's end (marks before
@@ -119,7 +119,9 @@ def training_rows(docs: DataFrame, templates: dict[str, list[list[str]]], sample
     lines = paragraphs(docs).select("line").where("length(line) <= 2000")
     known = [F.array(*map(F.lit, t)) for texts in templates.values() for t in texts]
     held = F.transform(F.array(grams_of(F.col("line"))), lambda g: F.greatest(*[F.size(F.array_intersect(g, t)) / F.size(t) for t in known]))[0]
-    corpus = lines.orderBy(F.xxhash64("line"), "line").limit(sample).where(held < CONFIRM).select(F.row_number().over(_by_hash()).alias("k"), "line")
+    hashed = lines.withColumn("_hash", F.xxhash64("line"))
+    least = written(hashed.select("_hash").distinct().orderBy("_hash").limit(sample), "least")  # copies of a line count once
+    corpus = hashed.join(least, "_hash", "left_semi").select("line").distinct().where(held < CONFIRM).select(F.row_number().over(_by_hash()).alias("k"), "line")
     corpus, notices = written(corpus, "sample"), written(notices, "notices")  # small tables keep the plans below short
     n = sum(map(len, NOTICES.values()))
     numbered = notices.withColumn("k", F.row_number().over(_by_hash()))

@@ -442,3 +442,11 @@ def test_quality_bits_do_not_depend_on_rounds(spark, monkeypatch):
     want = rows_of(quality.judge(docs), "doc_id", "bits")
     monkeypatch.setattr(quality, "MODEL_BYTES", 1, raising=False)
     assert rows_of(quality.judge(docs), "doc_id", "bits") == want
+
+
+def test_license_sample_counts_different_lines(spark):
+    lines = [f"line of number {i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines * 30)], "doc_id long, text string")
+    templates = {f: [[t] for t in texts] for f, texts in licenses.NOTICES.items()}
+    rows = licenses.training_rows(docs, templates, 60)
+    assert rows.where(F.col("line").isin(lines)).count() == 60
