@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     nothing is computed twice, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/corpuslens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _SCRATCH.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpuslens_path = path
