@@ -110,6 +110,34 @@ def test_substring(spark, sf_dir, odd):
         assert got == Counter({k: n for (d, _, _, s), n in want.items() for k in [(d, s)]}) or got == sum((Counter({(d, s): n}) for (d, _, _, s), n in want.items()), Counter())
 
 
+def test_emptied_automaton_removes_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, PASSAGE), (2, "x y " + PASSAGE), (3, "q " + PASSAGE + " r")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.repeated_passages(docs).collect()} == {1: 0, 2: 70, 3: 70}
+    shard = substring.Shard()
+    for phrase in (PASSAGE.split()[i : i + substring.PHRASE] for i in range(10)):
+        shard.add(" ".join(phrase).encode())
+    assert shard.hits(("z " + PASSAGE).encode().split()).tolist() == list(range(1, 11))
+    assert substring.Shard().hits(PASSAGE.encode().split()).tolist() == []
+
+
+def test_substring_over_shards_and_tasks(spark, monkeypatch):
+    """Many shards, many tasks a shard, a hot passage, one doc_id with many texts, and repeated rows give the same result."""
+    monkeypatch.setattr(substring, "SHARD_PHRASES", 3)
+    monkeypatch.setattr(substring, "TASK_WORDS", 200)
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"p{x}" for x in rng.integers(0, 900, 75)) for _ in range(6)]
+    docs = []
+    for i in range(90):
+        own = [" ".join(f"o{x}" for x in rng.integers(0, 5000, 20)), passages[0] if i % 2 else passages[rng.integers(1, 6)][: int(rng.integers(150, 400))], f"tail{i}"]
+        docs.append((7 if i % 10 == 0 else i, " ".join(own)))
+    docs += docs[:8]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows_of(substring.repeated_passages(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == repeats(docs)
+    clash = frame.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("h", "row", "_d", "_h", "touched", "held", "changed", "starts", "copy", "n_chars"))])
+    left = substring.cut_repeats(clash)
+    assert left.columns == clash.columns and rows_of(left, "doc_id", "h", "copy", "starts") == rows_of(clash, "doc_id", "h", "copy", "starts")
+
+
 def test_mixing(spark, sf_dir, odd):
     for docs in (documents(spark, sf_dir), odd, odd.where("false")):
         plan = mixing.mixing_plan(docs).collect()
@@ -310,11 +338,30 @@ def test_quality_counts(spark, sf_dir, odd):
         assert kept.columns == docs.columns and rows_of(kept, "doc_id") == rows_of(got.where("kept"), "doc_id")
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(3)
-    grams, counts = np.unique(rng.zipf(1.3, 5000) % (1 << 24), return_counts=True)
-    contexts, costs = quality.kneser_ney(grams, counts)
-    assert np.allclose(np.exp2(-costs.astype(float)).sum(1), 1, atol=1e-4) and len(costs) == len(contexts) + 1
+def test_kneser_ney_sums_to_one(spark, sf_dir):
+    model = quality.Model(documents(spark, sf_dir).limit(40))
+    smooth = model.smoothing.value
+    keys = np.concatenate([quality.unpacked_sorted(r.keys) for r in model.table.collect()])
+    a, b = quality.parts_of(keys)
+    assert len(np.unique(keys)) == len(keys) == model.costs().count() > 1000
+    costs = {r.pair: r.cost for r in model.costs().collect()}
+    share = np.exp2(-np.array([costs[k] for k in keys.view(np.int64).tolist()]) / 1e6)
+    for unit in np.unique(a)[::50].tolist():
+        own = a == unit
+        unseen = smooth.lower.sum() - smooth.lower[b[own]].sum()
+        assert share[own].sum() + smooth.freed[unit] / smooth.total[unit] * unseen == pytest.approx(1, abs=1e-4)
+
+
+def test_quality_blocks_and_hot_pairs_do_not_change_bits(spark, sf_dir, monkeypatch):
+    docs = documents(spark, sf_dir).limit(60).unionByName(spark.createDataFrame([(-1, "漢字かな " * 700 + "end.\n" * 900 + "x" * 9000, "ja", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    want = rows_of(quality.judge(docs), "doc_id", "bits")
+    assert all(b is not None for (_, b) in want)
+    for name, value in (("HOT", 1), ("HOT", 300), ("BLOCK", 1000), ("HELD", 500), ("SHARD", 2000)):
+        monkeypatch.setattr(quality, name, value)
+    model = quality.Model(docs)
+    assert model.shards > 1 and 0 < len(model.hot.value[0]) <= 300 < model.costs().count()
+    # The run of 9000 letters is cut at other places; all other texts have the same bits.
+    assert rows_of(quality.judge(docs).where("doc_id >= 0"), "doc_id", "bits") == Counter({k: n for k, n in want.items() if k[0] >= 0})
 
 
 def test_quality_bands_keep_good_and_reject_junk(spark):
@@ -435,12 +482,12 @@ def test_licenses_wrapped_over_lines(spark):
     assert len(want) > 10 and got == want
 
 
-def test_quality_bits_do_not_depend_on_rounds(spark, monkeypatch):
+def test_quality_bits_do_not_depend_on_hot_pairs(spark, monkeypatch):
     english, french = "the cat and the dog saw that it was there. ", "le chat et le chien de la rue sont dans une maison. "
     texts = [("en", english * 3)] * 3 + [("fr", french * 3)] * 3 + [("en", english * 2 + french * 2), ("de", "der hund und die katze. " * 4)]
     docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string")
     want = rows_of(quality.judge(docs), "doc_id", "bits")
-    monkeypatch.setattr(quality, "MODEL_BYTES", 1, raising=False)
+    monkeypatch.setattr(quality, "HOT", 1)
     assert rows_of(quality.judge(docs), "doc_id", "bits") == want
 
 
