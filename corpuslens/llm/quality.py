@@ -32,7 +32,7 @@ MIN_WORDS, REPEAT, MAX_REPEAT_PERCENT = 20, 8, 30
 #: The band: so many times the distance from the median to the quartiles, at least LEAST bits, more for texts of few words.
 WIDTH, LEAST, SHORT = 9.0, 0.2, 50.0
 #: Code points in a piece; 1 in so many pieces makes a unit; 1 in so many pairs makes a pair that is sent to all.
-PIECE, VOCABULARY, HOT = 4, 1 << 18, 1 << 20
+PIECE, VOCABULARY, HOT = 4, 1 << 18, 1 << 21
 #: Numbers of units: 0 starts a text, 1 to 256 are bytes, then the vocabulary; a pair has 2 * UNIT_BITS bits.
 UNIT_BITS, FIRST = 19, 257
 PAIRS = np.uint64((1 << 2 * UNIT_BITS) - 1)
@@ -516,7 +516,7 @@ def bands(scores: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame) -> DataFrame:
     found = scored(docs)
-    limits = bands(found).withColumnRenamed("lang", "_lang")
+    limits = written(bands(found), "bands").withColumnRenamed("lang", "_lang")
     rows = found.join(limits, F.col("lang") == F.col("_lang"), "left").withColumn("base_failed", _base_failed())
     wide = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_terms", F.lit(1)))
     inside = (F.col("bits") >= F.col("median") - F.col("below") * wide) & (F.col("bits") <= F.col("median") + F.col("above") * wide)

@@ -52,11 +52,6 @@ def _phrases(hashes: np.ndarray) -> np.ndarray:
     return windows(hashes, PHRASE, 1)
 
 
-def _least_phrases(hashes: np.ndarray) -> np.ndarray:
-    """For each window the hash of its least phrase."""
-    return sliding_min(_phrases(hashes), SPAN - PHRASE + 1)
-
-
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
@@ -65,7 +60,7 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.split()
             n.append(len(words))
             sha.append(hashlib.sha256(b" ".join(words)).digest())
-            anchors.append(np.empty(0, np.int64) if len(words) < SPAN else np.unique(_least_phrases(known.of(words))).view(np.int64))
+            anchors.append(np.empty(0, np.int64) if len(words) < SPAN else np.unique(sliding_min(_phrases(known.of(words)), SPAN - PHRASE + 1)).view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32)
         flat = np.concatenate(anchors) if anchors else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -130,8 +125,8 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(hits):
                 continue
             hashes = one.of(words)
-            found = np.unique(_phrases(hashes)[hits])
-            starts = np.flatnonzero(np.isin(_least_phrases(hashes), found))
+            phrases = _phrases(hashes)
+            starts = np.flatnonzero(np.isin(sliding_min(phrases, SPAN - PHRASE + 1), phrases[hits]))
             values = (windows(hashes, SPAN, 0)[starts].view(np.int64), windows(two.of(words), SPAN, 1)[starts].view(np.int64), np.full(len(starts), doc_id, np.int64), np.full(len(starts), h, np.int64), starts.astype(np.int32))
             for o, v in zip(out, values, strict=True):
                 o.append(v)
@@ -186,24 +181,23 @@ class Repeats:
         owners = written(owners.drop("last"), "owners")
         #: doc_id, h of texts that a smaller doc_id has too, word for word.
         self.copies = written(named.select("doc_id", "h", "sha").join(owners, "sha").where("doc_id > owner").select("doc_id", "h").distinct(), "copies")
-        anchors = named.select("doc_id", "h", F.explode("anchors").alias("anchor"))
+        anchors = named.select("doc_id", "h", "n_words", F.explode("anchors").alias("anchor"))
         recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.min("h").alias("a"), F.max("h").alias("b")).where("a != b")
         recurring = written(recurring.select("anchor", "first"), "recurring")
         shards = max(1, -(-recurring.count() // SHARD_PHRASES))
         shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard")
-        held = anchors.join(recurring, "anchor").select("doc_id", "h", "anchor", shard).distinct()
-        held = held.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "shard")).alias("held"))
+        held = anchors.join(recurring, "anchor").groupBy("doc_id", "h", "n_words").agg(F.collect_set(F.struct("anchor", shard)).alias("held"))
         held = held.join(self.copies, ["doc_id", "h"], "left_anti")
-        held = held.unionByName(self.copies.withColumn("held", F.lit(None).cast("array<struct<anchor:bigint,shard:int>>")))
-        held = held.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.lit(True).alias("touched"), "held")
+        held = held.unionByName(self.copies.select("doc_id", "h", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<anchor:bigint,shard:int>>").alias("held")))
+        held = held.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.lit(True).alias("touched"), "n_words", "held")
         held = written(held if every else held.where("held is not null"), "held")
         joined = rows.join(held, (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")), "left" if every else "inner")
         #: The rows, ``touched`` where a text is a copy or a candidate, ``held`` with a candidate's anchors and their shards.
         self.dealt = written(joined.drop("_d", "_h"), "dealt")
-        candidates = self.dealt.where("held is not null").select("doc_id", "h", "text", "held").dropDuplicates(["doc_id", "h"])
+        candidates = self.dealt.where("held is not null").select("doc_id", "h", "text", "n_words", "held")
         for table in (owners, recurring, held):
             drop_written(table)
-        found = written(self._streamed(written(candidates, "candidates"), named), "windows")
+        found = written(self._streamed(candidates), "windows")
         least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
         least = written(least.drop("last"), "confirmed")
         hits = found.join(least, ["w1", "w2"]).where("doc_id > owner")
@@ -214,9 +208,8 @@ class Repeats:
         self.base = base.drop("anchors")
 
     @staticmethod
-    def _streamed(candidates: DataFrame, named: DataFrame) -> DataFrame:
-        sized = candidates.select("doc_id", "h", F.explode(F.array_distinct("held.shard")).alias("shard"))
-        sized = sized.join(named.select("doc_id", "h", "n_words").distinct(), ["doc_id", "h"]).groupBy("shard").agg(F.sum("n_words").alias("n"))
+    def _streamed(candidates: DataFrame) -> DataFrame:
+        sized = candidates.select("n_words", F.explode(F.array_distinct("held.shard")).alias("shard")).groupBy("shard").agg(F.sum("n_words").alias("n"))
         #: One row a shard: how many tasks stream documents through it.
         tasks = written(sized.select("shard", F.ceil(F.col("n") / TASK_WORDS).alias("tasks")), "shards")
         words = candidates.mapInArrow(_words_of_anchors, "shard int, phrase binary, h long")
@@ -239,8 +232,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     gives none.
     """
     found = Repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("h")), False)
-    cut_rows = found.dealt.select("doc_id", "h", "text").dropDuplicates(["doc_id", "h"]).join(found.hits, ["doc_id", "h"])
-    fixed = cut_rows.mapInArrow(_kept_digest, "doc_id long, h long, n_removed long, kept_sha256 string")
+    cut_rows = found.dealt.select("doc_id", "h", "text").join(found.hits, ["doc_id", "h"])
+    fixed = cut_rows.mapInArrow(_kept_digest, "doc_id long, h long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "h"])
     fixed = fixed.unionByName(found.copies.select("doc_id", "h", F.lit(None).cast("long").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256")))
     fixed = fixed.select(F.col("doc_id").alias("d"), F.col("h").alias("_h"), F.col("n_removed").alias("n"), F.col("kept_sha256").alias("k"))
     rows = found.base.join(written(fixed, "fixed"), (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("_h")), "left")
