@@ -1,11 +1,14 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by the pivots nearest to it, in order. Inverted lists hold, for each pair of pivots, the vectors
-that have both among their nearest; vectors in one list therefore share at least two pivots. Lists are searched in
-blocks, and each pair met is verified by its cosine in double precision.
+Every vector is described by the pivots nearest to it, in order (its permutation's head). Inverted lists hold, for each
+pivot, the vectors that have it among their first few; a list carries numbers and permutations, not vectors. In a list the
+pivots that two vectors share are counted, over the whole heads, and pairs with enough of them are candidates. Only vectors
+with a candidate are then sent, once for each list where they have one, and pairs are verified by their cosine in double
+precision. A pair is looked at in one list alone, that of the least pivot among the first few of both.
 
 Pivots are random directions from a fixed seed, so no sample is fitted and every vector is indexed. Equal vectors are one
-entry, so groups of copies meet nobody twice. Pairs are counted where they meet and never written out.
+entry, so groups of copies meet nobody twice. Long lists are searched in blocks, every two blocks in a task of their own;
+pairs are counted where they meet and never written out.
 """
 
 from __future__ import annotations
@@ -18,164 +21,245 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .components import connected_components
 
 COSINE = 0.9
-#: A longer inverted list is cut into blocks, and every two blocks are searched in a task of their own.
-BLOCK = 2_048
+#: A longer inverted list is cut into blocks; and pairs of places counted at once.
+BLOCK, AT_ONCE = 2_048, 4_000_000
 
 
-def index_shape(n: int) -> tuple[int, int]:
-    """Pivots and nearest pivots kept, by the number of distinct vectors: pivots grow as its root so that lists stay
-    as long as they are, and more are kept of more."""
-    pivots = 64
-    while pivots < 4096 and pivots * 2 <= max(64, int(n**0.5)):
-        pivots *= 2
-    return pivots, 5 if pivots <= 128 else 6 + (pivots // 256).bit_length() - 1
+def index_shape(n: int) -> tuple[int, int, int, int]:
+    """For n distinct vectors: pivots, the pivots that describe a vector, the first of them whose lists it is in, and how many
+    two candidates must share. Pivots grow as the root of n, without an end, and with them the other two."""
+    more = max(0, (4 * int(n**0.5)).bit_length() - 10)
+    return max(256, 1 << (4 * int(n**0.5)).bit_length()), 16 + 2 * more, 6 + more, 5
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``vec_id, node, vector``: a digest and the doubles of each usable vector; else null."""
-    for batch in batches:
-        nodes, raw = [], []
-        for v in batch.column("embedding"):
-            x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, np.float64) + 0.0
-            if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
-                nodes.append(None)
-                raw.append(None)
-            else:
-                x = x / np.abs(x).max()
-                raw.append(np.asarray(v.values, np.float64).tobytes())
-                nodes.append(xxhash.xxh3_128_hexdigest(raw[-1]))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.string()), pa.array(raw, pa.binary())], ["vec_id", "node", "vector"])
-
-
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, np.float64) for r in raw])
+def _vectors(kind: str):
+    """``vec_id, node, vector``: a digest and the numbers of each usable vector; else null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, raw = [], []
+            for v in batch.column("embedding"):
+                x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, kind) + 0.0  # one zero
+                if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+                    nodes.append(None)
+                    raw.append(None)
+                else:
+                    raw.append(x.astype(kind).tobytes())
+                    nodes.append(xxhash.xxh3_128_digest(raw[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "node", "vector"])
+
+    return run
+
+
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _lists(pivots: int, near: int, seed: int):
-    """A row for each pair of a vector's nearest pivots: ``key`` and all its keys in order."""
+def directions(pivots: int, size: int, seed: int) -> np.ndarray:
+    g = np.random.default_rng([seed, size]).normal(size=(pivots, size))
+    return g / np.sqrt((g * g).sum(axis=1, keepdims=True))
+
+
+def permutations(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """The nearest pivots of each unit vector, nearest first."""
+    close = x @ pivots.T
+    some = np.argpartition(-close, near - 1, axis=1)[:, :near] if near < close.shape[1] else np.argsort(-close, axis=1)
+    return np.take_along_axis(some, np.lexsort((some, -np.take_along_axis(close, some, axis=1)), axis=1), axis=1)
+
+
+def _described(pivots: int, near: int, first: int, seed: int, kind: str):
+    """``id, copies, head, lists``: the nearest pivots of each vector as 32-bit numbers, and the lists that it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions: dict[int, np.ndarray] = {}
-        left, right = np.triu_indices(near, 1)
+        known: dict[int, np.ndarray] = {}
+        width = np.dtype(kind).itemsize
         for batch in batches:
             raw = batch.column("vector").to_pylist()
-            sizes = np.array([len(r) // 8 for r in raw], np.int64)
-            keys = np.empty((len(raw), len(left)), np.int64)
+            sizes = np.array([len(r) // width for r in raw], np.int64)
+            heads: list[bytes] = [b""] * len(raw)
+            lists = np.zeros((len(raw), first), np.int64)
             for d in np.unique(sizes).tolist():
-                if d not in directions:
-                    g = np.random.default_rng([seed, d]).normal(size=(pivots, d))
-                    directions[d] = g / np.sqrt((g * g).sum(axis=1, keepdims=True))
-                at = np.flatnonzero(sizes == d)
-                for i in range(0, len(at), 1024):
-                    part = at[i : i + 1024]
-                    order = np.argsort(-(_unit([raw[j] for j in part.tolist()]) @ directions[d].T), axis=1, kind="stable")[:, :near]
-                    order.sort(axis=1)
-                    keys[part] = np.sort((d * pivots + order[:, left]) * pivots + order[:, right], axis=1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), len(left)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("vector"), lists], ["node", "copies", "vector", "keys"])
+                if d not in known:
+                    known[d] = directions(pivots, d, seed)
+                at = np.flatnonzero(sizes == d).tolist()
+                for i in range(0, len(at), 256):
+                    order = permutations(_unit([raw[j] for j in at[i : i + 256]], kind), known[d], near).astype("<u4")
+                    for j, head in zip(at[i : i + 256], order, strict=True):
+                        heads[j] = head.tobytes()
+                        lists[j] = d * pivots + head[:first].astype(np.int64)
+            column = pa.ListArray.from_arrays(np.arange(0, lists.size + 1, first, dtype=np.int32), lists.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(heads, pa.binary()), column], ["id", "copies", "head", "lists"])
 
     return run
 
 
-def _search(cosine: float):
-    """Sorted rows of one (key, one, two) after another: block ``one`` against block ``two`` of a list."""
-
-    def pairs(rows: list[dict]) -> tuple[list[tuple], set[tuple[str, str]]]:
-        key, one, two = rows[0]["key"], rows[0]["one"], rows[0]["two"]
-        x = _unit([r["vector"] for r in rows])
-        side = np.array([r["block"] == one for r in rows])
-        a, b = np.flatnonzero(side), np.flatnonzero(side if one == two else ~side)
-        # Smaller keys as 0/1 columns: a pair that shares one has met there already.
-        smaller: dict[int, int] = {}
-        rest = [[smaller.setdefault(k, len(smaller)) for k in r["keys"] if k < key] for r in rows]
-        member = np.zeros((len(rows), max(1, len(smaller))), np.float32)
-        for i, own in enumerate(rest):
-            member[i, own] = 1
-        copies = np.array([r["copies"] for r in rows], np.int64)
-        counts = np.zeros(len(rows), np.int64)
-        root = np.arange(len(rows))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for s in range(0, len(a), 512):
-            part = a[s : s + 512]
-            near = x[part] @ x[b].T >= cosine
-            if near.any():
-                near &= member[part] @ member[b].T == 0
-            i, j = np.nonzero(near)
-            new = part[i] != b[j] if one != two else part[i] < b[j]
-            i, j = i[new], j[new]
-            if not len(i):
-                continue
-            p, q = part[i], b[j]
-            np.add.at(counts, p, copies[q])
-            np.add.at(counts, q, copies[p])
-            for t in range(0, len(p), 16_384):
-                flat = np.array([find(k) for k in range(len(rows))])
-                u, v = flat[p[t : t + 16_384]], flat[q[t : t + 16_384]]
-                for c, d in set(zip(u[u != v].tolist(), v[u != v].tolist(), strict=True)):
-                    c, d = find(c), find(d)
-                    if c != d:
-                        root[max(c, d)] = min(c, d)
-        out = [(rows[i]["node"], int(counts[i]), rows[find(i)]["node"]) for i in np.flatnonzero(counts).tolist()]
-        return out
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """The rows of each (key, one, two), which come sorted."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
+        cuts = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[a].tolist())
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many numbers each row of ``a`` shares with each row of ``b`` (both without repeats in a row; negative numbers
+    are left out): from inverted lists of the numbers, every pair of places in a list adds one."""
+    na, nb = len(a), len(b)
+    out = np.zeros(na * nb, np.int32)
+
+    def lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, value = np.repeat(np.arange(len(x)), x.shape[1]), x.ravel()
+        row, value = row[value >= 0], value[value >= 0]
+        order = np.argsort(value, kind="stable")
+        return value[order], row[order]
+
+    (va, ra), (vb, rb) = lists(a), lists(b)
+    low, high = np.searchsorted(vb, va), np.searchsorted(vb, va, side="right")
+    many = high - low
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(va):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, side="right")))
+        n = many[at:to]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
+        out += np.bincount(np.repeat(ra[at:to], n) * nb + rb[place], minlength=na * nb).astype(np.int32)
+        at = to
+    return out.reshape(na, nb)
+
+
+def candidates(key: int, heads_a: np.ndarray, heads_b: np.ndarray, first: int, enough: int) -> np.ndarray:
+    """Which pairs share enough pivots and have ``key`` as the least pivot among the first few of both."""
+    found = shared(heads_a, heads_b) >= enough
+    if found.any():
+        found &= shared(np.where(heads_a[:, :first] < key, heads_a[:, :first].astype(np.int64), -1), np.where(heads_b[:, :first] < key, heads_b[:, :first].astype(np.int64), -1)) == 0
+    return found
+
+
+def _sides(key: tuple[int, int, int], rows: pa.Table, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    heads = np.frombuffer(b"".join(rows.column("head").to_pylist()), "<u4").reshape(-1, near).astype(np.int64)
+    block = rows.column("block").to_numpy()
+    a = np.flatnonzero(block == key[1])
+    return heads, a, a if key[1] == key[2] else np.flatnonzero(block == key[2])
+
+
+def _counted(pivots: int, near: int, first: int, enough: int):
+    """``key, id``: the vectors of a list that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        for key, rows in _groups(batches):
+            if rows.num_rows < 2:
+                continue
+            heads, a, b = _sides(key, rows, near)
+            found = candidates(key[0] % pivots, heads[a], heads[b], first, enough)
+            if key[1] == key[2]:
+                np.fill_diagonal(found, False)
+            has = np.unique(np.concatenate([a[found.any(axis=1)], b[found.any(axis=0)]]))
+            if len(has):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), key[0], np.int64)), rows.column("id").combine_chunks().take(pa.array(has))], ["key", "id"])
+
+    return run
 
-        def emit(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["node", "links", "other"])
 
-        for batch in batches:
-            found: list[tuple] = []
-            for row in batch.to_pylist():
-                if held and (row["key"], row["one"], row["two"]) != (held[0]["key"], held[0]["one"], held[0]["two"]):
-                    found += pairs(held) if len(held) > 1 else []
-                    held = []
-                held.append(row)
-            yield emit(found)
-        if len(held) > 1:
-            yield emit(pairs(held))
+def _verified(pivots: int, near: int, first: int, enough: int, cosine: float, kind: str):
+    """``id, links, other``: how many vectors link to this one here, and the least one that links reach here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches):
+            if rows.num_rows < 2:
+                continue
+            heads, a, b = _sides(key, rows, near)
+            x = _unit(rows.column("vector").to_pylist(), kind)
+            copies, ids = rows.column("copies").to_numpy(), rows.column("id").to_numpy()
+            counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for s in range(0, len(a), 512):
+                part = a[s : s + 512]
+                near_ = (x[part] @ x[b].T >= cosine) & (part[:, None] != b[None, :])
+                if not near_.any():
+                    continue
+                near_ &= candidates(key[0] % pivots, heads[part], heads[b], first, enough)
+                i, j = np.nonzero(near_)
+                p, q = part[i], b[j]
+                np.add.at(counts, p, copies[q])
+                if key[1] != key[2]:
+                    np.add.at(counts, q, copies[p])
+                _join(root, p, q)
+            linked = np.flatnonzero(counts)
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(counts[linked]), pa.array(ids[root[linked]])], ["id", "links", "other"])
 
     return run
 
 
-def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape: tuple[int, int] | None = None) -> DataFrame:
+def _join(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Joins the groups of p and q, pair by pair, in ``root``: the least member of each member's group."""
+    while True:
+        u, v = root[p], root[q]
+        if (u == v).all():
+            return
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _dealt(postings: DataFrame) -> DataFrame:
+    """Rows with ``key`` and ``id``, in blocks of their lists: each row once for every two blocks that its own is one of."""
+    sizes = written(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sizes")
+    rows = postings.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("one"), F.greatest(x, "block").alias("two")))
+    one = F.array(F.struct(F.col("block").alias("one"), F.col("block").alias("two")))
+    rows = rows.select(*postings.columns, "block", F.explode(F.when(F.col("blocks") == 1, one).otherwise(meet)).alias("m")).select(*postings.columns, "block", "m.one", "m.two")
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+
+
+def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape: tuple[int, int, int, int] | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``df`` (``vec_id, embedding``).
 
-    Two vectors link if their cosine is at least ``cosine`` and they share two of their nearest pivots (recall is measured
-    in the tests; no pair below the bound links). Null and zero vectors and vectors with null or non-finite components
+    Two vectors link if their cosine is at least ``cosine`` and the index finds them (recall is measured in the tests;
+    no pair below the bound links). Null and zero vectors and vectors with null or non-finite components
     link with nothing and are kept. ``n_links`` counts the other rows linked directly, copies included. Vectors of
     different lengths never link. Rows with a null vec_id link and count but name no component.
     """
-    rows = written(df.select("vec_id", "embedding").mapInArrow(_vectors, "vec_id long, node string, vector binary"), "vectors")
+    kind = "<f4" if dict(df.dtypes)["embedding"] == "array<float>" else "<f8"
+    rows = df.select("vec_id", "embedding").mapInArrow(_vectors(kind), "vec_id long, node binary, vector binary")
+    rows = written(rows, "vectors")
+    # One vector of each group of copies; numbers are given once, when the table is written.
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    nodes = written(nodes, "nodes")
-    pivots, near = shape or index_shape(nodes.count())
-    lists = written(nodes.mapInArrow(_lists(pivots, near, seed), "node string, copies long, vector binary, keys array<long>"), "lists")
-    entries = lists.select("node", "copies", "vector", "keys", F.explode("keys").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    sizes = written(sizes, "sizes")
-    entries = entries.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("one"), F.greatest(x, "block").alias("two")))
-    entries = entries.select("key", "node", "copies", "vector", "keys", "block", F.explode(meet).alias("m")).select("key", "m.one", "m.two", "block", "node", "copies", "vector", "keys")
-    entries = entries.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node")
-    found = written(entries.mapInArrow(_search(cosine), "node string, links long, other string"), "links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    state = nodes.select("node", "copies").join(links, "node", "left").join(roots.withColumnRenamed("root", "_root"), "node", "left")
-    state = state.select(F.col("node").alias("_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_root", "node").alias("_root"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    pivots, near, first, enough = shape or index_shape(nodes.count())
+    heads = nodes.select("id", "copies", "vector").mapInArrow(_described(pivots, near, first, seed, kind), "id long, copies long, head binary, lists array<long>")
+    heads = written(heads, "heads")
+    postings = heads.select("id", "head", F.explode("lists").alias("key"))
+    wanted = _dealt(postings).mapInArrow(_counted(pivots, near, first, enough), "key long, id long")
+    wanted = written(wanted.distinct(), "wanted")
+    sent = wanted.join(heads.select("id", "copies", "head"), "id").join(nodes.select("id", "vector"), "id")
+    found = written(_dealt(sent).mapInArrow(_verified(pivots, near, first, enough, cosine, kind), "id long, links long, other long"), "links")
+    drop_written(wanted)
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    state = nodes.select("id", "node", "copies").join(links, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    state = state.select(F.col("node").alias("_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("_root"))
     rooted = written(rows.select("vec_id", "node").join(state, F.col("node") == F.col("_node"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "_root"), "rooted")
     least = rooted.where("_root is not null").groupBy(F.col("_root").alias("r")).agg(F.min("vec_id").alias("least"))
     least = written(least, "components")

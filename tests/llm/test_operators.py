@@ -318,6 +318,46 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_shared_pivots_are_counted():
+    rng = np.random.default_rng(6)
+    a, b = (np.array([rng.choice(40, 12, replace=False) for _ in range(n)]) for n in (30, 50))
+    for at_once in (7, 4_000_000):
+        embeddings.AT_ONCE = at_once
+        assert (embeddings.shared(a, b) == [[len(set(x) & set(y)) for y in b.tolist()] for x in a.tolist()]).all()
+
+
+@pytest.mark.parametrize(("n", "d"), [(280, 64), (30_000, 16), (51_282, 64), (51_282, 768), (1_000_000, 64), (20_000_000, 64)])
+def test_embedding_recall_by_shape(n, d):
+    """Pairs at a cosine of exactly 0.9 that the index of n vectors finds; one pair in ten thousand or fewer by chance."""
+    pivots, near, first, enough = embeddings.index_shape(n)
+    rng, g = np.random.default_rng(n + d), embeddings.directions(pivots, d, 3)
+    x, r = rng.normal(size=(2, 600, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r -= (r * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    a, b = (embeddings.permutations(v, g, near) for v in (x, y))
+    found = [len(set(p) & set(q)) >= enough and bool(set(p[:first]) & set(q[:first])) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+    assert np.mean(found) >= 0.93
+    if n > 50_000:
+        chance = embeddings.shared(a, a) >= enough
+        assert (chance.sum() - len(a)) / len(a) ** 2 < 1e-4
+
+
+def test_embeddings_of_a_planted_table(spark):
+    """Large groups of near copies and of copies among unlike vectors, against brute force, in few and in many blocks."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(30, 64))
+    vectors = np.concatenate([rng.normal(size=(3000, 64)), *(c + rng.normal(size=(n, 64)) * 0.3 for c, n in zip(centres, [500] + [20] * 29, strict=True)), np.repeat(centres[:1], 400, axis=0)])
+    rows = [(i, [float(x) for x in v], i) for i, v in enumerate(vectors.astype(np.float32))]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.9).sum(1) - 1
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node long").repartition(5)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    links = np.array([got[i].n_links for i in range(len(rows))])
+    assert (links <= true).all() and links.sum() >= 0.95 * true.sum() and len(got) == len(rows)
+
+
 def test_quality_counts(spark, sf_dir, odd):
     for docs in (documents(spark, sf_dir), odd, odd.where("false")):
         want = Counter()
