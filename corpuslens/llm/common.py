@@ -24,9 +24,11 @@ _SCRATCH: list[str] = []
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where the session has
-    none (tests on one machine), a temporary folder is made once and set."""
+    none, a temporary folder is made once and set, on a local master alone: executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

@@ -52,23 +52,25 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 
 def mixing_plan(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """One row for each distinct (doc_id, source, text): ``doc_id, source, text_key, n_rows, size, source_size,
-    target, passes`` (how often each of its rows is taken, 0 to 2).
+    """``doc_id, source, text_key, n_rows, size, source_size, target, passes``: so many rows of that id, source and text are
+    taken so often (0 to 2 times).
 
-    Rows that agree in all three are taken together. Null ids, sources and texts are values like others; a null or
+    Rows that agree in all three have numbers and are taken one by one, each at a place of its own. Null ids, sources and texts are values like others; a null or
     blank text has size 0 and is never taken. The order depends on ids, sources, texts and the seed alone, so a
     rerun gives the same mix however the rows are spread. A block is taken while the running total stays within
-    the budget, so that each source ends within about one block of its target.
+    the budget, so that each source ends within about one row of its target.
     """
     slim = written(document_keys(docs), "sizes")
     blocks = slim.groupBy("doc_id", "source", "text_key").agg(F.count("*").alias("n_rows"), F.max("size").alias("size"))
-    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("source", F.lit("")), F.col("text_key").cast("string"))
+    # One row for each of the repeated rows; its number is part of its place in the order.
+    blocks = blocks.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("source", F.lit("")), F.col("text_key").cast("string"), F.col("nth").cast("string"))
     total = slim.count()
     n, slices = max(1, -(-total // BUCKET)), max(64, -(-total // SLICE))
-    blocks = blocks.withColumn("h", _unit(name)).withColumn("block", F.col("size") * F.col("n_rows")).where("block > 0")
+    blocks = blocks.withColumn("h", _unit(name)).withColumn("block", F.col("size")).where("block > 0")
     blocks = written(blocks.withColumn("bucket", F.floor(F.col("h") / F.lit(SPAN // n + 1))), "blocks")
 
-    order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("text_key")]
+    order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("text_key"), F.col("nth")]
     sums = blocks.groupBy("source", "bucket").agg(F.sum("block").alias("part"))
     sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,17 +97,34 @@ def mixing_plan(docs: DataFrame, seed: int = 7) -> DataFrame:
         part = copies.where(F.col("slice") == at).withColumn("run", F.sum("block").over(last) + upto).where("run <= budget").drop("run")
         taken = copies.where(F.col("slice") < at).unionByName(part)
     key = ["doc_id", "source", "text_key"]
-    passes = taken.groupBy(*key).agg(F.count("*").alias("passes"))
+    often = taken.groupBy(*key, "nth").agg(F.count("*").alias("passes")).groupBy(*key).agg(F.count("*").alias("once"), F.count(F.when(F.col("passes") > 1, 1)).alias("twice"))
     rows = slim.groupBy(*key).agg(F.count("*").alias("n_rows"), F.max("size").alias("size")).alias("x")
-    rows = rows.join(passes.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.text_key") == F.col("y.text_key")), "left").select("x.*", F.coalesce("y.passes", F.lit(0)).alias("passes"))
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.text_key") == F.col("y.text_key"))
+    once, twice = F.coalesce("y.once", F.lit(0)), F.coalesce("y.twice", F.lit(0))
+    counts = F.array(*[F.struct(n.alias("n_rows"), F.lit(i).cast("long").alias("passes")) for i, n in enumerate((F.col("x.n_rows") - once, once - twice, twice))])
+    rows = rows.join(often.alias("y"), same, "left").select("x.doc_id", "x.source", "x.text_key", "x.size", F.explode(F.filter(counts, lambda c: c.n_rows > 0)).alias("c"))
     s = sources.select(F.col("source").alias("s"), "source_size", "target")
-    return rows.join(s, F.col("source").eqNullSafe(F.col("s"))).select(*key, "n_rows", "size", "source_size", "target", "passes")
+    return rows.join(s, F.col("source").eqNullSafe(F.col("s"))).select(*key, "c.n_rows", "size", "source_size", "target", "c.passes")
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed rows of ``docs``, with its columns: each row as often as the plan takes it. An empty table stays
-    empty. Extra columns are carried along, whatever their names."""
-    plan = mixing_plan(docs, seed).where("passes > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_t"), F.col("passes").alias("_n"))
-    rows = docs.withColumn("_key", _unit(F.coalesce("text", F.lit(""))))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_t")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed rows of ``docs``, with its columns: each row as often as the plan takes it. Where some of the rows of one
+    id, source and text are taken more often than others, those with the least hashes of all columns are. An empty table
+    stays empty. Extra columns are carried along, whatever their names."""
+    plan = mixing_plan(docs, seed).groupBy("doc_id", "source", "text_key").agg(*[F.sum(F.when(F.col("passes") == i, F.col("n_rows")).otherwise(0)).alias(f"p{i}") for i in range(3)])
+    plan = plan.where("p1 + p2 > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_key").alias("t"), "p1", "p2")
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    nested = docs.select("doc_id", "source", _unit(F.coalesce("text", F.lit(""))).alias("text_key"), F.xxhash64(*plain).alias("r"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # Fully equal rows count together: ``n`` of them are taken ``c`` times in all.
+    same = nested.groupBy("doc_id", "source", "text_key", "r").agg(F.count("*").alias("n"))
+    same = same.join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("text_key") == F.col("t")))
+    at = F.sum("n").over(Window.partitionBy("d", "s", "t").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    same = same.withColumn("at", F.coalesce(at, F.lit(0)))
+    upto = [F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), x) - F.col("at")) for x in (F.col("p2"), F.col("p1") + F.col("p2"))]
+    same = written(same.select("d", "s", "t", F.col("r").alias("x"), "n", (upto[0] + upto[1]).alias("c")).where("c > 0"), "taken")
+    found = nested.join(same, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("text_key") == F.col("t")) & (F.col("r") == F.col("x")))
+    out = found.where("c % n = 0").select("row", F.expr("c div n").alias("c"))
+    if same.where("c % n != 0").head(1):
+        out = out.unionByName(found.where("c % n != 0").groupBy("d", "s", "t", "x").agg(F.first("row").alias("row"), F.first("c").alias("c")).select("row", "c"))
+    out = out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("c"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -536,6 +536,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all columns. The rules look at language and text only, so rows are
     found again by a hash of both; null and repeated ids don't matter."""
-    kept = written(_judged(docs).where("kept").select(F.col("key").alias("_kept")).distinct(), "kept")
-    key = F.xxhash64(F.coalesce("lang", F.lit("")), "text")
-    return docs.join(kept, key == F.col("_kept"), "left_semi").where("text is not null")
+    kept = written(_judged(docs).where("kept").select(F.col("key").alias("kept_key")).distinct(), "kept")
+    key = F.xxhash64(F.coalesce("lang", F.lit("")), "text").alias("key")
+    rows = docs.select(key, "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).where("text is not null")
+    rows = rows.join(kept, F.col("key") == F.col("kept_key"), "left_semi")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -108,16 +108,16 @@ s2 AS (SELECT *, lim / weight::DOUBLE AS edge FROM s1),
 s3 AS (SELECT *, (budget - coalesce(sum(lim) OVER (ORDER BY edge, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
               / (sum(weight) OVER (ORDER BY edge, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM s2),
 s4 AS (SELECT *, CASE WHEN level > edge THEN lim::DOUBLE ELSE weight * (min_by(level, CASE WHEN level > edge THEN NULL ELSE edge END) OVER ()) END AS target FROM s3),
-b AS (SELECT doc_id, source, text_key, count(*) AS n_rows, max(size) AS size, max(size) * count(*) AS block,
-             ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(source, '') || '|' || text_key::VARCHAR), 1, 15))::BIGINT AS h FROM d GROUP BY ALL),
-r AS (SELECT b.*, source_size, target, budget, sum(block) OVER (PARTITION BY b.source ORDER BY h, doc_id NULLS LAST, text_key ROWS UNBOUNDED PRECEDING) AS upto
+b AS (SELECT *, size AS block, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(source, '') || '|' || text_key::VARCHAR || '|' || nth::VARCHAR), 1, 15))::BIGINT AS h
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, text_key) AS nth FROM d)),
+r AS (SELECT b.*, source_size, target, budget, sum(block) OVER (PARTITION BY b.source ORDER BY h, doc_id NULLS LAST, text_key, nth ROWS UNBOUNDED PRECEDING) AS upto
       FROM b JOIN s4 ON b.source IS NOT DISTINCT FROM s4.source WHERE block > 0),
 c AS (SELECT *, (copy * source_size + upto)::DOUBLE / target AS finish FROM r, (VALUES (0), (1)) AS k(copy)),
-g AS (SELECT *, sum(block) OVER (ORDER BY finish, h, doc_id NULLS LAST, source NULLS LAST, text_key, copy ROWS UNBOUNDED PRECEDING) AS run FROM c),
-p AS (SELECT doc_id, source, text_key, count(*) AS passes FROM g WHERE run <= budget GROUP BY ALL)
-SELECT d.doc_id, d.size, s4.source_size, coalesce(s4.target, 0.0)::DOUBLE AS target, (d.size * coalesce(passes, 0))::BIGINT AS taken
-FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source
-LEFT JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id AND d.source IS NOT DISTINCT FROM p.source AND d.text_key = p.text_key
+g AS (SELECT *, sum(block) OVER (ORDER BY finish, h, doc_id NULLS LAST, source NULLS LAST, text_key, nth, copy ROWS UNBOUNDED PRECEDING) AS run FROM c),
+p AS (SELECT doc_id, source, text_key, nth, count(*) AS passes FROM g WHERE run <= budget GROUP BY ALL)
+SELECT b.doc_id, b.size, s4.source_size, coalesce(s4.target, 0.0)::DOUBLE AS target, (b.size * coalesce(passes, 0))::BIGINT AS taken
+FROM b JOIN s4 ON b.source IS NOT DISTINCT FROM s4.source
+LEFT JOIN p ON b.doc_id IS NOT DISTINCT FROM p.doc_id AND b.source IS NOT DISTINCT FROM p.source AND b.text_key = p.text_key AND b.nth = p.nth
 """
 
 ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op2_substring_dedup": _OP2, "op3_mixing": _OP3}

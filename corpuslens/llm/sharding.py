@@ -79,22 +79,21 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
     stays empty. The draw follows the partitions in which ``df`` comes: a rerun over the same files with the same
     read settings gives the same shards. Rows travel twice, so keep ``df`` narrow."""
     rows = df.drop("shard", "slot")
-    names = [f"`{c}`" for c in rows.columns]
-    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
-    own = rows.withColumn("_one", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain])).sortWithinPartitions("_one")
-    at = F.monotonically_increasing_id()
-    own = own.withColumn("_at", at)
-    own = written(own.select(*names, "_one", F.shiftright("_at", 33).alias("_pid"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")), "permuted")
-    counts = own.groupBy(F.col("_pid").alias("pid")).agg(F.count("*").alias("n"))
+    plain = [f"`{c}`" for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    # The place in the partition takes part, so equal rows get orders of their own; the caller's columns stay in one struct.
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *map(F.col, plain)).alias("one"))
+    own = own.sortWithinPartitions("one").withColumn("at", F.monotonically_increasing_id())
+    own = written(own.select("row", "one", F.shiftright("at", 33).alias("pid"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")), "permuted")
+    counts = own.groupBy("pid").agg(F.count("*").alias("n"))
     ends = F.expr("transform(sequence(1, size(counts)), i -> aggregate(slice(counts, 1, i), 0L, (a, b) -> a + b))")
-    matrix = written(communication_matrix(counts, shards, seed).select(F.col("pid").alias("_pid"), ends.alias("_ends")), "matrix")
-    sent = own.join(matrix, "_pid").withColumn("shard", F.expr("size(filter(_ends, e -> e <= _pos))")).drop("_ends")
+    matrix = written(communication_matrix(counts, shards, seed).select("pid", ends.alias("ends")), "matrix")
+    sent = own.join(matrix, "pid").withColumn("shard", F.expr("size(filter(ends, e -> e <= pos))")).drop("ends")
     total = own.count()
     slices = max(1, -(-total // (shards * SLICE)))
-    sent = sent.withColumn("_two", F.xxhash64(F.lit(seed + 1), "_one", "_pid", "_pos"))
-    sent = written(sent.withColumn("_slice", F.floor(F.shiftrightunsigned("_two", 2) / F.lit((1 << 62) // slices + 1))), "exchanged")
-    before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sent.groupBy("shard", "_slice").agg(F.count("*").alias("n")).withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("shard", "_slice").orderBy("_two", "_pid", "_pos"))
-    out = sent.withColumn("_n", place).join(starts, ["shard", "_slice"])
-    return out.select(*names, "shard", (F.col("_start") + F.col("_n") - 1).alias("slot"))
+    sent = sent.withColumn("two", F.xxhash64(F.lit(seed + 1), "one", "pid", "pos"))
+    sent = written(sent.withColumn("slice", F.floor(F.shiftrightunsigned("two", 2) / F.lit((1 << 62) // slices + 1))), "exchanged")
+    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sent.groupBy("shard", "slice").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("two", "pid", "pos"))
+    out = sent.withColumn("n", place).join(starts, ["shard", "slice"])
+    return out.select(*[F.col("row").getField(c).alias(c) for c in rows.columns], "shard", (F.col("start") + F.col("n") - 1).alias("slot"))

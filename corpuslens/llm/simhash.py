@@ -54,15 +54,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist()))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint`` (the 64 bits as a signed number) of every row; null text: zero."""
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([fingerprint(t) for t in binaries(batch.column("text"))], np.uint64).view(np.int64)
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], [*kept, "fingerprint"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in binaries(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint`` (the 64 bits as a signed number) of every row; null text: zero."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprinted, "doc_id long, fingerprint long")
 
 
 def _near(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -214,25 +215,33 @@ def similar_edges(docs: DataFrame) -> DataFrame:
 def keep_dissimilar(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group that links of a similarity of SIMILAR or more join (five-word shingles):
     the one with the smallest doc_id; ids as in :func:`keep_one`. Null texts are empty ones, and those are alike."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     roots = connected_components(similar_edges(own))
-    rows = own.select("doc_id", F.xxhash64("text").alias("node")).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    rows = written(rows, "rooted")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return _named(docs, rows.join(least, "root"))
+    rows = own.select("doc_id", F.xxhash64("text").alias("h"))
+    rows = rows.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
+    return _one_of_each(docs, written(rows, "rooted"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Of repeated rows with that
-    id one stays. Rows with a null doc_id can't be told apart and stay."""
-    return _named(docs, near_duplicates(docs, radius))
-
-
-def _named(docs: DataFrame, components: DataFrame) -> DataFrame:
-    found = components.where("doc_id is not null and doc_id = component_id")
-    kept = found.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("_kept"), "n")
-    kept = written(kept, "kept")
-    out = docs.join(kept.select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    if kept.where("n > 1").head(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each component of :func:`near_duplicates`: the one with the smallest doc_id. Of unlike
+    texts with one doc_id each counts for its own component; of several rows of a component with its smallest doc_id one
+    stays. Rows with a null doc_id can't be told apart and stay. An empty table stays empty."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(own.withColumn("h", F.xxhash64("text")).mapInArrow(_fingerprinted, "doc_id long, h long, fingerprint long"), "fingerprints")
+    roots = connected_components(covering_edges(rows.select(F.col("fingerprint").alias("fp")).distinct(), radius))
+    rows = rows.join(roots, F.col("fingerprint") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "fingerprint").alias("root"))
+    return _one_of_each(docs, written(rows, "rooted"))
+
+
+def _one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows: ``doc_id, h`` (of the text), ``root`` of every row of ``docs``."""
+    named = rows.where("doc_id is not null")
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
+    times = named.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    kept = written(least.join(times, ["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "n"), "kept")
+    nested = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = nested.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")))
+    out = found.where("n = 1").select("row").unionByName(nested.where("doc_id is null").select("row"))
+    if kept.where("n > 1").head(1):  # of repeated rows the one with the least hash
+        out = out.unionByName(found.where("n > 1").groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

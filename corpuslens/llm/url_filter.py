@@ -2,7 +2,7 @@
 
 Each distinct (host, path) is expanded into the expressions that a rule could have, an equi-join on the first
 eight hex digits of their SHA-256 finds candidate rules, the full digests confirm them, and the longest rule
-wins. Only suffix sizes and prefix lengths that occur among the rules are expanded, which loses nothing.
+wins. Only pairs of a suffix size and a prefix length that occur in a rule are expanded, which loses nothing.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most distinct host sizes (labels) and path lengths of rules; their number is checked.
-MAX_SHAPES = 512
 
 
 def host_of(url: Column) -> Column:
@@ -44,27 +42,23 @@ def filter_urls(df: DataFrame, url: str, rules: DataFrame, into: str = "url_filt
     )
     best = keyed.groupBy("rule").agg(F.max(F.struct(F.col("verdict") == "block", "verdict")).getField("verdict").alias("verdict"))
     known = best.select("rule", "verdict", F.sha2("rule", 256).alias("digest"), F.substring(F.sha2("rule", 256), 1, 8).alias("prefix"))
-    shapes = keyed.select(F.size(F.split("h", r"\.")).alias("labels"), F.length("path").alias("chars")).agg(
-        F.sort_array(F.collect_set("labels")).alias("labels"), F.sort_array(F.collect_set("chars")).alias("chars")
-    ).first()
-    if len(shapes.labels) > MAX_SHAPES or len(shapes.chars) > MAX_SHAPES:
-        raise ValueError(f"rules have more than {MAX_SHAPES} distinct host sizes or path lengths")
-    longest = max(shapes.chars, default=0)
+    shapes = keyed.select(F.size(F.split("h", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().orderBy("labels", "chars").collect()
+    longest = max((x.chars for x in shapes), default=0)
 
-    host, path = F.col("_h"), F.col("_p")
-    labels = F.size(F.split(host, r"\."))
-    suffixes = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in shapes.labels]))
-    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in shapes.chars]))
-    rows = df.withColumn(into, F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")))
-    key = {"_h": F.col(f"`{into}`.host"), "_p": F.substring(F.col(f"`{into}`.path"), 1, longest)}
-    asked = rows.select(*[v.alias(k) for k, v in key.items()]).distinct()
-    asked = asked.select("_h", "_p", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))).alias("e"))
+    # The caller's columns stay together in one struct, so no name of theirs can clash.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    rows = rows.withColumn("start", F.substring("path", 1, longest))
+    asked = rows.select(F.col("host").alias("_h"), F.col("start").alias("_p")).distinct()
+    labels, chars = F.size(F.split("_h", r"\.")), F.length("_p")
+    known_shapes = F.array(*[F.struct(F.lit(x.labels).alias("labels"), F.lit(x.chars).alias("chars")) for x in shapes]).cast("array<struct<labels:int,chars:int>>")
+    fitting = F.filter(known_shapes, lambda x: (x.labels <= labels) & (x.chars <= chars))
+    expressions = F.transform(fitting, lambda x: F.concat(F.call_function("substring_index", F.col("_h"), F.lit("."), -x.labels), F.substring(F.col("_p"), F.lit(1), x.chars)))
+    asked = asked.select("_h", "_p", F.explode(expressions).alias("e"))
     asked = asked.select("_h", "_p", F.sha2("e", 256).alias("full"))
     asked = asked.withColumn("prefix", F.substring("full", 1, 8))
     found = asked.join(known, "prefix").where("full = digest")
     found = found.groupBy("_h", "_p").agg(F.max(F.struct(F.length("rule"), "rule", "verdict")).alias("_best"))
     found = written(found, "rules")  # a side of its own, so that a hot host can be split
-    rows = rows.withColumns({f"_left{k}": v for k, v in key.items()})
-    out = rows.join(found, (F.col("_left_h") == F.col("_h")) & (F.col("_left_p") == F.col("_p")), "left")
-    judged = F.struct(F.col(f"`{into}`.host").alias("host"), F.col(f"`{into}`.path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
-    return out.select(*[judged.alias(into) if c == into else F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, into])])
+    out = rows.join(found, (F.col("host") == F.col("_h")) & (F.col("start") == F.col("_p")), "left")
+    judged = F.struct("host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return out.select(*[judged.alias(into) if c == into else F.col("row").getField(c).alias(c) for c in dict.fromkeys([*df.columns, into])])

@@ -167,6 +167,50 @@ def test_mixing(spark, sf_dir, odd):
         assert mixed.columns == docs.columns and mixed.count() == sum(r.n_rows * r.passes for r in plan)
 
 
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    rows = [(5, "a", "one two three four five", i % 3) for i in range(1000)] + [(i, "b", "w " * 9, 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, extra int")
+    plan = mixing.mixing_plan(docs).collect()
+    by = {s: (sum(r.size * r.passes * r.n_rows for r in plan if r.source == s), next(r.target for r in plan if r.source == s)) for s in "ab"}
+    assert all(abs(taken - target) <= 2 * 9 for taken, target in by.values())
+    mixed = mixing.mix(docs)
+    got = Counter(r.source for r in mixed.collect())
+    assert {s: got[s] * n for s, n in (("a", 5), ("b", 9))} == {s: taken for s, (taken, _) in by.items()}
+    assert rows_of(mixed, "doc_id", "extra") == rows_of(mixing.mix(docs.repartition(7)), "doc_id", "extra")
+
+
+CLASH = ["row", "r", "h", "n", "c", "d", "s", "t", "x", "_d", "_h", "_n", "_key", "_kept", "_one", "_new", "_p", "_best", "host", "path", "start", "at", "key", "node", "kept", "one", "two", "pid", "pos", "ends", "slice", "root", "size", "copy", "nth", "bits", "shard"]
+
+
+@pytest.mark.parametrize("apply", [mixing.mix, substring.cut_repeats, simhash.keep_one, simhash.keep_dissimilar, quality.keep_good, lambda d: sharding.shard(d.drop("shard"), 3), lambda d: url_filter.filter_urls(d, "text", url_filter.rules_frame(d.sparkSession, queries.URL_RULES))])
+def test_clashing_columns_nulls_and_empty_tables(spark, odd, apply):
+    docs = odd.drop("shard").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
+    docs = docs.unionByName(spark.createDataFrame([(77 + i, "word list number with some more words in it and then again some, until there are over twenty words in all of this text here", "en", "b", 1) for i in (0, 0, 1)], "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH]))
+    out = apply(docs)
+    for c in CLASH[:-1]:
+        assert {r[0] for r in out.select(f"`{c}`").distinct().collect()} <= {f"own {c}"}, c
+    assert set(docs.columns) - {"shard"} <= set(out.columns)
+    assert apply(docs.where("false")).count() == 0
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    words = [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    docs = spark.createDataFrame([(3, words[0], 1), (3, words[1], 2), (3, words[1], 2), (3, words[1], 5), (9, words[0], 3), (1, words[2], 4)], "doc_id long, text string, more int")
+    for keep in (simhash.keep_one, simhash.keep_dissimilar):
+        assert rows_of(keep(docs), "doc_id", "text") == Counter([(3, words[0]), (3, words[1]), (1, words[2])])
+
+
+def test_url_rules_of_many_shapes(spark):
+    rules = [(".".join("abcdefg"[: i % 7 + 1]), "/" + "y" * i, "block" if i % 2 else "allow") for i in range(900)]
+    urls = [f"http://x.{h}{p}{'y' * (i % 3)}" for i, (h, p, _) in enumerate(rules)][::7]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, "url", url_filter.rules_frame(spark, rules)).select("page_id", "url_filter.*").collect()}
+    for i, url in enumerate(urls):
+        host, _, path = url[7:].partition("/")
+        fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[i] == max(fits, key=lambda x: len(x[0]))
+
+
 def plain_fingerprint(text):
     w = b"".join(bytes([c + 32]) if 65 <= c <= 90 else bytes([c]) for c in (text or "").encode()).split()
     if not w:
