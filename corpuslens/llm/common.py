@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +75,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def binaries(column: pa.Array) -> list[bytes]:
-    """The values of an Arrow string column as UTF-8 bytes, null as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+def binaries(column: pa.Array) -> Iterator[bytes]:
+    """The values of an Arrow string column as UTF-8 bytes, null as empty; a few at a time."""
+    for i in range(0, len(column), 64):
+        for x in column.slice(i, 64).cast(pa.large_binary()).to_pylist():
+            yield b"" if x is None else x
 
 
 class WordHashes(dict):

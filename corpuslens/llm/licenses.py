@@ -1,18 +1,24 @@
-"""Licence scans: a trained paragraph classifier, in DataFrame and SQL operations only.
+"""Licence scans: a trained paragraph classifier, in DataFrame and SQL operations (and Spark ML) only.
 
-Paragraphs (lines) become sets of word pairs and triples. A multinomial logistic regression over the pairs and triples
-that occur in licence notices tells families and an unknown class apart; its unknown bound is calibrated on rows held out
-from training; and a prediction counts only if the paragraph holds enough of one of the family's notices. A paragraph
-without any known pair or triple has the intercept's score alone, and that is unknown, so it isn't scored further.
+Paragraphs are runs of lines with words; their lines are joined, so notices may be wrapped. They are looked at in windows of
+words, half of each shared with the next, that become sparse vectors of word pairs and triples. A multinomial logistic
+regression over the pairs and triples of licence notices tells families and an unknown class apart; its bound is calibrated
+on rows held out from training; and a prediction counts only if the window holds enough of one of the family's notices and
+the whole name of the licence, where the notice has one: a notice of a licence that differs by a word of its name is unknown.
+
+Texts without any key word are not looked at further. Key words are chosen so that a window without one can't hold enough of
+any notice, so nothing is lost.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -22,203 +28,209 @@ NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License"],
-    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "lgpl": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "This work is licensed under the GNU Lesser General Public License."],
+    "agpl": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "This work is licensed under the GNU Affero General Public License."],
+    "bsd-2-clause": ["Licensed under the BSD 2-Clause License."],
+    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "proprietary": ["All rights reserved."],
 }
+#: Names of licences as they stand in notices (fixed values).
+NAMES = [
+    "Apache License, Version 2.0", "MIT License", "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License", "BSD 2-Clause License",
+    "BSD 3-Clause License", "Mozilla Public License", "Eclipse Public License", "CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC BY-SA 4.0",
+    "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License",
+]
 UNKNOWN = "unknown"
-#: Different corpus paragraphs that stand for the unknown class in training (those with the smallest hashes), and the share of a
-#: notice that a paragraph must hold.
-SAMPLE, CONFIRM = 1_000, 0.7
-#: A notice that runs over several lines is looked for in so many characters on either side of a line's end (marks before
-#: a line's first word not counted), and in so many lines: twice the longest notice, and its words.
-REACH = 2 * max(len(t) for texts in NOTICES.values() for t in texts)
-LINES = max(len(t.split()) for texts in NOTICES.values() for t in texts)
-
-
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+#: Different corpus windows that stand for the unknown class in training (those with the smallest hashes), the share of a
+#: notice that a window must hold, and words of a notice below which it must begin a sentence.
+SAMPLE, CONFIRM, SHORT = 1_000, 0.7, 5
+_SPLIT, _NUMBER = r"[^\p{L}\p{N}]+", "\x01"
+#: Words put into notices for training: a name with one of them in it is another licence's name.
+STRANGE = ("lesser", "open", "academic", "simple", "european", "personal")
 
 
-def grams_of(line: Column) -> Column:
-    """The distinct word pairs and triples of a line; a single word stands for itself. The words are bound once, so the
-    work stays in proportion to the line."""
+def plain_words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
-    def pieces(words: Column) -> Column:
-        n, none = F.size(words), F.array().cast("array<string>")
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(words)
-        triples = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))).otherwise(none)
-        return F.array_distinct(F.concat(pairs, triples))
 
-    return F.transform(F.array(words_of(line)), pieces)[0]
+def plain_grams(words: list[str]) -> list[str]:
+    """Pairs and triples of words, each once."""
+    return list(dict.fromkeys(" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)))
 
 
-def known_grams_of(line: Column, vocabulary: list[str]) -> Column:
-    """The grams of a line that the vocabulary holds, as ``array_intersect(grams_of(line), vocabulary)`` has them. Pairs and
-    triples are only built where a word that begins a known gram stands before one that follows in one."""
-    split = [g.split(" ") for g in vocabulary]
-    first, second = sorted({g[0] for g in split if len(g) > 1}), sorted({g[1] for g in split if len(g) > 1})
-    known = F.array(*map(F.lit, vocabulary))
+class Notice:
+    def __init__(self, family: str, text: str) -> None:
+        self.family, self.text, self.words = family, text, plain_words(text)
+        self.grams = plain_grams(self.words)
+        joined = f" {' '.join(self.words)} "
+        names = [plain_words(n) for n in NAMES if f" {' '.join(plain_words(n))} " in joined]
+        self.name = max(names, key=len, default=[])
+        self.name_grams = [" ".join(self.name[i : i + 2]) for i in range(len(self.name) - 1)]
 
-    def pieces(words: Column) -> Column:
-        n, none = F.size(words), F.array().cast("array<string>")
-        starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(words, i).isin(first) & F.element_at(words, i + 1).isin(second))
+    def keys(self) -> set[str]:
+        """Words of which a window must hold one: the longest of the name, else the longest ones that take part in so many of
+        the grams that the others aren't enough."""
+        if self.name:
+            return {max(self.name, key=len)}
+        found: set[str] = set()
+        for w in sorted(set(self.words), key=lambda w: (-len(w), w)):
+            if sum(not found & set(g.split()) for g in self.grams) < CONFIRM * len(self.grams):
+                break
+            found.add(w)
+        return found
 
-        def around(at: Column) -> Column:
-            pairs = F.transform(at, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-            triples = F.transform(F.filter(at, lambda i: i < n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
-            return F.concat(pairs, triples)
 
-        found = F.transform(F.array(starts), around)[0]
-        return F.array_intersect(F.when(n > 1, found).when(n == 1, words).otherwise(none), known)
+def notices(families: dict[str, list[str]]) -> list[Notice]:
+    return [Notice(f, t) for f, texts in families.items() for t in texts]
 
-    return F.transform(F.array(words_of(line)), pieces)[0]
 
+def words_of(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), _SPLIT), lambda w: w != "")
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph`` (line number from 0) and ``line`` of every line with text."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.where(F.trim("line") != "")
 
+def _listed(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
-def joined(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph`` and ``line, rest, before`` of every line that text follows: the line's end, what follows it and
-    the end of the line before, each up to the next line without a word."""
-    marks = r"^[^\p{L}\p{N}]+"
 
-    def around(plain: Column) -> Column:
-        heads = F.transform(plain, lambda x: F.left(x, F.lit(REACH)))
+def _grams(words: Column) -> Column:
+    n, none = F.size(words), F.array().cast("array<string>")
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(none)
+    triples = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))).otherwise(none)
+    return F.concat(pairs, triples)
 
-        def one(heads: Column) -> Column:
-            return F.transform(plain, lambda x, i: F.struct(
-                i.alias("paragraph"), F.right(x, F.lit(REACH)).alias("line"),
-                F.left(F.substring_index(F.concat(F.array_join(F.slice(heads, i + 2, F.lit(LINES)), "\n"), F.lit("\n\n")), "\n\n", 1), F.lit(REACH)).alias("rest"),
-                F.when(i > 0, F.right(F.get(plain, i - 1), F.lit(REACH))).otherwise("").alias("before"),
-            ))
 
-        return F.transform(F.array(heads), one)[0]
+def _once(expression: Column, name: str) -> Column:
+    """Computed once, however often it is named later: an explosion of one element."""
+    return F.explode(F.array(expression)).alias(name)
 
-    # A line end at the start of what follows a line stands for a line without a word.
-    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, marks, ""))
-    rows = docs.select("doc_id", F.explode(F.transform(F.array(lines), around)[0]).alias("x")).select("doc_id", "x.*")
-    return rows.where((F.col("line") != "") & (F.col("rest") != "") & ~F.startswith("rest", F.lit("\n")))
 
+class Finder:
+    """What follows from the notices alone."""
 
-def _notices(docs: DataFrame) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("line")) for f, texts in NOTICES.items() for t in texts])
-    return docs.sparkSession.range(1).select(F.explode(rows).alias("x")).select("x.*")
+    def __init__(self, families: dict[str, list[str]] | None = None) -> None:
+        self.notices = notices(NOTICES if families is None else families)
+        self.families = [*dict.fromkeys(n.family for n in self.notices), UNKNOWN]
+        self.vocabulary = sorted({g for n in self.notices for g in n.grams})
+        self.keys = sorted(set().union(*(n.keys() for n in self.notices)))
+        self.reach = max(len(n.words) for n in self.notices)
+        either = "|".join(map(re.escape, self.keys))
+        self.has_key = rf"(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
+        short = ["[^\\p{L}\\p{N}]+".join(map(re.escape, n.words)) for n in self.notices if len(n.words) < SHORT]
+        self.begins = rf"(?i)(?:^|[^\p{{L}}\p{{N}}\s]|\d|^.*copyright.*)\s*(?:{'|'.join(short) or '(?!)'})"
 
+    def windows(self, docs: DataFrame) -> DataFrame:
+        """``id, doc_id, paragraph, at, words`` (with their lines) of all windows with a key word. ``id``: of the row."""
+        rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("id")).where(F.rlike(F.lower("text"), F.lit(self.has_key)))
+        numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(_NUMBER), x)), "\n")
+        blank = rf"(?:^|\n)\d+{_NUMBER}[^\p{{L}}\p{{N}}\n]*(?=\n|\z)"
+        rows = rows.select("id", "doc_id", F.posexplode(F.split(numbered, blank)).alias("paragraph", "part")).where(F.rlike(F.lower("part"), F.lit(self.has_key)))
 
-def training_rows(docs: DataFrame, templates: dict[str, list[list[str]]], sample: int = SAMPLE) -> DataFrame:
-    """``family, line, held``: notices as they are, with text before or after and without a word at either end; for the
-    unknown class corpus paragraphs that hold no notice, some followed by the first quarter of a notice. ``held``: every fifth row, for calibration."""
-    notices = _notices(docs)
-    lines = paragraphs(docs).select("line").where("length(line) <= 2000")
-    known = [F.array(*map(F.lit, t)) for texts in templates.values() for t in texts]
-    held = F.transform(F.array(grams_of(F.col("line"))), lambda g: F.greatest(*[F.size(F.array_intersect(g, t)) / F.size(t) for t in known]))[0]
-    hashed = lines.withColumn("_hash", F.xxhash64("line"))
-    least = written(hashed.select("_hash").distinct().orderBy("_hash").limit(sample), "least")  # copies of a line count once
-    corpus = hashed.join(least, "_hash", "left_semi").select("line").distinct().where(held < CONFIRM).select(F.row_number().over(_by_hash()).alias("k"), "line")
-    corpus, notices = written(corpus, "sample"), written(notices, "notices")  # small tables keep the plans below short
-    n = sum(map(len, NOTICES.values()))
-    numbered = notices.withColumn("k", F.row_number().over(_by_hash()))
-    beside = numbered.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("j", F.col("k") + F.col("at") * n)
-    beside = beside.join(corpus.select(F.col("k").alias("j"), F.substring_index("line", " ", 12).alias("other")), "j", "left")
-    beside = written(beside, "beside")
-    other, parts = F.coalesce("other", F.lit("")), F.split("line", " ")
-    forms = F.array(F.col("line"), F.concat_ws(" ", other, F.col("line")), F.concat_ws(" ", F.col("line"), other), F.concat_ws(" ", F.lit("Copyright 2024."), "line"))
-    shorter = F.when(F.size(parts) > 6, F.array(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " "), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " "))).otherwise(F.array().cast("array<string>"))
-    good = beside.select("family", F.explode(F.array_union(forms, shorter)).alias("line"))
-    half = beside.select(F.lit(UNKNOWN).alias("family"), F.concat_ws(" ", other, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(parts) / 4).cast("int"))), " ")).alias("line"))
-    rows = good.unionByName(half).unionByName(corpus.select(F.lit(UNKNOWN).alias("family"), "line")).distinct()
-    return written(rows.withColumn("held", F.pmod(F.xxhash64("line"), F.lit(5)) == 0), "training")
+        split = F.filter(F.split("part", "\n"), lambda x: x != "")
+        lines = F.transform(split, lambda x: F.struct(F.substring_index(x, _NUMBER, 1).cast("long").alias("n"), F.regexp_replace(x, rf"^\d+{_NUMBER}", "").alias("text")))
+        words = F.flatten(F.transform(lines, lambda x: F.transform(words_of(x.text), lambda w: F.struct(w.alias("w"), x.n.alias("n"), F.rlike(x.text, F.lit(self.begins)).alias("ok")))))
+        rows = rows.select("id", "doc_id", "paragraph", _once(words, "all"))
+        last = F.greatest(F.lit(0), F.ceil(F.size("all") / self.reach) - 2)
+        rows = rows.select("id", "doc_id", "paragraph", "all", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
+        rows = rows.select("id", "doc_id", "paragraph", "at", _once(F.slice("all", (F.col("at") * self.reach + 1).cast("int"), F.lit(2 * self.reach)), "words"))
+        return rows.where(F.exists("words", lambda x: x.w.isin(self.keys)))
 
+    def with_grams(self, rows: DataFrame) -> DataFrame:
+        known = F.array_intersect(_grams(F.col("words.w")), _listed(self.vocabulary))
+        return rows.select("*", _once(known, "grams")).where(F.size("grams") > 0)
 
-def _by_hash() -> WindowSpec:
-    """One window over the notices or the bounded sample, not over the corpus."""
-    return Window.orderBy(F.xxhash64("line"), "line")
+    def held(self, grams: Column) -> Column:
+        """Of each notice the share that the grams hold; 0 without its whole name."""
+        shares = []
+        for n in self.notices:
+            share = F.size(F.array_intersect(grams, _listed(n.grams))) / F.lit(float(len(n.grams)))
+            shares.append(F.when(F.size(F.array_intersect(grams, _listed(n.name_grams))) == len(n.name_grams), share).otherwise(F.lit(0.0)) if n.name else share)
+        return F.array(*shares)
 
 
 class Classifier:
-    """Weights by gram, intercepts and the calibrated bound, all on the driver: their number is that of the notices' grams."""
-
-    def __init__(self, docs: DataFrame, sample: int = SAMPLE) -> None:
-        grams = _notices(docs).select("family", grams_of(F.col("line")).alias("grams")).collect()
-        self.vocabulary = sorted({g for r in grams for g in r.grams})
-        self.templates = {f: [list(r.grams) for r in grams if r.family == f] for f in NOTICES}
-        self.families = [*NOTICES, UNKNOWN]
-        rows = written(training_rows(docs, self.templates, sample).select("family", "held", F.array_intersect(grams_of(F.col("line")), self._known()).alias("grams")), "features")
-        label = reduce(lambda c, f: c.when(F.col("family") == f, float(self.families.index(f))), self.families, F).cast("double")
-        present = F.transform(self._known(), lambda g: F.array_contains("grams", g).cast("double"))
-        data = rows.select("held", label.alias("label"), array_to_vector(present).alias("features")).coalesce(1).cache()
-        model = LogisticRegression(maxIter=40, regParam=2e-4, elasticNetParam=0.2, family="multinomial").fit(data.where("not held"))
-        weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-        data.unpersist()
-        self.bias = [round(float(x), 6) for x in bias]
-        self.weights = {g: [round(float(x), 6) for x in weights[:, i]] for i, g in enumerate(self.vocabulary) if abs(weights[:, i]).max() > 1e-6}
-        held = self.predict(rows.where("held")).where((F.col("family") == UNKNOWN) & (F.col("guess") != UNKNOWN))
+    """The regression, fitted on notices and on a bounded sample of the corpus, and its calibrated bound."""
+
+    def __init__(self, docs: DataFrame, sample: int = SAMPLE, families: dict[str, list[str]] | None = None) -> None:
+        self.finder = Finder(families)
+        rows = written(training_rows(docs, self.finder, sample), "training")
+        self.vectors = CountVectorizerModel.from_vocabulary(self.finder.vocabulary, "grams", "features", minTF=1.0)
+        label = reduce(lambda c, f: c.when(F.col("family") == f, float(self.finder.families.index(f))), self.finder.families, F).cast("double")
+        data = self.vectors.transform(rows.select("held", label.alias("label"), "family", "grams"))
+        fit = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.2, family="multinomial")
+        self.model = fit.fit(data.where("not held").select("label", "features").coalesce(1))
+        wrong = self.predict(rows.where("held")).where((F.col("family") == UNKNOWN) & (F.col("guess") != UNKNOWN))
         #: A family's probability must exceed what all but one in twenty of the held-out unknown rows that are taken for
         #: a family reach, and a half.
-        self.bound = min(0.9, max(0.5, held.agg(F.percentile("probability", F.lit(0.95))).first()[0] or 0.0))
-
-    def _known(self) -> Column:
-        return F.array(*map(F.lit, self.vocabulary))
+        self.bound = min(0.9, max(0.5, wrong.agg(F.percentile("probability", F.lit(0.95))).first()[0] or 0.0))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Adds ``guess`` and ``probability`` by ``grams``, the known grams of a row."""
-        table = F.create_map(*[x for g, w in self.weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))])
-        start = F.array(*map(F.lit, self.bias))
-        total = F.aggregate("grams", start, lambda a, g: F.zip_with(a, F.coalesce(F.element_at(table, g), F.array(*[F.lit(0.0)] * len(self.bias))), lambda x, y: x + y))
-        names = F.array(*map(F.lit, self.families))
-
-        def best(s: Column) -> Column:
-            top = F.array_max(s)
-            share = F.transform(F.array(top), lambda t: 1 / F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - t)))[0]
-            return F.struct(F.element_at(names, F.array_position(s, top).cast("int")).alias("guess"), F.round(share, 6).alias("probability"))
-
-        bound = F.transform(F.array(total), best)[0]  # the sums are bound once
-        return rows.select("*", bound.alias("_best")).select(*rows.columns, "_best.guess", "_best.probability")
-
-
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, paragraph, family, probability, similarity`` of each paragraph of ``docs`` that is a licence notice.
-
-    probability: the family's, above the calibrated bound; similarity: the largest share of one of its notices' grams that
-    the paragraph holds, at least CONFIRM. A notice wrapped over several lines has the number of its first one. Null, empty and blank texts have no paragraphs; paragraphs of any length count
-    whole; repeated rows give repeated results; null ids stay. A table without text trains on the notices alone.
+        """Adds ``guess`` and ``probability`` by ``grams``."""
+        found = self.model.transform(self.vectors.transform(rows)).withColumn("p", vector_to_array("probability")).drop("probability", "rawPrediction", "features")
+        guess = F.element_at(_listed(self.finder.families), F.col("prediction").cast("int") + 1)
+        return found.withColumn("guess", guess).withColumn("probability", F.round(F.array_max("p"), 6)).drop("p", "prediction")
+
+
+def training_rows(docs: DataFrame, finder: Finder, sample: int = SAMPLE) -> DataFrame:
+    """``family, grams, held``: notices as they are, without a word at either end, and with text around them; for the unknown
+    class notices with a strange word in the name, beginnings of notices, and windows of the corpus that hold a key word but
+    no notice, each once. ``held``: every fifth row, for calibration."""
+    plain: list[tuple[str, str]] = []
+    for n in finder.notices:
+        text = " ".join(n.words)
+        plain += [(n.family, x) for x in (text, f"copyright 2024 {text}", f"{text} see the file for more", f"the files here are {text} and so on", f"note {text}")]
+        if len(n.words) > 6:
+            plain += [(n.family, " ".join(n.words[1:])), (n.family, " ".join(n.words[:-1]))]
+        plain += [(UNKNOWN, " ".join(n.words[: len(n.words) // k])) for k in (2, 3, 4)]
+        for k, w in enumerate(x for x in STRANGE if x not in n.words):
+            i = 1 + k % max(1, len(n.name) - 1) if n.name else 0
+            if n.name:
+                plain.append((UNKNOWN, text.replace(" ".join(n.name), " ".join([*n.name[:i], w, *n.name[i:]]))))
+                plain.append((UNKNOWN, text.replace(" ".join(n.name), " ".join([*n.name[: i - 1], w, *n.name[i:]]))))
+    known = {f" {' '.join(n.name)} " for n in finder.notices if n.name}
+    plain = [(f, t) for f, t in dict.fromkeys(plain) if f != UNKNOWN or not any(x in f" {t} " for x in known)]
+    given = docs.sparkSession.createDataFrame(plain, "family string, line string").select("family", _grams(words_of(F.col("line"))).alias("grams"), F.xxhash64("line").alias("h"))
+    corpus = finder.with_grams(finder.windows(docs)).where(F.array_max(finder.held(F.col("grams"))) < CONFIRM)
+    corpus = corpus.select(F.array_sort("grams").alias("grams")).distinct().withColumn("h", F.xxhash64("grams")).orderBy("h", "grams").limit(sample)
+    return given.unionByName(corpus.withColumn("family", F.lit(UNKNOWN))).select("family", "grams", (F.pmod("h", F.lit(5)) == 0).alias("held"))
+
+
+def scan(docs: DataFrame, sample: int = SAMPLE, families: dict[str, list[str]] | None = None) -> DataFrame:
+    """``doc_id, paragraph, family, probability, similarity`` of each licence notice in ``docs`` (``doc_id, text``; other
+    columns play no part).
+
+    paragraph: the number of the line where the notice begins, from 0; probability: the family's, above the calibrated bound;
+    similarity: the share of the notice's pairs and triples that stand there, at least CONFIRM, its name whole. A notice of
+    fewer than SHORT words must begin a line or a sentence. Several notices on one line have a row for each family. Null,
+    empty and blank texts have no paragraphs; texts of any length count whole; repeated rows give repeated results; null ids
+    stay. A table without text trains on the notices alone.
     """
-    model = Classifier(docs, sample)
-    rows = paragraphs(docs).select("doc_id", "paragraph", known_grams_of(F.col("line"), model.vocabulary).alias("grams")).where("size(grams) > 0")
-    found = model.predict(rows).where((F.col("guess") != UNKNOWN) & (F.col("probability") > model.bound))
-    cases = F.lit(0.0)
-    for family, templates in model.templates.items():
-        shares = [F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) / F.lit(len(t)) for t in templates]
-        cases = F.when(F.col("guess") == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(cases)
-    found = found.withColumn("similarity", F.round(cases, 6)).where(F.col("similarity") >= CONFIRM)
-    columns = ["doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("guess").alias("family"), "probability", "similarity"]
-    return found.select(*columns).unionByName(_wrapped(docs, model).select(*columns))
-
-
-def _wrapped(docs: DataFrame, model: Classifier) -> DataFrame:
-    """Notices that no line holds enough of, but a line with those that follow it: at the line where they begin. The line
-    must add to what follows it, and the line before must not."""
-    rows = joined(docs)
-    whole = F.concat_ws("\n", "line", "rest")
-    rows = rows.withColumn("grams", known_grams_of(whole, model.vocabulary)).where("size(grams) > 1")
-    other = [known_grams_of(x, model.vocabulary).alias(n) for n, x in (("_own", F.col("line")), ("_rest", F.col("rest")), ("_more", F.concat_ws("\n", "before", "line", "rest")))]
-    enough = [F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) >= F.lit(CONFIRM * len(t)) for texts in model.templates.values() for t in texts]
-    rows = rows.where(reduce(lambda a, b: a | b, enough)).select("doc_id", "paragraph", "grams", *other)
+    model = Classifier(docs, sample, families)
+    finder = model.finder
+    rows = finder.with_grams(finder.windows(docs)).select("*", _once(finder.held(F.col("grams")), "shares"))
     cases = []
-    for family, templates in model.templates.items():
-        for t in templates:
-            known = F.array(*map(F.lit, t))
-            n, own, rest, more = (F.size(F.array_intersect(x, known)) for x in ("grams", "_own", "_rest", "_more"))
-            begins = (n >= CONFIRM * len(t)) & (own < CONFIRM * len(t)) & (n > rest) & (n >= more)
-            cases.append(F.when(begins, F.struct(F.round(n / F.lit(len(t)), 6).alias("similarity"), F.lit(family).alias("family"), F.array_intersect("grams", known).alias("grams"))))
-    found = F.filter(F.array(*cases), lambda x: x.isNotNull())
-    best = F.filter(F.sort_array(found, asc=False), lambda x, i: i == 0)
-    rows = rows.select("doc_id", "paragraph", F.explode(best).alias("x")).select("doc_id", "paragraph", "x.*")
-    return model.predict(rows).where((F.col("guess") == F.col("family")) & (F.col("probability") > model.bound)).drop("family")
+    for i, n in enumerate(finder.notices):
+        own = F.array_intersect("grams", _listed(n.grams))
+        # Another notice that holds most of the same grams and more of itself is what stands there.
+        more = [F.get("shares", F.lit(j)) > F.get("shares", F.lit(i)) for j, o in enumerate(finder.notices) if o.family != n.family and 2 * len(set(o.grams) & set(n.grams)) >= len(n.grams)]
+        worse = reduce(lambda a, b: a | b, more, F.lit(False))
+        fits = (F.get("shares", F.lit(i)) >= CONFIRM) & ~worse
+        cases.append(F.when(fits, F.struct(F.lit(i).alias("notice"), F.lit(n.family).alias("family"), F.lit(len(n.words)).alias("length"), F.get("shares", F.lit(i)).alias("similarity"), own.alias("own"), _listed(n.grams).alias("whole"))))
+    rows = rows.select("id", "doc_id", "paragraph", "at", "words", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("c"))
+    pair = lambda i: F.concat_ws(" ", F.element_at("words.w", i), F.element_at("words.w", i + 1))
+    first = F.array_min(F.filter(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.array_contains(F.col("c.whole"), pair(i))))
+    rows = rows.select("*", _once(first, "first")).select("id", "doc_id", "paragraph", "at", "c.*", "first", F.element_at("words", F.col("first")).alias("word"))
+    rows = rows.where((F.col("length") >= SHORT) | F.col("word.ok")).withColumnRenamed("own", "grams")
+    found = model.predict(rows).where((F.col("guess") == F.col("family")) & (F.col("probability") > model.bound))
+    # A notice at the end of a window stands at the beginning of the next one too.
+    place = F.col("at") * finder.reach + F.col("first")
+    before = F.lag(place).over(Window.partitionBy("id", "paragraph", "notice").orderBy("at"))
+    found = found.withColumn("same", F.coalesce(place - before < F.col("length"), F.lit(False))).where("not same")
+    found = found.groupBy("id", "doc_id", F.col("word.n").alias("line"), "family").agg(F.max("probability").alias("probability"), F.round(F.max("similarity"), 6).alias("similarity"))
+    return found.select("doc_id", F.col("line").alias("paragraph"), "family", "probability", "similarity")

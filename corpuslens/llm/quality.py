@@ -41,7 +41,7 @@ SPREAD = 0x9E3779B97F4A7C15 % (1 << 2 * UNIT_BITS)
 GATHER = pow(SPREAD, -1, 1 << 2 * UNIT_BITS)
 #: Pieces for which a shard of the table is made, pairs gathered in a worker before they are sent on, and bytes of text
 #: looked at together (longer texts are read on from their last space).
-SHARD, HELD, BLOCK = 16_000_000, 2_000_000, 1 << 20
+SHARD, HELD, BLOCK = 16_000_000, 500_000, 1 << 18
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -413,7 +413,7 @@ def _score(vocabulary: Broadcast, hot: Broadcast, shards: int):
         known, (hot_keys, hot_costs) = WordHashes(), hot.value
         base, before, done = TaskContext.get().partitionId() << 33, 0, 0
         keys, rows, held = [], [], 0
-        last, partly = None, (0, 0)
+        partly = 0, 0
 
         def filled(n: int, columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _SCORED], schema=_SCORED)
@@ -427,8 +427,6 @@ def _score(vocabulary: Broadcast, hot: Broadcast, shards: int):
             return filled(len(found), columns)
 
         for batch, own, parts, going, more in blocks(batches):
-            if batch is not last:
-                texts, last = binaries(batch.column("text")), batch
             p = pieces(parts)
             ids, owner = units(p, vocabulary.value)
             pair = pairs_of(ids, owner, before if going else 0)
@@ -452,7 +450,7 @@ def _score(vocabulary: Broadcast, hot: Broadcast, shards: int):
             if more:
                 partly = int(total[0]), int(terms[0])
             else:
-                counts = list(zip(*(counts_of(texts[i], known) for i in own), strict=True))
+                counts = list(zip(*(counts_of(t, known) for t in (binaries(batch.column("text").slice(own[0], 1)) if going else parts)), strict=True))
                 here = pa.array(own)
                 columns = {"row": pa.array(base + done + np.arange(len(own))), "n_terms": pa.array(terms.astype(np.int64)), "cost": pa.array(total)} | {c: batch.column(c).take(here) for c in ("doc_id", "lang", "key")}
                 columns |= {x.split()[0]: pa.array(c, pa.int64()) for x, c in zip(COUNTS.split(", "), counts, strict=True)}

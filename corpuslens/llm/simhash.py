@@ -169,8 +169,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = np.zeros((batch.num_rows, BANDS), np.uint64)
         for i, text in enumerate(binaries(batch.column("text"))):
             h, least = shingles(text, known), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-            for s in range(0, len(h), 16_384):
-                least = np.minimum(least, mixed(h[s : s + 16_384, None] * _TURNS).min(axis=0))
+            for s in range(0, len(h), 1_024):
+                least = np.minimum(least, mixed(h[s : s + 1_024, None] * _TURNS).min(axis=0))
             for row in least.reshape(BANDS, ROWS).T:
                 bands[i] = mixed(bands[i] * np.uint64(0x9E3779B97F4A7C15) + row)
         column = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
@@ -180,8 +180,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
-        sets = [shingles(t, known).view(np.int64) for t in binaries(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [shingles(t, known).view(np.int64) for t in binaries(part.column("text"))]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
 
 def similar_edges(docs: DataFrame) -> DataFrame:

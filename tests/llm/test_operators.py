@@ -475,14 +475,41 @@ def test_pipeline(spark, sf_dir):
     assert got == ids
 
 
-def test_known_grams_are_those_of_the_whole_line(spark):
-    lines = ["", " . ", "the", "Released under the MIT License.", "so the work is licensed under the GNU General Public License", "under the the under", "all rights"]
-    vocabulary = ["under the", "the work", "is licensed under", "licensed under", "all rights", "under the gnu", "the"]
-    rows = spark.createDataFrame([(x,) for x in lines], "line string")
-    known = F.array(*map(F.lit, vocabulary))
-    pairs = rows.select(F.array_sort(F.array_intersect(licenses.grams_of(F.col("line")), known)).alias("whole"), F.array_sort(licenses.known_grams_of(F.col("line"), vocabulary)).alias("found")).collect()
-    assert [r.found for r in pairs] == [r.whole for r in pairs]
-    assert sum(map(len, (r.found for r in pairs))) > 5
+def test_license_key_words_lose_nothing():
+    finder = licenses.Finder()
+    for n in finder.notices:
+        keys = set(finder.keys)
+        left = [g for g in n.grams if not keys & set(g.split())]
+        assert len(left) < licenses.CONFIRM * len(n.grams) or keys & set(n.name)
+
+
+def test_licenses_by_brute_force(spark):
+    """Notices in forms that training has not: edited, wrapped, in comments, beside others; and licences left out of training."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(words, n).tolist())
+    docs, want = [], set()
+    for f, texts in licenses.NOTICES.items():
+        for t in texts:
+            docs.append((len(docs), f"{prose(400)}\n{prose(5)}. {t} {prose(7)}\n\n{prose(30)}"))
+            want.add((len(docs) - 1, 1, f))
+            if len(t.split()) > 12:
+                edited = t.split()
+                edited[1] = "edited"
+                docs.append((len(docs), f"/* {prose(200)}\n *\n * " + "\n * ".join(" ".join(edited[i : i + 6]) for i in range(0, len(edited), 6))))
+                want.add((len(docs) - 1, 2, f))
+    both = f"Released under the MIT License. {prose(100)}\nLicensed under CC BY 4.0."
+    docs.append((900, both))
+    want |= {(900, 0, "mit"), (900, 1, "cc-by-4.0")}
+    docs += [(901, "We do not say all rights reserved. here"), (902, "This work is licensed under the GNU Library General Public License, version 3."), (903, "the license of the software and the general public"), (904, None), (905, "Licensed under the Creative Commons licence")]
+    docs += [(None, "Copyright 2024 A. All rights reserved."), (None, "Copyright 2024 A. All rights reserved.")]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, words string")
+    got = Counter((r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame).collect())
+    assert got == Counter(want) + Counter({(None, 0, "proprietary"): 2})
+    without = {f: t for f, t in licenses.NOTICES.items() if f not in ("lgpl", "agpl", "cc-by-sa-4.0")}
+    left_out = spark.createDataFrame([(i, t) for i, t in enumerate(x for f in ("lgpl", "agpl", "cc-by-sa-4.0") for x in licenses.NOTICES[f])], "doc_id long, text string")
+    assert licenses.scan(left_out, families=without).collect() == []
+    assert licenses.scan(frame.where("false")).count() == 0
 
 
 def test_quality_rejects_junk_and_keeps_clean_documents(spark):
@@ -575,9 +602,11 @@ def test_quality_bits_do_not_depend_on_hot_pairs(spark, monkeypatch):
     assert rows_of(quality.judge(docs), "doc_id", "bits") == want
 
 
-def test_license_sample_counts_different_lines(spark):
-    lines = [f"line of number {i}" for i in range(100)]
+def test_license_sample_counts_different_windows(spark):
+    lines = [f"the license of number {i} is subject to the terms" + " of the general public" * (i % 7) for i in range(100)]
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines * 30)], "doc_id long, text string")
-    templates = {f: [[t] for t in texts] for f, texts in licenses.NOTICES.items()}
-    rows = licenses.training_rows(docs, templates, 60)
-    assert rows.where(F.col("line").isin(lines)).count() == 60
+    finder = licenses.Finder()
+    whole, few = (licenses.training_rows(docs, finder, n).count() for n in (60, 0))
+    assert 1 < whole - few <= 60
+    rows = [tuple(sorted(r.grams)) for r in finder.with_grams(finder.windows(docs)).collect()]
+    assert len(rows) == 3000 and len(set(rows)) == whole - few
