@@ -120,21 +120,27 @@ class Finder:
         self.vocabulary = sorted({g for n in self.notices for g in n.grams})
         self.keys = sorted(set().union(*(n.keys() for n in self.notices)))
         self.reach = max(len(n.words) for n in self.notices)
-        either = "|".join(map(re.escape, self.keys))
-        self.has_key = rf"(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
+        #: Key words of a few letters stand in many words; what follows them in a name is looked for with them.
+        pairs = [(k, next((g for g in n.name_grams if k in g.split()), k)) for n in self.notices for k in n.keys() if len(k) < 5]
+        self.pairs = sorted({r"[^\p{L}\p{N}]+".join(map(re.escape, g.split())) for _, g in pairs})
         short = ["[^\\p{L}\\p{N}]+".join(map(re.escape, n.words)) for n in self.notices if len(n.words) < SHORT]
         self.begins = rf"(?i)(?:^|[^\p{{L}}\p{{N}}\s]|\d|^.*copyright.*)\s*(?:{'|'.join(short) or '(?!)'})"
 
+    def has_key(self, text: Column) -> Column:
+        """True wherever a key word stands; sometimes elsewhere."""
+        return F.exists(F.array(F.lower(text)), lambda x: reduce(lambda a, b: a | b, [*(F.contains(x, F.lit(k)) for k in self.keys if len(k) > 4), *(F.rlike(x, F.lit(p)) for p in self.pairs)]))
+
     def windows(self, docs: DataFrame) -> DataFrame:
         """``id, doc_id, paragraph, at, words`` (with their lines) of all windows with a key word. ``id``: of the row."""
-        rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("id")).where(F.rlike(F.lower("text"), F.lit(self.has_key)))
+        rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("id")).where(self.has_key(F.col("text")))
         numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(_NUMBER), x)), "\n")
         blank = rf"(?:^|\n)\d+{_NUMBER}[^\p{{L}}\p{{N}}\n]*(?=\n|\z)"
-        rows = rows.select("id", "doc_id", F.posexplode(F.split(numbered, blank)).alias("paragraph", "part")).where(F.rlike(F.lower("part"), F.lit(self.has_key)))
+        rows = rows.select("id", "doc_id", F.posexplode(F.split(numbered, blank)).alias("paragraph", "part")).where(self.has_key(F.col("part")))
 
         split = F.filter(F.split("part", "\n"), lambda x: x != "")
-        lines = F.transform(split, lambda x: F.struct(F.substring_index(x, _NUMBER, 1).cast("long").alias("n"), F.regexp_replace(x, rf"^\d+{_NUMBER}", "").alias("text")))
-        words = F.flatten(F.transform(lines, lambda x: F.transform(words_of(x.text), lambda w: F.struct(w.alias("w"), x.n.alias("n"), F.rlike(x.text, F.lit(self.begins)).alias("ok")))))
+        plain = F.transform(split, lambda x: F.struct(F.substring_index(x, _NUMBER, 1).cast("long").alias("n"), F.regexp_replace(x, rf"^\d+{_NUMBER}", "").alias("text")))
+        lines = F.transform(plain, lambda x: F.struct(x.n.alias("n"), words_of(x.text).alias("words"), F.rlike(x.text, F.lit(self.begins)).alias("ok")))
+        words = F.flatten(F.transform(lines, lambda x: F.transform(x.words, lambda w: F.struct(w.alias("w"), x.n.alias("n"), x.ok.alias("ok")))))
         rows = rows.select("id", "doc_id", "paragraph", _once(words, "all"))
         last = F.greatest(F.lit(0), F.ceil(F.size("all") / self.reach) - 2)
         rows = rows.select("id", "doc_id", "paragraph", "all", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
