@@ -143,9 +143,9 @@ class Finder:
         words = F.flatten(F.transform(lines, lambda x: F.transform(x.words, lambda w: F.struct(w.alias("w"), x.n.alias("n"), x.ok.alias("ok")))))
         rows = rows.select("id", "doc_id", "paragraph", _once(words, "all"))
         last = F.greatest(F.lit(0), F.ceil(F.size("all") / self.reach) - 2)
-        rows = rows.select("id", "doc_id", "paragraph", "all", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
-        rows = rows.select("id", "doc_id", "paragraph", "at", _once(F.slice("all", (F.col("at") * self.reach + 1).cast("int"), F.lit(2 * self.reach)), "words"))
-        return rows.where(F.exists("words", lambda x: x.w.isin(self.keys)))
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("at"), F.slice("all", (i * self.reach + 1).cast("int"), F.lit(2 * self.reach)).alias("words")))
+        parts = F.filter(parts, lambda x: F.exists(x.words, lambda y: y.w.isin(self.keys)))
+        return rows.select("id", "doc_id", "paragraph", F.explode(parts).alias("x")).select("id", "doc_id", "paragraph", "x.at", "x.words")
 
     def with_grams(self, rows: DataFrame) -> DataFrame:
         known = F.array_intersect(_grams(F.col("words.w")), _listed(self.vocabulary))
