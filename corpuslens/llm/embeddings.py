@@ -21,12 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import dealt, groups, join_groups, shared
 from .common import drop_written, written
 from .components import connected_components
 
 COSINE = 0.9
-#: A longer inverted list is cut into blocks; and pairs of places counted at once.
-BLOCK, AT_ONCE = 2_048, 4_000_000
+#: A longer inverted list is cut into blocks.
+BLOCK = 2_048
 
 
 def index_shape(n: int) -> tuple[int, int, int, int]:
@@ -99,53 +100,6 @@ def _described(pivots: int, near: int, first: int, seed: int, kind: str):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
-    """The rows of each (key, one, two), which come sorted."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
-        cuts = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(keys[a].tolist())
-            if held and key != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many numbers each row of ``a`` shares with each row of ``b`` (both without repeats in a row; negative numbers
-    are left out): from inverted lists of the numbers, every pair of places in a list adds one."""
-    na, nb = len(a), len(b)
-    out = np.zeros(na * nb, np.int32)
-
-    def lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, value = np.repeat(np.arange(len(x)), x.shape[1]), x.ravel()
-        row, value = row[value >= 0], value[value >= 0]
-        order = np.argsort(value, kind="stable")
-        return value[order], row[order]
-
-    (va, ra), (vb, rb) = lists(a), lists(b)
-    low, high = np.searchsorted(vb, va), np.searchsorted(vb, va, side="right")
-    many = high - low
-    ends = np.cumsum(many)
-    at = 0
-    while at < len(va):
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, side="right")))
-        n = many[at:to]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
-        out += np.bincount(np.repeat(ra[at:to], n) * nb + rb[place], minlength=na * nb).astype(np.int32)
-        at = to
-    return out.reshape(na, nb)
-
-
 def candidates(key: int, heads_a: np.ndarray, heads_b: np.ndarray, first: int, enough: int) -> np.ndarray:
     """Which pairs share enough pivots and have ``key`` as the least pivot among the first few of both."""
     found = shared(heads_a, heads_b) >= enough
@@ -165,7 +119,7 @@ def _counted(pivots: int, near: int, first: int, enough: int):
     """``key, id``: the vectors of a list that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches):
+        for key, rows in groups(batches):
             if rows.num_rows < 2:
                 continue
             heads, a, b = _sides(key, rows, near)
@@ -183,7 +137,7 @@ def _verified(pivots: int, near: int, first: int, enough: int, cosine: float, ki
     """``id, links, other``: how many vectors link to this one here, and the least one that links reach here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches):
+        for key, rows in groups(batches):
             if rows.num_rows < 2:
                 continue
             heads, a, b = _sides(key, rows, near)
@@ -201,7 +155,7 @@ def _verified(pivots: int, near: int, first: int, enough: int, cosine: float, ki
                 np.add.at(counts, p, copies[q])
                 if key[1] != key[2]:
                     np.add.at(counts, q, copies[p])
-                _join(root, p, q)
+                join_groups(root, p, q)
             linked = np.flatnonzero(counts)
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(counts[linked]), pa.array(ids[root[linked]])], ["id", "links", "other"])
@@ -209,30 +163,6 @@ def _verified(pivots: int, near: int, first: int, enough: int, cosine: float, ki
     return run
 
 
-def _join(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
-    """Joins the groups of p and q, pair by pair, in ``root``: the least member of each member's group."""
-    while True:
-        u, v = root[p], root[q]
-        if (u == v).all():
-            return
-        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root[:] = up
-
-
-def _dealt(postings: DataFrame) -> DataFrame:
-    """Rows with ``key`` and ``id``, in blocks of their lists: each row once for every two blocks that its own is one of."""
-    sizes = written(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sizes")
-    rows = postings.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("one"), F.greatest(x, "block").alias("two")))
-    one = F.array(F.struct(F.col("block").alias("one"), F.col("block").alias("two")))
-    rows = rows.select(*postings.columns, "block", F.explode(F.when(F.col("blocks") == 1, one).otherwise(meet)).alias("m")).select(*postings.columns, "block", "m.one", "m.two")
-    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-
-
 def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape: tuple[int, int, int, int] | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``df`` (``vec_id, embedding``).
 
@@ -251,10 +181,10 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape:
     heads = nodes.select("id", "copies", "vector").mapInArrow(_described(pivots, near, first, seed, kind), "id long, copies long, head binary, lists array<long>")
     heads = written(heads, "heads")
     postings = heads.select("id", "head", F.explode("lists").alias("key"))
-    wanted = _dealt(postings).mapInArrow(_counted(pivots, near, first, enough), "key long, id long")
+    wanted = dealt(postings, F.ceil(F.count("*") / BLOCK)).mapInArrow(_counted(pivots, near, first, enough), "key long, id long")
     wanted = written(wanted.distinct(), "wanted")
     sent = wanted.join(heads.select("id", "copies", "head"), "id").join(nodes.select("id", "vector"), "id")
-    found = written(_dealt(sent).mapInArrow(_verified(pivots, near, first, enough, cosine, kind), "id long, links long, other long"), "links")
+    found = written(dealt(sent, F.ceil(F.count("*") / BLOCK)).mapInArrow(_verified(pivots, near, first, enough, cosine, kind), "id long, links long, other long"), "links")
     drop_written(wanted)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -42,6 +42,7 @@ GATHER = pow(SPREAD, -1, 1 << 2 * UNIT_BITS)
 #: Pieces for which a shard of the table is made, pairs gathered in a worker before they are sent on, and bytes of text
 #: looked at together (longer texts are read on from their last space).
 SHARD, HELD, BLOCK = 16_000_000, 500_000, 1 << 18
+LEAST_SHARDS = 32
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -343,9 +344,9 @@ class Model:
         # n * VOCABULARY >= total holds for at most VOCABULARY pieces
         units_ = counts.where(F.col("n") * VOCABULARY >= self.total).select("piece").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
         self.vocabulary = spark.sparkContext.broadcast(np.sort(units_))
-        self.shards = 1 << max(0, (self.total // SHARD).bit_length())
+        self.shards = max(LEAST_SHARDS, 1 << (self.total // SHARD).bit_length())
         sent = texts.mapInArrow(_pair_counts(self.vocabulary, self.shards), "shard int, keys binary, counts binary")
-        self.table = written(sent.repartition(self.shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard int, keys binary, counts binary"), "pairs")
+        self.table = written(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard int, keys binary, counts binary"), "pairs")
         self.smoothing = spark.sparkContext.broadcast(_smoothing(self.table))
         self.hot = spark.sparkContext.broadcast(self._hot())
 
@@ -496,7 +497,7 @@ def scored(docs: DataFrame) -> DataFrame:
     both = written(_keyed(docs).mapInArrow(_score(model.vocabulary, model.hot, model.shards), schema), "asked")
     asked = both.where("row is null").select("shard", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("counts"), "keys", "rows")
     known = model.table.select("shard", F.lit(0).alias("kind"), "counts", "keys", F.lit(None).cast("binary").alias("rows"))
-    told = known.unionByName(asked).repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
+    told = known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
     rare = told.mapInArrow(_answers(model.smoothing), "row long, rare long").groupBy("row").agg(F.sum("rare").alias("rare"))
     found = both.where("row is not null").drop("shard", "keys", "rows").join(rare, "row", "left")
     bits = F.round((F.col("cost") + F.coalesce("rare", F.lit(0))) / F.lit(1_000_000) / F.greatest("n_terms", F.lit(1)), 6)

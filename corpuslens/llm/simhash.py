@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import counted, dealt, groups, join_groups, sorted_lists
 from .common import WordHashes, binaries, mixed, windows, written
 from .components import connected_components
 
@@ -25,6 +26,8 @@ SEED = 42
 #: Of the pipeline's stage: words in a shingle, least Jaccard similarity, and MinHash bands of so many rows that bring
 #: texts together (a pair at a similarity of 0.8 misses all bands with a probability of 0.000003).
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 4
+#: Texts, and their shingles, that are compared with others in one task, about.
+BLOCK, BLOCK_SHINGLES = 2_048, 1_000_000
 _TURNS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -207,12 +210,43 @@ def similar_edges(docs: DataFrame) -> DataFrame:
 
     stars = written(confirmed(members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))), "stars")
     roots = connected_components(stars)
-    members = members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    members = members.join(roots, "node", "left").select("band", "key", "node", "least", F.coalesce("root", "node").alias("root"))
     open_ = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    rest = written(members.join(open_, ["band", "key"]), "open")
-    other = rest.select("band", "key", F.col("node").alias("b"), F.col("root").alias("_root"))
-    pairs = rest.join(other, ["band", "key"]).where("root != _root and node < b").select(F.col("node").alias("a"), "b")
-    return stars.unionByName(confirmed(pairs))
+    rest = written(members.join(open_, ["band", "key"]).select("node", "least").distinct(), "open")
+    # Texts that buckets left in several components hold, by what buckets join: compared in blocks, and only edges written.
+    loose = connected_components(rest.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    grouped = rest.select("node").distinct().join(loose, "node", "left").select(F.coalesce("root", "node").alias("key"), F.col("node").alias("id"))
+    grouped = grouped.join(sets.select(F.col("node").alias("id"), "shingles"), "id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES))
+    return stars.unionByName(dealt(grouped, blocks).mapInArrow(_compared, "a long, b long"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the texts of two blocks as far as their similarity does, each text to the least of its group."""
+    for (_, one, two), rows in groups(batches):
+        if rows.num_rows < 2:
+            continue
+        ids, block = rows.column("id").to_numpy(), rows.column("block").to_numpy()
+        own = rows.column("shingles").combine_chunks()
+        sizes = np.diff(own.offsets.to_numpy())
+        value, row = own.values.to_numpy()[own.offsets[0].as_py() : own.offsets[-1].as_py()], np.repeat(np.arange(len(ids)), sizes)
+        a = np.flatnonzero(block == one)
+        b = a if one == two else np.flatnonzero(block == two)
+        at = np.full(len(ids), -1)
+        at[b] = np.arange(len(b))
+        inside = at[row] >= 0
+        vb, rb = sorted_lists(value[inside], at[row][inside])
+        root = np.arange(len(ids))
+        for s in range(0, len(a), 256):
+            part = a[s : s + 256]
+            place = np.full(len(ids), -1)
+            place[part] = np.arange(len(part))
+            inside = place[row] >= 0
+            n = counted(*sorted_lists(value[inside], place[row][inside]), len(part), vb, rb, len(b))
+            i, j = np.nonzero(n >= SIMILAR * (sizes[part][:, None] + sizes[b][None, :] - n))
+            join_groups(root, part[i], b[j])
+        found = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root[found]]), pa.array(ids[found])], ["a", "b"])
 
 
 def keep_dissimilar(docs: DataFrame) -> DataFrame:

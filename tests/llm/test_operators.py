@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuslens.llm import embeddings, licenses, mixing, packing, quality, queries, sharding, simhash, substring, tokens, url_filter
+from corpuslens.llm import blocks, embeddings, licenses, mixing, packing, quality, queries, sharding, simhash, substring, tokens, url_filter
 from corpuslens.llm.components import connected_components
 
 PASSAGE = " ".join(f"w{i}" for i in range(70))
@@ -366,7 +366,7 @@ def test_shared_pivots_are_counted():
     rng = np.random.default_rng(6)
     a, b = (np.array([rng.choice(40, 12, replace=False) for _ in range(n)]) for n in (30, 50))
     for at_once in (7, 4_000_000):
-        embeddings.AT_ONCE = at_once
+        blocks.AT_ONCE = at_once
         assert (embeddings.shared(a, b) == [[len(set(x) & set(y)) for y in b.tolist()] for x in a.tolist()]).all()
 
 
@@ -576,6 +576,25 @@ def test_pipeline_drops_documents_of_similarity_eight_tenths(spark, sf_dir, odd)
         assert kept == Counter([(x,) for x in least.values()] + [(None,) for s in sets.values() for d in s if d is None])
 
 
+def test_loose_groups_are_compared_in_blocks(spark, monkeypatch):
+    """Copies with edits of their own, alike to some of the others only, over few and many blocks."""
+    rng = np.random.default_rng(14)
+    base, texts = [f"b{x}" for x in rng.integers(0, 9000, 160)], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(160, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(150) for j in range(i + 1, 150) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    of = components(range(150), near)
+    for block in (2048, 20):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert rows_of(simhash.keep_dissimilar(docs), "doc_id") == Counter((i,) for i in set(of.values()))
+    assert 1 < len(set(of.values())) < 140
+
+
 def test_licenses_wrapped_over_lines(spark):
     import textwrap
 
