@@ -14,6 +14,7 @@ from .functions import text as T
 from .functions.pandas_udfs import front_matter
 from .operators import compare, diffing, index, similarity
 from .plans.scan import Scan
+from .scratch import cut
 from .sinks import exports
 from .sources import files as source
 
@@ -73,7 +74,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: A
     files = source.scan(spark, args.root)
     installed = source.installed_plugins(spark, args.installed_file) if Path(args.installed_file).exists() else None
     scan = Scan(files)
-    sets = lambda spec: similarity.with_shingles(source.baseline(files, spec, installed))
+    sets = lambda spec: cut(similarity.with_shingles(source.baseline(files, spec, installed)))
     if args.command == "scan":
         exports.write_tables(scan, args.data)
         exports.report(scan).coalesce(1).write.mode("overwrite").text(f"{args.data}/report")

@@ -17,10 +17,9 @@ def glob_regex(pattern: str) -> str:
 
 
 def where(located: DataFrame, query: str) -> DataFrame:
-    """Locations (``filename, cluster_id, ...``) of the clusters that hold a file of that name; if there is none, of a file
-    that matches the pattern or holds a match, and of those the locations whose name matches or holds the query."""
-    exact = located.where(F.col("filename") == query)
-    hit = located.join(exact.select("cluster_id").distinct(), "cluster_id", "left_semi").where(F.col("filename") == query)
+    """Locations (``filename, cluster_id, ...``) of the files with the name that the query ends in (after its last slash); if
+    there is none, of the clusters that hold a file that matches the pattern or holds a match, and of those the locations whose name matches or holds the query."""
+    hit = located.where(F.col("filename") == query.rsplit("/", 1)[-1])
     if hit.head(1):
         return hit
     name = F.col("filename")

@@ -13,6 +13,7 @@ from .functions import text as T
 from .functions.pandas_udfs import front_matter
 from .operators import compare, diffing, index, similarity
 from .plans.scan import Scan, documents_as_files
+from .scratch import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,7 +224,8 @@ matches AS (SELECT i AS file_index, CASE WHEN s >= 0.9 THEN 'redundant' WHEN s >
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Shingle sets of the odd (target) and the even (baseline) collections."""
     files, odd = _scan(spark, sf_dir).files, F.substring("marketplace", 4, 9).cast("int") % 2 == 1
-    return similarity.with_shingles(files.where(odd)), similarity.with_shingles(files.where(~odd))
+    sets = cut(similarity.with_shingles(files).join(files.select("file_index", odd.alias("odd")), "file_index"))
+    return sets.where("odd").drop("odd"), sets.where("not odd").drop("odd")
 
 
 @_query(_SIDES + "SELECT * FROM matches")

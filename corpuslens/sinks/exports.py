@@ -39,7 +39,7 @@ def capability_report(capabilities: DataFrame) -> DataFrame:
 
 
 #: The manifest's name (a fixed value).
-MANIFEST = ".librarian-checkout.json"
+MANIFEST = ".corpuslens-checkout.json"
 
 
 def checkout(source: str, destination: str, keep_folders: bool = True) -> dict:

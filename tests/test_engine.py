@@ -103,7 +103,7 @@ def test_scan_report_and_search(spark, tree):
     (tree / "v1.json").write_text(json.dumps(v1))
     assert source.report_locations(spark, str(tree / "report.json")).count() == 2
     assert source.report_locations(spark, str(tree / "v1.json")).first().filename == "b.md"
-    assert index.where(scan.located(), "SKILL.md").count() == 2 and index.where(scan.located(), "sk*").count() == 0 and index.where(scan.located(), "S?ILL*").count() == 2
+    assert index.where(scan.located(), "plugins/x/SKILL.md").count() == index.where(scan.located(), "SKILL.md").count() == 2 and index.where(scan.located(), "sk*").count() == 0 and index.where(scan.located(), "S?ILL*").count() == 2
     caps = source.capabilities(files)
     assert {(r.name, r.kind) for r in caps.collect()} == {("sheet", "skill"), ("_x", "agent")}
     assert cli.describe(source.find_file(files, "one/sheet")).first().triggers == ["Use this skill when you read a spreadsheet."]
