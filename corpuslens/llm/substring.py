@@ -34,6 +34,8 @@ from .common import WordHashes, binaries, covered, drop_written, sliding_min, wi
 SPAN, PHRASE = 50, 16
 #: Phrases in a shard, about, and words that one task streams through a shard's automaton, about.
 SHARD_PHRASES, TASK_WORDS = 50_000, 2_000_000
+#: Partitions that shards and their tasks are dealt to, at most; beyond, a partition takes several of them in turn.
+PARTITIONS = 20_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -197,7 +199,7 @@ class Repeats:
         candidates = self.dealt.where("held is not null").select("doc_id", "h", "text", "n_words", "held")
         for table in (owners, recurring, held):
             drop_written(table)
-        found = written(self._streamed(candidates), "windows")
+        found = written(self._streamed(candidates, shards), "windows")
         least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
         least = written(least.drop("last"), "confirmed")
         hits = found.join(least, ["w1", "w2"]).where("doc_id > owner")
@@ -208,10 +210,14 @@ class Repeats:
         self.base = base.drop("anchors")
 
     @staticmethod
-    def _streamed(candidates: DataFrame) -> DataFrame:
+    def _streamed(candidates: DataFrame, shards: int) -> DataFrame:
         sized = candidates.select("n_words", F.explode(F.array_distinct("held.shard")).alias("shard")).groupBy("shard").agg(F.sum("n_words").alias("n"))
         #: One row a shard: how many tasks stream documents through it.
         tasks = written(sized.select("shard", F.ceil(F.col("n") / TASK_WORDS).alias("tasks")), "shards")
+        # A place of its own for the first task of each shard, the others in turn: by hash, or merged by bytes, several big
+        # automata would share one Spark task.
+        partitions = min(PARTITIONS, tasks.agg(F.sum("tasks")).first()[0] or 1)
+        place = F.pmod(F.col("shard") + shards * F.col("task"), F.lit(partitions)).cast("int")
         words = candidates.mapInArrow(_words_of_anchors, "shard int, phrase binary, h long")
         confirmed = words.groupBy("shard", "phrase").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("shard", "phrase")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task")
@@ -219,7 +225,7 @@ class Repeats:
         phrases = confirmed.join(tasks, "shard").select("shard", every, "phrase", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
         texts = candidates.select("doc_id", "h", "text", F.explode(F.array_distinct("held.shard")).alias("shard")).join(tasks, "shard")
         texts = texts.select("shard", F.pmod(F.xxhash64("doc_id", "h"), F.col("tasks")).alias("task"), F.lit(None).cast("binary").alias("phrase"), *none)
-        both = phrases.unionByName(texts).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("phrase").isNull())
+        both = phrases.unionByName(texts).repartitionById(partitions, place).sortWithinPartitions("shard", "task", F.col("phrase").isNull())
         return both.mapInArrow(_located, "w1 long, w2 long, doc_id long, h long, at int")
 
 
