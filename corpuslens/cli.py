@@ -51,6 +51,8 @@ def main(argv: list[str] | None = None) -> int:
         if name == "checkout":
             s.add_argument("--dir", "-d", default=".")
             s.add_argument("--flat", "-f", action="store_true")
+        if name in ("where", "stats", "marketplace-level"):
+            s.add_argument("--report", help="a saved report of either version; else what scan left in --data")
         s.add_argument("--json", action="store_true")
         s.add_argument("--verbose", "-v", action="store_true")
         s.add_argument("--heatmap", action="store_true")
@@ -67,9 +69,30 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
-def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: ANN001
+def _saved(spark: SparkSession, args: argparse.Namespace, show) -> bool:  # noqa: ANN001
+    """Answers what the saved index or the installed plugins can answer; no file of a collection is read."""
     if args.command == "installed":
         show(source.installed_plugins(spark, args.installed_file).orderBy("marketplace", "name"))
+    elif args.command == "where":
+        show(index.where(source.located(spark, args.report, args.data), args.query))
+    elif args.command == "stats":
+        places = source.located(spark, args.report, args.data)
+        show(index.type_counts(places))
+        show(index.filename_counts(places))
+    elif args.command == "marketplace-level":
+        places = source.located(spark, args.report, args.data)
+        matrix = index.overlap_matrix(places)
+        show(index.collection_counts(places))
+        show(matrix.withColumn("heat", index.heat(F.col("similarity"))) if args.heatmap else index.top_overlaps(matrix))
+    elif args.command == "find" and source.exists(spark, f"{args.data}/capabilities"):
+        show(index.find(source.capability_index(spark, f"{args.data}/capabilities"), args.query))
+    else:
+        return False
+    return True
+
+
+def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: ANN001
+    if _saved(spark, args, show):
         return 0
     files = source.scan(spark, args.root)
     installed = source.installed_plugins(spark, args.installed_file) if Path(args.installed_file).exists() else None
@@ -80,8 +103,6 @@ def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: A
         exports.report(scan).coalesce(1).write.mode("overwrite").text(f"{args.data}/report")
         exports.capability_report(source.capabilities(files)).coalesce(1).write.mode("overwrite").text(f"{args.data}/capabilities")
         show(scan.summary())
-    elif args.command == "where":
-        show(index.where(scan.located(), args.query))
     elif args.command == "compare-marketplaces":
         show(compare.venn(sets(args.marketplace_a), sets(args.marketplace_b)))
     elif args.command in ("compare", "impact"):
@@ -90,13 +111,6 @@ def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: A
     elif args.command == "find":
         found = source.capabilities(files).withColumn("ord", F.concat_ws("/", "marketplace", "path"))
         show(index.find(found, args.query))
-    elif args.command == "stats":
-        show(scan.by_type())
-        show(index.filename_counts(scan.located()))
-    elif args.command == "marketplace-level":
-        matrix = index.overlap_matrix(scan.located())
-        show(index.collection_counts(scan.located()))
-        show(matrix.withColumn("heat", index.heat(F.col("similarity"))) if args.heatmap else index.top_overlaps(matrix))
     elif args.command == "diff":
         ids = [source.find_file(files, x).select("file_index").first() for x in (args.a, args.b)]
         if None in ids:

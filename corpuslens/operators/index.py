@@ -27,6 +27,11 @@ def where(located: DataFrame, query: str) -> DataFrame:
     return located.join(first, "cluster_id", "left_semi").where(name.rlike(glob_regex(query)) | F.contains(F.lower(name), F.lit(query.lower())))
 
 
+def type_counts(located: DataFrame) -> DataFrame:
+    """Clusters and their files by type, of locations that carry their cluster's type."""
+    return located.groupBy("type").agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("files")).orderBy("type")
+
+
 def filename_counts(located: DataFrame, most: int = 10) -> DataFrame:
     return located.groupBy("filename").agg(F.count_distinct("cluster_id").alias("clusters")).orderBy(F.desc("clusters"), "filename").limit(most)
 

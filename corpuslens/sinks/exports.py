@@ -17,6 +17,8 @@ def write_tables(scan: Scan, folder: str) -> None:
     """The result as Parquet tables: the form for large collections."""
     for name in ("clusters", "cluster_pairs", "file_index", "marketplace_index", "filename_index"):
         getattr(scan, name)().write.mode("overwrite").parquet(f"{folder}/{name}")
+    typed = scan.located().join(scan.clusters().select("cluster_id", "type"), "cluster_id")
+    typed.write.mode("overwrite").parquet(f"{folder}/located")
 
 
 def report(scan: Scan, config: Config = DEFAULT) -> DataFrame:

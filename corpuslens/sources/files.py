@@ -121,6 +121,21 @@ def report_locations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("cluster_id", "type", "l.marketplace", "l.plugin", "l.path", F.substring_index("l.path", "/", -1).alias("filename"), F.coalesce("l.is_official", F.lit(False)).alias("is_official"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def located(spark: SparkSession, report: str | None, folder: str) -> DataFrame:
+    """``cluster_id, type, marketplace, plugin, path, filename, is_official`` of every place of a file in a cluster, from a
+    report or, if none is named, from the tables in ``folder`` that a scan left there."""
+    path = report or f"{folder}/located"
+    if not exists(spark, path):
+        raise ValueError(f"no index at {path}: run scan first")
+    rows = report_locations(spark, path) if report else spark.read.parquet(path)
+    return rows.select("cluster_id", "type", "marketplace", "plugin", "path", "filename", "is_official")
+
+
 def capability_index(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(CAPABILITIES).json(path, multiLine=True).select(F.posexplode("capabilities").alias("ord", "c")).select("ord", "c.*")
     return rows.withColumn("triggers", F.coalesce("triggers", F.array().cast("array<string>")))

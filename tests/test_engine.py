@@ -116,6 +116,24 @@ def test_scan_report_and_search(spark, tree):
     assert diff.unified_diff and diff.diff_lines >= 2 and "\033[" in diffing.terminal(diff.unified_diff)
 
 
+def test_commands_read_the_saved_index(spark, tree, capsys):
+    def run(*args):
+        capsys.readouterr()
+        code = cli.main(["--root", str(tree / "gone"), "--data", str(tree / "data"), "--installed-file", str(tree / "none.json"), *args])
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert run("where", "SKILL.md") == (1, [])  # no index yet
+    assert cli.main(["--root", str(tree / "root"), "--data", str(tree / "data"), "scan"]) == 0
+    # the folder of collections is gone, so nothing below can read a file
+    code, places = run("where", "plugins/x/SKILL.md")
+    assert code == 0 and {(r["marketplace"], r["path"], r["type"]) for r in places} == {("one", "plugins/p/skills/sheet/SKILL.md", "cross-marketplace"), ("two", "plugins/q/skills/sheet/SKILL.md", "cross-marketplace")}
+    assert run("stats") == (0, [{"type": "cross-marketplace", "clusters": 1, "files": 2}, {"filename": "SKILL.md", "clusters": 1}])
+    overlaps = [{"marketplace": "one", "files": 1, "clusters": 1}, {"marketplace": "two", "files": 1, "clusters": 1}, {"mp_a": "one", "mp_b": "two", "similarity": 1.0}]
+    assert run("marketplace-level") == (0, overlaps)
+    assert run("marketplace-level", "--report", str(tree / "data/report")) == (0, overlaps)
+    assert [r["name"] for r in run("find", "sheet")[1]][0] == "sheet"
+
+
 def test_installed_and_checkout(spark, tmp_path):
     (tmp_path / "i.json").write_text(json.dumps({"plugins": {"a@b@c": [{"installPath": "/x", "version": "1"}], "d": [{"installPath": " "}, {"installPath": "/y"}]}}))
     assert {(r.name, r.marketplace, r.version) for r in source.installed_plugins(spark, str(tmp_path / "i.json")).collect()} == {("a@b", "c", "1"), ("d", "unknown", "unknown")}
