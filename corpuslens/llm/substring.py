@@ -87,15 +87,27 @@ def _words_of_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 class Shard:
-    """An automaton over the words of confirmed phrases; a word that is in none of them matches nothing."""
+    """An automaton over the words of confirmed phrases; a word that is in none of them matches nothing.
+
+    The library searches the children of a node one by one, and any word may begin a phrase, so a word is spelled in two
+    characters of two alphabets: the automaton's root has at most 256 children, and no match begins within a word."""
+
+    UNKNOWN = "\0\0"
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.codes: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         self.ready = self.empty = True
 
+    def _code(self, word: bytes) -> str:
+        found = self.codes.get(word)
+        if found is None:
+            n = len(self.codes)
+            found = self.codes[word] = chr(1 + n % 256) + chr(0x10000 + n // 256)
+        return found
+
     def add(self, phrase: bytes) -> None:
-        self.automaton.add_word(tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in phrase.split()))
+        self.automaton.add_word("".join(map(self._code, phrase.split())))
         self.ready = self.empty = False
 
     def hits(self, words: list[bytes]) -> np.ndarray:
@@ -105,8 +117,9 @@ class Shard:
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
-        own = self.ids
-        return np.fromiter((e for e, _ in self.automaton.iter(tuple([own.get(w, 0) for w in words]))), np.int64) - (PHRASE - 1)
+        own = self.codes
+        spelled = "".join([own.get(w, self.UNKNOWN) for w in words])
+        return np.fromiter((e for e, _ in self.automaton.iter(spelled)), np.int64) // 2 - (PHRASE - 1)
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

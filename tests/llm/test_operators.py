@@ -1,6 +1,7 @@
 """Each operator against a plain-Python version on whole small tables, and on awkward rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,6 +121,20 @@ def test_emptied_automaton_removes_nothing(spark, monkeypatch):
     assert substring.Shard().hits(PASSAGE.encode().split()).tolist() == []
 
 
+def test_automaton_over_many_words():
+    rnd = random.Random(5)
+    words = [f"w{i}".encode() for i in range(3000)]
+    texts = [[rnd.choice(words) for _ in range(200)] for _ in range(40)]
+    shard, phrases = substring.Shard(), set()
+    for text in texts[:30]:
+        for i in rnd.sample(range(185), 20):
+            phrases.add(tuple(text[i : i + 16]))
+            shard.add(b" ".join(text[i : i + 16]))
+    assert len(shard.codes) > 1000  # more than one character of each alphabet
+    for text in [*texts, texts[0] + [b"unknown"] + texts[1], texts[2][::-1], texts[0][:15], []]:
+        assert shard.hits(text).tolist() == [i for i in range(len(text) - 15) if tuple(text[i : i + 16]) in phrases]
+
+
 def test_substring_over_shards_and_tasks(spark, monkeypatch):
     """Many shards, many tasks a shard, a hot passage, one doc_id with many texts, and repeated rows give the same result."""
     monkeypatch.setattr(substring, "SHARD_PHRASES", 3)
