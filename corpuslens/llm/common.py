@@ -41,13 +41,19 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder among the shared ones, deleted when the session ends."""
+    path = f"{scratch_dir(spark).rstrip('/')}/corpuslens-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet into the shared folder and returns the table read back: lineage is cut,
     nothing is computed twice, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/corpuslens-{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpuslens_path = path
     return out

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, mixing, packing, quality, sharding, simhash, substring, tokens, url_filter
+from . import conversations, embeddings, licenses, mixing, packing, quality, sharding, simhash, substring, token_files, tokens, url_filter, vector_codes
 
 #: Rules of the URL filter: host, path, verdict (fixed values).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -65,6 +66,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = token_files.write(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return token_files.read(corpus, token_files.crc32, pa.int64(), "ids_crc32 long").withColumnRenamed("key", "doc_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "vec_id", "embedding", "label")
+    return vector_codes.digest(coded).withColumnRenamed("key", "vec_id")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversations.digests(conversations.check(damaged))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_substring_dedup, op3_mixing, op4_simhash, op5_sharding, op6_token_counts, op7_packing, op8_license_scan, op9_embedding_dedup, op10_quality, pipeline)
+    for f in (op1_url_filter, op2_substring_dedup, op3_mixing, op4_simhash, op5_sharding, op6_token_counts, op7_packing, op8_license_scan, op9_embedding_dedup, op10_quality, op11_token_files, op12_vector_codes, op13_conversation_repair, pipeline)
 }
 
 _OP1 = """
