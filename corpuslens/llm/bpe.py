@@ -26,7 +26,7 @@ RANKS = {MODEL: "byte_bpe_50k.tiktoken"}
 _CUT = re.compile(r" (?=\S)")
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The visible character that stands for each byte in the vocabulary: printable bytes for themselves, the rest
     by code points from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -94,7 +94,7 @@ class Encoder:
     def n_bytes(self) -> np.ndarray:
         """The number of text bytes of each id."""
         if self._bytes is None:
-            of = _byte_of_char()
+            of = byte_of_char()
             vocab = self.model.get_vocab(with_added_tokens=True)
             self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
             for token, i in vocab.items():

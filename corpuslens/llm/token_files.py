@@ -65,7 +65,7 @@ def _encode(folder: str, model: str, end: int):
                         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                         ids, keys, sizes = (stack.enter_context(place.open_output_stream(f"{top}/{x}-{name}.bin")) for x in ("ids", "keys", "sizes"))
                     key, text = (batch.column(c).slice(i, AT_ONCE) for c in (0, 1))
-                    found = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + last for x in enc.ids([t or "" for t in text.to_pylist()])]
+                    found = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + last for x in (enc.ids(t or "") for t in text.to_pylist())]
                     ids.write(b"".join(found))
                     keys.write(key.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     size = np.array([len(x) // width for x in found], "<u8")

@@ -1,20 +1,26 @@
-"""Ids of whole texts by a BPE with word ends, through the tokenizers library, with a cache of pieces between spaces.
+"""Ids of whole texts by a BPE with word ends, through the tokenizers library, with a cache of pieces.
 
-The tokenizer turns every run of white space into one space and then drops spaces, merges nothing across them, and its
-special strings hold none; so a text may be cut at spaces and line ends, and a piece's ids don't depend on its place.
+The tokenizer drops white space and merges nothing across it, and its special strings hold none; so a text may be cut at
+spaces and line ends, and a piece's ids don't depend on its place. Texts of Latin-1 alone are cut further, into the very
+pieces that the tokenizer makes of them, since there its normal form is the text in lower case; they go to its BPE model
+directly.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-from itertools import chain
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .bpe import byte_of_char
+
 MODEL = "word_bpe_49k.json"
+#: The tokenizer's own pattern for lower-case Latin-1 (fixed values: its contractions, letters and numbers up to U+00FF).
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r\x20\x85\xa0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
 def _slices(text: str, size: int) -> Iterator[str]:
@@ -26,59 +32,55 @@ def _slices(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
+class _Pieces(dict):
+    """Ids of pieces (little-endian 32-bit, as bytes). Those of the last ``limit`` and up to as many before are kept."""
+
+    RECENT = 48
+
+    def __init__(self, encode: Callable[[str], list[int]], limit: int) -> None:
+        self.encode, self.limit = encode, limit
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece)).tobytes()
+        if len(piece) <= self.RECENT:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class WordEncoder:
-    """One for a Python worker, see :func:`encoder`. Memory: ``LIMIT`` pieces and those of ``AT_ONCE`` characters."""
+    """One for a Python worker, see :func:`encoder`. Memory: twice ``limit`` pieces, and those of ``AT_ONCE`` characters."""
 
-    LIMIT, RECENT, AT_ONCE = 400_000, 48, 1 << 20
+    AT_ONCE = 1 << 20
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, limit: int = 600_000) -> None:
         self.model = Tokenizer.from_file(public_tokenizers.path(model))
-        self.size = self.model.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def _parted(piece: str) -> tuple[str, str]:
-        """A word and the mark at its end, which the tokenizer parts anyway; other pieces stay whole."""
-        head = piece[:-1]
-        if piece[-1] in ".,;:!?" and head.isalpha() and head.lower().isalpha() and unicodedata.is_normalized("NFC", head):
-            return head, piece[-1]
-        return piece, ""
-
-    def _learn(self, pieces: set[str]) -> None:
-        parted = {p: self._parted(p) for p in pieces}
-        heads = sorted({x for x in chain.from_iterable(parted.values()) if x not in self.known})
-        for x, e in zip(heads, self.model.encode_batch_fast(heads, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-        for p, (head, tail) in parted.items():
-            self.known[p] = self.known[head] + self.known[tail]
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {p for parts in split for p in parts if p not in self.known}
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
-        for p in new:
-            if len(p) > self.RECENT:
-                del self.known[p]
-        return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, little-endian 32-bit; some texts at once, so that their new pieces go to the library together."""
-        out: list[bytes] = []
-        held, size = [], 0
-        for t in texts:
-            if held and size + len(t) > self.AT_ONCE:
-                out += self._encoded(held)
-                held, size = [], 0
-            if len(t) > self.AT_ONCE:  # nothing is held
-                out.append(b"".join(self._encoded([s])[0] for s in _slices(t, self.AT_ONCE)))
-            else:
-                held.append(t)
-                size += len(t)
-        return out + (self._encoded(held) if held else [])
+        self.size = max(self.model.get_vocab(with_added_tokens=True).values()) + 1
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        bpe, visible = self.model.model, {b: c for c, b in byte_of_char().items()}
+        self.words = _Pieces(lambda p: [t.id for t in bpe.tokenize(p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(visible))], limit)
+        self.others = _Pieces(lambda p: self.model.encode(p, add_special_tokens=False).ids, limit // 8)
+
+    def _encoded(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+            plain = not any(x in text for x in self.special)
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            return b"".join(map(self.words.__getitem__, PIECES.findall(text.lower())))
+        return b"".join(map(self.others.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text, little-endian 32-bit."""
+        if len(text) <= self.AT_ONCE:
+            return self._encoded(text)
+        return b"".join(map(self._encoded, _slices(text, self.AT_ONCE)))
 
 
 _KEPT: dict[str, WordEncoder] = {}

@@ -34,10 +34,10 @@ def corpus_of(rows):
 
 def test_word_encoder():
     texts = [t or "" for _, t in TEXTS]
-    assert [np.frombuffer(x, "<u4").tolist() for x in wordbpe.encoder().ids(texts)] == plain(texts)
-    small = wordbpe.WordEncoder("word_bpe_49k.json")
-    small.LIMIT, small.AT_ONCE = 20, 50  # forgets all the time, cuts long texts
-    assert [np.frombuffer(x, "<u4").tolist() for x in small.ids(texts) + small.ids(texts)] == 2 * plain(texts)
+    assert [np.frombuffer(wordbpe.encoder().ids(t), "<u4").tolist() for t in texts] == plain(texts)
+    small = wordbpe.WordEncoder("word_bpe_49k.json", 20)
+    small.AT_ONCE = 50  # forgets all the time, cuts long texts
+    assert [np.frombuffer(small.ids(t), "<u4").tolist() for t in 2 * texts] == 2 * plain(texts)
 
 
 def test_token_files(spark, tmp_path):
