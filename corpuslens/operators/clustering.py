@@ -6,12 +6,13 @@ The seeds are the lexicographically first maximal independent set, found in para
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import file_name, is_official, jaccard
 from ..scratch import cut
+from .numbering import numbered
 
 
 def seeds(edges: DataFrame) -> DataFrame:
@@ -30,9 +31,8 @@ def seeds(edges: DataFrame) -> DataFrame:
 
 
 def members(edges: DataFrame) -> DataFrame:
-    """``cluster_id, file_index``; a file may be in several clusters. Ids follow the seeds' order; the number of clusters
-    is what is numbered, not that of files."""
-    chosen = seeds(edges).select("seed", (F.row_number().over(Window.orderBy("seed")) - 1).cast("long").alias("cluster_id"))
+    """``cluster_id, file_index``; a file may be in several clusters. Ids are dense in the order of the seeds."""
+    chosen = numbered(seeds(edges), ["seed"], "cluster_id")
     both = edges.select(F.col("i").alias("seed"), F.col("j").alias("file_index")).union(edges.select("j", "i"))
     near = both.join(chosen, "seed").select("cluster_id", "file_index")
     return cut(near.union(chosen.select("cluster_id", F.col("seed").alias("file_index"))))
@@ -46,17 +46,32 @@ def member_pairs(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     return a.join(b, "cluster_id").where("file1_index < file2_index").select("cluster_id", "file1_index", "file2_index", jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
-def summary(clusters: DataFrame, pairs: DataFrame, files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """``cluster_id, type, size, avg_similarity, has_official, marketplaces``, largest first."""
-    mean = pairs.groupBy("cluster_id").agg(F.avg("similarity").alias("mean"))
+def pair_means(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cluster_id, mean``: the mean similarity of all pairs of a cluster's files.
+
+    Equal sets of a cluster are taken as one with a weight, so a cluster of copies costs a row a file."""
+    keyed = sets.select("file_index", F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256).alias("key"))
+    weights = cut(clusters.join(keyed, "file_index").groupBy("cluster_id", "key").agg(F.count("*").alias("w"), F.min("file_index").alias("file_index")))
+    own = weights.join(sets, "file_index")
+    a = own.select("cluster_id", F.col("file_index").alias("i"), F.col("w").alias("wi"), F.col("sh").alias("a"))
+    b = own.select("cluster_id", F.col("file_index").alias("j"), F.col("w").alias("wj"), F.col("sh").alias("b"))
+    apart = a.join(b, "cluster_id").where("i < j").select("cluster_id", (F.col("wi") * F.col("wj") * jaccard(F.col("a"), F.col("b"))).alias("s"))
+    inside = weights.select("cluster_id", (F.col("w") * (F.col("w") - 1) / 2).alias("s"))
+    size = weights.groupBy("cluster_id").agg(F.sum("w").alias("size"))
+    sums = apart.unionByName(inside).groupBy("cluster_id").agg(F.sum("s").alias("s"))
+    return sums.join(size, "cluster_id").select("cluster_id", (F.col("s") / (F.col("size") * (F.col("size") - 1) / 2)).alias("mean"))
+
+
+def summary(clusters: DataFrame, means: DataFrame, files: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``cluster_id, type, size, avg_similarity, has_official, marketplaces``."""
     about = files.select("file_index", "marketplace", is_official(F.col("marketplace"), config.official_prefixes).alias("official"))
-    rows = clusters.join(about, "file_index").groupBy("cluster_id").agg(
-        F.count("*").alias("size"), F.bool_or("official").alias("has_official"), F.sort_array(F.collect_set("marketplace")).alias("marketplaces")
-    )
-    scaffold = (F.col("size") >= config.scaffold_size) & (F.col("mean") >= config.scaffold_similarity)
-    kind = F.when(scaffold, "scaffold").when(F.size("marketplaces") == 1, "internal").otherwise("cross-marketplace")
-    out = rows.join(mean, "cluster_id").select("cluster_id", kind.alias("type"), "size", F.bround("mean", 3).alias("avg_similarity"), "has_official", "marketplaces")
-    return out.orderBy(F.desc("size"), "cluster_id")
+    # by collection first: a large cluster of few collections is a few rows then
+    part = clusters.join(about, "file_index").groupBy("cluster_id", "marketplace").agg(F.count("*").alias("n"), F.bool_or("official").alias("official"))
+    rows = part.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.bool_or("official").alias("has_official"), F.sort_array(F.collect_list("marketplace")).alias("marketplaces"))
+    internal = F.size("marketplaces") == 1
+    scaffold = internal & (F.col("size") >= config.scaffold_size) & (F.col("mean") >= config.scaffold_similarity)
+    kind = F.when(scaffold, "scaffold").when(internal, "internal").otherwise("cross-marketplace")
+    return rows.join(means, "cluster_id").select("cluster_id", kind.alias("type"), "size", F.bround("mean", 3).alias("avg_similarity"), "has_official", "marketplaces")
 
 
 def file_index(files: DataFrame, clusters: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -7,16 +7,32 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from .similarity import pairs_between
+from .stars import best_candidates
 
 
-def best_matches(target: DataFrame, baseline: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Every target file with its most similar baseline file (the lowest index among equals) and its status."""
+def best(baseline: DataFrame, target: DataFrame, config: Config = DEFAULT, banded: bool = False) -> DataFrame:
+    """``j, jaccard, i``: each target file that has a match with its best one, the lowest index among equals. Exact matches over
+    sets (``file_index, sh``), or candidates over signatures (``file_index, sig`` as bytes) with their estimates."""
+    if banded:
+        return best_candidates(baseline, target, config)
     pairs = pairs_between(baseline, target, config.threshold)
-    best = pairs.groupBy("j").agg(F.max(F.struct("jaccard", (-F.col("i")).alias("least"))).alias("m"))
-    rows = target.where("size(sh) > 0").join(best, F.col("file_index") == F.col("j"), "left")
-    s = F.col("m.jaccard")
+    found = pairs.groupBy("j").agg(F.max(F.struct("jaccard", (-F.col("i")).alias("least"))).alias("m"))
+    return found.select("j", F.col("m.jaccard").alias("jaccard"), (-F.col("m.least")).alias("i"))
+
+
+def _indexed(files: DataFrame, banded: bool) -> DataFrame:
+    """The files that can match at all; those without shingles have no signature."""
+    return files if banded else files.where("size(sh) > 0")
+
+
+def best_matches(target: DataFrame, baseline: DataFrame, config: Config = DEFAULT, banded: bool = False) -> DataFrame:
+    """Every target file with its most similar baseline file (the lowest index among equals) and its status. A candidate
+    whose estimate is below the threshold leaves its file novel."""
+    rows = _indexed(target, banded).join(best(baseline, target, config, banded), F.col("file_index") == F.col("j"), "left")
+    s = F.col("jaccard")
     status = F.when(s >= config.redundant, "redundant").when(s >= config.threshold, "partial").otherwise("novel")
-    return rows.select("file_index", status.alias("status"), F.bround(s, 2).alias("similarity"), (-F.col("m.least")).alias("similar_to"))
+    known = s >= config.threshold
+    return rows.select("file_index", status.alias("status"), F.when(known, F.bround(s, 2)).alias("similarity"), F.when(known, F.col("i")).alias("similar_to"))
 
 
 def sanity(total: Column, novel: Column, redundant: Column, clusters: Column) -> Column:
@@ -45,14 +61,25 @@ def totals(matches: DataFrame, clusters: int = 0) -> DataFrame:
     return n.select("total", "novel", "partial", "redundant", check.getField("confidence").alias("confidence"), check.getField("warnings").alias("warnings"), verdict.alias("verdict"), fresh.alias("impact_novel"), impact.alias("impact"))
 
 
-def venn(a: DataFrame, b: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def venn(a: DataFrame, b: DataFrame, config: Config = DEFAULT, banded: bool = False) -> DataFrame:
     """Shared and unique files of two collections: B-side files with a match are shared, A-side files that are nobody's
-    best match are unique; ``shared_a`` counts A-side files that are someone's."""
-    pairs = pairs_between(a, b, config.threshold)
-    best = pairs.groupBy("j").agg(F.max(F.struct("jaccard", (-F.col("i")).alias("least"))).alias("m"))
-    hit = best.agg(F.count("*").alias("shared"), F.count_distinct("m.least").alias("shared_a"))
-    sizes = [x.where("size(sh) > 0").agg(F.count("*").alias(n)) for x, n in ((a, "total_a"), (b, "total_b"))]
+    best match are unique; ``shared_a`` counts A-side files that are someone's. ``banded``: see :func:`best`; a candidate counts
+    as a match whatever its estimate."""
+    hit = best(a, b, config, banded).agg(F.count("*").alias("shared"), F.count_distinct("i").alias("shared_a"))
+    sizes = [_indexed(x, banded).agg(F.count("*").alias(n)) for x, n in ((a, "total_a"), (b, "total_b"))]
     one = hit.crossJoin(sizes[0]).crossJoin(sizes[1])  # one row each
     percent = lambda n, d: F.coalesce(F.bround(100.0 * F.col(n) / F.nullif(F.col(d), F.lit(0)), 1), F.lit(0.0))
-    verdict = F.when((F.col("total_a") == 0) | (F.col("total_b") == 0), "empty").when(F.col("shared") == 0, "disjoint").when((F.col("shared") == F.col("total_b")) & (F.col("shared_a") == F.col("total_a")), "identical").otherwise("partial")
-    return one.select("total_a", "total_b", "shared", "shared_a", (F.col("total_a") - F.col("shared_a")).alias("unique_a"), (F.col("total_b") - F.col("shared")).alias("unique_b"), percent("shared", "total_a").alias("overlap_a"), percent("shared", "total_b").alias("overlap_b"), verdict.alias("verdict"))
+    empty = (F.col("total_a") == 0) | (F.col("total_b") == 0)
+    identical = (F.col("shared") == F.col("total_b")) & (F.col("shared_a") == F.col("total_a"))
+    verdict = F.when(empty, "empty").when(F.col("shared") == 0, "disjoint").when(identical, "identical").otherwise("partial")
+    unique = [(F.col(f"total_{x}") - F.col(n)).alias(f"unique_{x}") for x, n in (("a", "shared_a"), ("b", "shared"))]
+    overlap = [percent("shared", f"total_{x}").alias(f"overlap_{x}") for x in "ab"]
+    return one.select("total_a", "total_b", "shared", "shared_a", *unique, *overlap, verdict.alias("verdict"))
+
+
+def matched_pairs(a: DataFrame, b: DataFrame, files: DataFrame, config: Config = DEFAULT, banded: bool = False) -> DataFrame:
+    """``file_a, file_b, similarity`` of the best matches, as paths, most similar first."""
+    path = files.select("file_index", "relative_path")
+    rows = best(a, b, config, banded)
+    rows = rows.join(path.select(F.col("file_index").alias("i"), F.col("relative_path").alias("file_a")), "i").join(path.select(F.col("file_index").alias("j"), F.col("relative_path").alias("file_b")), "j")
+    return rows.select("file_a", "file_b", F.bround("jaccard", 3).alias("similarity")).orderBy(F.desc("similarity"), "file_a", "file_b")

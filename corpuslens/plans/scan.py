@@ -9,22 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..operators import clustering, compare, similarity
-from ..scratch import cut
+from ..functions import kernels
+from ..operators import clustering, compare, similarity, stars
+from ..scratch import cut, spread
 
 TYPES = ("cross-marketplace", "internal", "scaffold")
 
 
 @dataclass
 class Scan:
-    """``files``: file_index, marketplace, plugin, relative_path, content."""
+    """``files``: file_index, marketplace, plugin, relative_path, content. Exact pairs by shingle sets, or ``banded``: candidates
+    by signatures, unverified, with estimated similarities; no shingle set is built then."""
 
     all_files: DataFrame
     config: Config = DEFAULT
+    banded: bool = False
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.all_files.where(F.length("content") >= self.config.min_chars)
+        return spread(self.all_files.where(F.length("content") >= self.config.min_chars))
+
+    @cached_property
+    def about(self) -> DataFrame:
+        """The files without their contents, cut once for all roll-ups."""
+        return cut(self.files.select("file_index", "marketplace", "plugin", "relative_path"))
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        """``file_index, sig`` as bytes."""
+        return cut(kernels.signatures(self.files, self.config, raw=True))
 
     @cached_property
     def sets(self) -> DataFrame:
@@ -38,20 +51,30 @@ class Scan:
 
     @cached_property
     def members(self) -> DataFrame:
-        return clustering.members(self.edges)
+        return stars.members(self.signatures, self.config) if self.banded else clustering.members(self.edges)
 
     @cached_property
     def raw_pairs(self) -> DataFrame:
-        return clustering.member_pairs(self.members, self.sets)
+        """All pairs inside clusters, with similarities; written, since reports read them several times."""
+        return cut(stars.member_pairs(self.members, self.signatures, self.config) if self.banded else clustering.member_pairs(self.members, self.sets))
+
+    @cached_property
+    def means(self) -> DataFrame:
+        """``cluster_id, mean``: of the pairs, counted without listing them."""
+        return stars.slot_means(self.members, self.signatures, self.config) if self.banded else clustering.pair_means(self.members, self.sets)
+
+    @cached_property
+    def _clusters(self) -> DataFrame:
+        return cut(clustering.summary(self.members, self.means, self.about, self.config))
 
     def cluster_pairs(self) -> DataFrame:
         return self.raw_pairs.withColumn("similarity", F.bround("similarity", 3))
 
     def clusters(self) -> DataFrame:
-        return clustering.summary(self.members, self.raw_pairs, self.files, self.config)
+        return self._clusters.orderBy(F.desc("size"), "cluster_id")
 
     def file_index(self) -> DataFrame:
-        return clustering.file_index(self.files, self.members, self.config)
+        return clustering.file_index(self.about, self.members, self.config)
 
     def located(self) -> DataFrame:
         """One row for each place of a file in a cluster."""
@@ -59,19 +82,19 @@ class Scan:
         return self.members.join(about, "file_index")
 
     def marketplace_index(self) -> DataFrame:
-        return clustering.by_key(self.members, self.files, "marketplace")
+        return clustering.by_key(self.members, self.about, "marketplace")
 
     def filename_index(self) -> DataFrame:
         return clustering.by_key(self.members, self.file_index().select("file_index", "filename"), "filename")
 
     def by_type(self) -> DataFrame:
-        kinds = self.files.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TYPES))).alias("type"))
+        kinds = self.about.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TYPES))).alias("type"))
         n = self.clusters().groupBy("type").agg(F.count("*").alias("clusters"), F.sum("size").alias("files"))
         return kinds.join(n, "type", "left").na.fill(0)
 
     def summary(self) -> DataFrame:
         """Totals; ``files_in_clusters`` counts a file once for each cluster, ``distinct_files_in_clusters`` once."""
-        f = self.files.agg(F.count("*").alias("total_files_scanned"))
+        f = self.about.agg(F.count("*").alias("total_files_scanned"))
         m = self.members.agg(F.count("*").alias("files_in_clusters"), F.count_distinct("file_index").alias("distinct_files_in_clusters"), F.count_distinct("cluster_id").alias("unique_clusters"))
         p = self.marketplace_index().agg(F.count("*").alias("unique_marketplaces"))
         one = f.crossJoin(m).crossJoin(p).withColumn("unclustered_files", F.col("total_files_scanned") - F.col("files_in_clusters"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
+from .functions import kernels
 from .functions import text as T
 from .functions.pandas_udfs import front_matter
 from .operators import compare, diffing, index, similarity
@@ -35,8 +36,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> Scan:
-    return Scan(documents_as_files(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), CONFIG)
+def _scan(spark: SparkSession, sf_dir: str, banded: bool = False) -> Scan:
+    return Scan(documents_as_files(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), CONFIG, banded)
 
 
 def _sets(table: str, key: str, condition: str = "true", least: int = 100) -> str:
@@ -57,21 +58,21 @@ sizes AS (SELECT i, len(sh) AS n FROM sets),
 met AS (SELECT a.i AS i, b.i AS j, count(*) AS k FROM ex a JOIN ex b ON a.s = b.s AND a.i < b.i GROUP BY ALL),
 edges AS MATERIALIZED (SELECT met.i, met.j, k / (x.n + y.n - k)::DOUBLE AS jaccard FROM met JOIN sizes x ON x.i = met.i JOIN sizes y ON y.i = met.j WHERE k / (x.n + y.n - k)::DOUBLE >= 0.7)
 """
-_CLUSTERS = (
-    _BASE
-    + """,
+_STARS = """,
 adj AS MATERIALIZED (SELECT a, list(b) AS nb FROM (SELECT i AS a, j AS b FROM edges UNION ALL SELECT j, i FROM edges) GROUP BY a),
 seed AS (SELECT [min(a)] AS s FROM adj UNION ALL
          SELECT any_value(list_append(s, n)) FROM (SELECT s, min(a) AS n FROM seed, adj WHERE a > s[-1] AND NOT list_has_any(nb, s) GROUP BY s) WHERE n IS NOT NULL HAVING count(*) > 0),
 chosen AS (SELECT x AS seed, row_number() OVER (ORDER BY x) - 1 AS cluster_id FROM (SELECT unnest(s) AS x FROM (SELECT s FROM seed ORDER BY len(s) DESC LIMIT 1)) WHERE x IS NOT NULL),
 members AS MATERIALIZED (SELECT cluster_id, seed AS i FROM chosen UNION ALL SELECT cluster_id, unnest(nb) FROM chosen JOIN adj ON a = seed),
 files AS MATERIALIZED (SELECT doc_id AS i, source AS marketplace, lang AS plugin, 'doc_' || doc_id || '.md' AS filename, starts_with(source, 'src1') AS official FROM documents WHERE length(text) >= 100),
-pairs AS MATERIALIZED (SELECT a.cluster_id, a.i AS file1_index, b.i AS file2_index, len(list_intersect(x.sh, y.sh)) / (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)))::DOUBLE AS sim
+"""
+_EXACT_PAIRS = """pairs AS MATERIALIZED (SELECT a.cluster_id, a.i AS file1_index, b.i AS file2_index, len(list_intersect(x.sh, y.sh)) / (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)))::DOUBLE AS sim
           FROM members a JOIN members b ON a.cluster_id = b.cluster_id AND a.i < b.i JOIN sets x ON x.i = a.i JOIN sets y ON y.i = b.i),
-clusters AS MATERIALIZED (SELECT cluster_id, CASE WHEN size >= 5 AND mean >= 0.98 THEN 'scaffold' WHEN len(marketplaces) = 1 THEN 'internal' ELSE 'cross-marketplace' END AS type, size, round_even(mean, 3)::DOUBLE AS avg_similarity, has_official, marketplaces
+"""
+_ROLLUP = """clusters AS MATERIALIZED (SELECT cluster_id, CASE WHEN len(marketplaces) > 1 THEN 'cross-marketplace' WHEN size >= 5 AND mean >= 0.98 THEN 'scaffold' ELSE 'internal' END AS type, size, round_even(mean, 3)::DOUBLE AS avg_similarity, has_official, marketplaces
           FROM (SELECT cluster_id, count(*) AS size, bool_or(official) AS has_official, list_sort(list(DISTINCT marketplace)) AS marketplaces FROM members JOIN files USING (i) GROUP BY cluster_id) JOIN (SELECT cluster_id, avg(sim) AS mean FROM pairs GROUP BY cluster_id) USING (cluster_id))
 """
-)
+_CLUSTERS = _BASE + _STARS + _EXACT_PAIRS + _ROLLUP
 
 
 @_query(f"SELECT i AS doc_id, len(sh)::BIGINT AS n_shingles FROM ({_sets('documents', 'doc_id')})")
@@ -359,20 +360,79 @@ est AS (SELECT met.i, met.j, len(list_filter(list_zip(x.sig, y.sig), lambda z: z
 
 @_query(_SIGS + "SELECT i AS file_index, sig FROM sig")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.signatures(_scan(spark, sf_dir).sets)
+    return kernels.signatures(_scan(spark, sf_dir).files, CONFIG)
 
 
 @_query(_BANDED + "SELECT i, j, estimate FROM est")
 def similar_pairs_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.banded_pairs(similarity.signatures(_scan(spark, sf_dir).sets))
+    return similarity.banded_pairs(kernels.signatures(_scan(spark, sf_dir).files, CONFIG))
 
 
 @_query(_BANDED + "SELECT round_even(estimate, 3)::DOUBLE AS estimate, count(*) AS pairs FROM est GROUP BY 1")
 def minhash_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.banded_pairs(similarity.signatures(_scan(spark, sf_dir).sets))
+    pairs = similarity.banded_pairs(kernels.signatures(_scan(spark, sf_dir).files, CONFIG))
     return pairs.groupBy(F.bround("estimate", 3).alias("estimate")).agg(F.count("*").alias("pairs"))
 
 
+#: Clusters over candidates as they come: the edges are all banded pairs, similarities are estimates.
+_BANDED_CLUSTERS = (
+    _BANDED.replace("WITH sets", "WITH RECURSIVE sets", 1)
+    + ", edges AS MATERIALIZED (SELECT i, j FROM est)"
+    + _STARS
+    + """pairs AS MATERIALIZED (SELECT a.cluster_id, a.i AS file1_index, b.i AS file2_index, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 128.0::DOUBLE AS sim
+          FROM members a JOIN members b ON a.cluster_id = b.cluster_id AND a.i < b.i JOIN sig x ON x.i = a.i JOIN sig y ON y.i = b.i),
+"""
+    + _ROLLUP
+)
+
+
+@_query(_BANDED_CLUSTERS + "SELECT cluster_id, type, size, avg_similarity, has_official, marketplaces FROM clusters")
+def cluster_summary_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir, banded=True).clusters()
+
+
+@_query(_BANDED_CLUSTERS + "SELECT cluster_id, i AS file_index FROM members")
+def cluster_members_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir, banded=True).members
+
+
+@_query(_BANDED_CLUSTERS + "SELECT cluster_id, file1_index, file2_index, round_even(sim, 3)::DOUBLE AS similarity FROM pairs")
+def cluster_pairs_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir, banded=True).cluster_pairs()
+
+
+_BANDED_SIDES = _BANDED + f""",
+side AS (SELECT doc_id AS i, {_ODD} AS odd FROM documents),
+ab AS (SELECT CASE WHEN x.odd THEN e.j ELSE e.i END AS a, CASE WHEN x.odd THEN e.i ELSE e.j END AS b, estimate FROM est e JOIN side x ON x.i = e.i JOIN side y ON y.i = e.j WHERE x.odd <> y.odd),
+best AS (SELECT b, max(estimate) AS s, min_by(a, (-estimate, a)) AS a FROM ab GROUP BY b),
+target AS (SELECT i FROM sig JOIN side USING (i) WHERE odd), base AS (SELECT i FROM sig JOIN side USING (i) WHERE NOT odd)
+"""
+
+
+def _signed_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the odd (target) and the even (baseline) collections."""
+    files, odd = _scan(spark, sf_dir).files, F.substring("marketplace", 4, 9).cast("int") % 2 == 1
+    sides = (files.where(odd), files.where(~odd))
+    return tuple(kernels.signatures(x, CONFIG, raw=True) for x in sides)
+
+
+_VENN = """SELECT ta AS total_a, tb AS total_b, k AS shared, ka AS shared_a, ta - ka AS unique_a, tb - k AS unique_b, round_even(100.0 * k / ta, 1)::DOUBLE AS overlap_a, round_even(100.0 * k / tb, 1)::DOUBLE AS overlap_b,
+CASE WHEN ta = 0 OR tb = 0 THEN 'empty' WHEN k = 0 THEN 'disjoint' WHEN k = tb AND ka = ta THEN 'identical' ELSE 'partial' END AS verdict
+FROM (SELECT (SELECT count(*) FROM base) AS ta, (SELECT count(*) FROM target) AS tb, (SELECT count(*) FROM best) AS k, (SELECT count(DISTINCT a) FROM best) AS ka)"""
+
+
+@_query(_BANDED_SIDES + _VENN)
+def venn_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target, base = _signed_sides(spark, sf_dir)
+    return compare.venn(base, target, CONFIG, banded=True)
+
+
+@_query(_BANDED_SIDES + "SELECT i AS file_index, CASE WHEN s >= 0.9 THEN 'redundant' WHEN s >= 0.7 THEN 'partial' ELSE 'novel' END AS status, CASE WHEN s >= 0.7 THEN round_even(s, 2)::DOUBLE END AS similarity, CASE WHEN s >= 0.7 THEN a END AS similar_to FROM target LEFT JOIN best ON b = i")
+def compare_files_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target, base = _signed_sides(spark, sf_dir)
+    return compare.best_matches(target, base, CONFIG, banded=True)
+
+
 _NORMAL = rf"""list_transform({_LINES}, lambda x: CASE WHEN trim(x, chr(32) || chr(9)) = '' THEN '' ELSE repeat(' ', (length(replace(x[:length(x) - length(ltrim(x, chr(32) || chr(9)))], chr(9), '    ')) // 4)::BIGINT) || trim(x, chr(32) || chr(9)) END)"""
 
 

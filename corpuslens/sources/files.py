@@ -1,22 +1,21 @@
 """Sources: trees of Markdown files, installed plugins, cluster reports and capability indices.
 
-Paths are listed by the Hadoop file system on the driver (Spark's own listing skips hidden names) and contents are read by
-Spark's binary reader, one task for many files.
+Trees are listed and read by tasks, see :mod:`corpuslens.sources.tree`.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from pathlib import Path
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.pandas_udfs import front_matter
 from ..functions.text import description_of, kind_of, name_of, plugin_of
+from ..operators.numbering import numbered
+from ..scratch import cut
+from . import tree
 
 REPORT = """metadata STRUCT<version: STRING, generated_at: STRING, similarity_threshold: DOUBLE, num_permutations: INT, confidence: STRING, warnings: ARRAY<STRING>>,
 summary STRUCT<total_files_scanned: INT, files_in_clusters: INT, unclustered_files: INT, unique_clusters: INT, unique_marketplaces: INT>,
@@ -27,53 +26,34 @@ similarity_pairs: ARRAY<STRUCT<file1_index: INT, file2_index: INT, similarity: D
 CAPABILITIES = "metadata STRUCT<total: INT, skills: INT, agents: INT>, capabilities ARRAY<STRUCT<name: STRING, kind: STRING, description: STRING, marketplace: STRING, plugin: STRING, path: STRING, triggers: ARRAY<STRING>>>"
 
 
-def list_files(spark: SparkSession, root: str, suffix: str = ".md") -> list[str]:
-    """All files below a root, hidden ones too, in order, relative to it."""
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        raise ValueError(f"no such folder: {root}")
-    base, found, it = fs.makeQualified(top).toString().rstrip("/") + "/", [], fs.listFiles(top, True)
-    while it.hasNext():
-        path = it.next().getPath().toString()
-        if path.endswith(suffix):
-            found.append(path.removeprefix(base))
-    return sorted(found)
+@dataclass(frozen=True)
+class Scanned:
+    """``files``: ``file_index, marketplace, plugin, relative_path, full_path, content``; ``problems``: ``full_path, error`` of what
+    could not be read; ``counts``: indexed, short (left out), failed."""
 
+    files: DataFrame
+    problems: DataFrame
+    counts: dict[str, int]
 
-def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(content=[Path(re.sub("^file:/+", "/", p)).read_bytes() for p in batch["path"]])
+
+def scan_tree(spark: SparkSession, root: str, config: Config = DEFAULT) -> Scanned:
+    """The Markdown files of every collection (folder of ``root`` that isn't hidden). Paths with ``backup`` in them and short
+    files are left out; bytes that are no UTF-8 are replaced. Ids are dense and follow collection and path. The files are
+    read once, into a checkpoint."""
+    names = tree.listed(spark, root).where(~F.col("collection").startswith(".") & ~F.contains(F.lower(F.concat_ws("/", "collection", "relative_path")), F.lit("backup")))
+    seen = Observation()
+    read = F.col("error").isNull()
+    fits = read & (F.length("content") >= config.min_chars)
+    counts = [F.count_if(c).alias(n) for n, c in (("indexed", fits), ("short", read & ~fits), ("failed", ~read))]
+    rows = cut(tree.with_contents(names, root).observe(seen, *counts))
+    own = rows.where(fits).withColumnRenamed("collection", "marketplace").drop("error")
+    ids = numbered(own.select("marketplace", "relative_path"), ["marketplace", "relative_path"], "file_index")
+    files = own.join(ids, ["marketplace", "relative_path"]).select("file_index", "marketplace", plugin_of(F.col("relative_path")).alias("plugin"), "relative_path", "full_path", "content")
+    return Scanned(files, rows.where(~read).select("full_path", "error"), seen.get)
 
 
 def scan(spark: SparkSession, root: str, config: Config = DEFAULT) -> DataFrame:
-    """``file_index, marketplace, plugin, relative_path, full_path, content`` of the Markdown files of every collection
-    (folder of ``root`` that isn't hidden). Paths with ``backup`` in them and short files are left out; bytes that are no
-    UTF-8 are replaced. Ids follow collection and path."""
-    listed = [p for p in list_files(spark, root) if "/" in p and not p.startswith(".") and "backup" not in p.lower()]
-    schema = "relative_path string, full_path string, content string"
-    if not listed:
-        rows = spark.createDataFrame([], schema)
-    else:
-        fs_root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        base = fs_root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(fs_root).toString().rstrip("/")
-        names = spark.createDataFrame([(p, f"{base}/{p}") for p in listed], "relative_path string, full_path string")
-        hidden = [p for p in listed if any(x.startswith(("_", ".")) for x in p.split("/"))]
-        plain = sorted(set(listed) - set(hidden))
-        escaped = [re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{base}/{p}") for p in plain]
-        raw = spark.read.format("binaryFile").load(escaped).select("path", "content") if plain else spark.createDataFrame([], "path string, content binary")
-        if hidden:  # Spark's readers skip these names; they are opened by path
-            own = spark.createDataFrame([(f"{base}/{p}",) for p in hidden], "path string").repartition(min(len(hidden), 200))
-            raw = raw.unionByName(own.mapInPandas(_opened, "path string, content binary"))
-        text = F.make_valid_utf8(F.col("content").cast("string"))
-        clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        rows = names.join(raw.select(clean(F.col("path")).alias("_p"), text.alias("content")), clean(F.col("full_path")) == F.col("_p")).drop("_p")
-    rows = rows.where(F.length("content") >= config.min_chars)
-    rows = rows.withColumn("marketplace", F.substring_index("relative_path", "/", 1)).withColumn("relative_path", F.expr("substring(relative_path, length(marketplace) + 2)"))
-    ordered = rows.select("marketplace", plugin_of(F.col("relative_path")).alias("plugin"), "relative_path", "full_path", "content").orderBy("marketplace", "relative_path")
-    ids = {p: i for i, p in enumerate(sorted(r.full_path for r in ordered.select("full_path").collect()))}  # paths, listed here anyway
-    index = spark.createDataFrame(list(ids.items()), "full_path string, file_index long")
-    return ordered.join(index, "full_path").select("file_index", "marketplace", "plugin", "relative_path", "full_path", "content")
+    return scan_tree(spark, root, config).files
 
 
 def baseline(files: DataFrame, spec: str, installed: DataFrame | None = None) -> DataFrame:
