@@ -15,6 +15,7 @@ class Config:
     min_capability_chars: int = 50
     scaffold_size: int = 5
     scaffold_similarity: float = 0.98
+    lookup_parts: int = 64
     official_prefixes: tuple[str, ...] = field(default=("anthropic", "claude-plugins-official"))
 
 

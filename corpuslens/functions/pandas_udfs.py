@@ -36,7 +36,7 @@ def front_matter(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def unified_diff(a: pd.Series, b: pd.Series, name_a: pd.Series, name_b: pd.Series) -> pd.Series:
-    """Of two arrays of lines, with three lines of context."""
-    out = [list(difflib.unified_diff(list(x), list(y), fromfile=m, tofile=n, lineterm="", n=3)) for x, y, m, n in zip(a, b, name_a, name_b, strict=True)]
+def unified_diff(a: pd.Series, b: pd.Series, name_a: pd.Series, name_b: pd.Series, context: pd.Series) -> pd.Series:
+    """Of two arrays of lines, with so many lines of context."""
+    out = [list(difflib.unified_diff(list(x), list(y), fromfile=m, tofile=n, lineterm="", n=k)) for x, y, m, n, k in zip(a, b, name_a, name_b, context, strict=True)]
     return pd.Series(out, dtype=object)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..scratch import cut
 from .similarity import pairs_between
 from .stars import best_candidates
 
@@ -20,6 +21,11 @@ def best(baseline: DataFrame, target: DataFrame, config: Config = DEFAULT, bande
     return found.select("j", F.col("m.jaccard").alias("jaccard"), (-F.col("m.least")).alias("i"))
 
 
+def _written(banded: bool, *sides: DataFrame) -> list[DataFrame]:
+    """Signatures are read several times, so they are worked out once; sets come written."""
+    return [cut(x) if banded else x for x in sides]
+
+
 def _indexed(files: DataFrame, banded: bool) -> DataFrame:
     """The files that can match at all; those without shingles have no signature."""
     return files if banded else files.where("size(sh) > 0")
@@ -28,6 +34,7 @@ def _indexed(files: DataFrame, banded: bool) -> DataFrame:
 def best_matches(target: DataFrame, baseline: DataFrame, config: Config = DEFAULT, banded: bool = False) -> DataFrame:
     """Every target file with its most similar baseline file (the lowest index among equals) and its status. A candidate
     whose estimate is below the threshold leaves its file novel."""
+    target, baseline = _written(banded, target, baseline)
     rows = _indexed(target, banded).join(best(baseline, target, config, banded), F.col("file_index") == F.col("j"), "left")
     s = F.col("jaccard")
     status = F.when(s >= config.redundant, "redundant").when(s >= config.threshold, "partial").otherwise("novel")
@@ -65,6 +72,7 @@ def venn(a: DataFrame, b: DataFrame, config: Config = DEFAULT, banded: bool = Fa
     """Shared and unique files of two collections: B-side files with a match are shared, A-side files that are nobody's
     best match are unique; ``shared_a`` counts A-side files that are someone's. ``banded``: see :func:`best`; a candidate counts
     as a match whatever its estimate."""
+    a, b = _written(banded, a, b)
     hit = best(a, b, config, banded).agg(F.count("*").alias("shared"), F.count_distinct("i").alias("shared_a"))
     sizes = [_indexed(x, banded).agg(F.count("*").alias(n)) for x, n in ((a, "total_a"), (b, "total_b"))]
     one = hit.crossJoin(sizes[0]).crossJoin(sizes[1])  # one row each
@@ -80,6 +88,15 @@ def venn(a: DataFrame, b: DataFrame, config: Config = DEFAULT, banded: bool = Fa
 def matched_pairs(a: DataFrame, b: DataFrame, files: DataFrame, config: Config = DEFAULT, banded: bool = False) -> DataFrame:
     """``file_a, file_b, similarity`` of the best matches, as paths, most similar first."""
     path = files.select("file_index", "relative_path")
-    rows = best(a, b, config, banded)
+    rows = best(*_written(banded, a, b), config, banded)
     rows = rows.join(path.select(F.col("file_index").alias("i"), F.col("relative_path").alias("file_a")), "i").join(path.select(F.col("file_index").alias("j"), F.col("relative_path").alias("file_b")), "j")
     return rows.select("file_a", "file_b", F.bround("jaccard", 3).alias("similarity")).orderBy(F.desc("similarity"), "file_a", "file_b")
+
+
+def redundant(matches: DataFrame, target: DataFrame, baseline: DataFrame, most: int = 10) -> DataFrame:
+    """The most similar redundant files, with what they are similar to: ``file, similarity, similar_to`` (location)."""
+    location = F.concat_ws("/", "marketplace", "plugin", "relative_path")
+    mine = target.select("file_index", F.col("relative_path").alias("file"))
+    theirs = baseline.select(F.col("file_index").alias("similar_to"), location.alias("location"))
+    rows = matches.where("status = 'redundant'").join(mine, "file_index").join(theirs, "similar_to", "left")
+    return rows.select("file", "similarity", F.col("location").alias("similar_to")).orderBy(F.desc("similarity"), "file").limit(most)

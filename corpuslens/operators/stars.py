@@ -146,11 +146,10 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def best_candidates(left: DataFrame, right: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``j, jaccard, i``: for every right file that shares a bucket with a left one the left file with the highest estimate (the
-    first among equals). left, right: ``file_index, sig`` as bytes.
+    first among equals). left, right: ``file_index, sig`` as bytes, written tables: they are read several times.
 
     Equal signatures are found by themselves and count once; of the others each bucket's files are compared in blocks,
     which write a row for each right file, bucket and left block, never one for a pair."""
-    left, right = cut(left), cut(right)
     a, b = cut(_classes(left)), cut(_classes(right))
     same = cut(b.join(a.withColumnRenamed("least", "i"), "sig").select("sig", F.lit(config.slots).cast("long").alias("equal"), "i"))
     rest = b.join(same, "sig", "left_anti")

@@ -211,6 +211,15 @@ def marketplace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.collection_counts(_scan(spark, sf_dir).located())
 
 
+_HEAT = ", ".join(f"coalesce(max(CASE WHEN y.place = {k} THEN CASE WHEN similarity >= 0.8 THEN '█' WHEN similarity >= 0.5 THEN '▓' WHEN similarity >= 0.2 THEN '▒' WHEN similarity > 0 THEN '░' ELSE '·' END END), ' ') AS c{k}" for k in range(1, 13))
+
+
+@_query(_MATRIX + f""", head AS (SELECT marketplace, row_number() OVER (ORDER BY marketplace) AS place FROM n ORDER BY marketplace LIMIT 12)
+SELECT x.place, x.marketplace, {_HEAT} FROM head x JOIN matrix ON mp_a = x.marketplace JOIN head y ON mp_b = y.marketplace GROUP BY x.place, x.marketplace""")
+def marketplace_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.heat_map(_scan(spark, sf_dir).located())
+
+
 #: Two sides: collections with an odd and with an even number.
 _ODD = "cast(substr(source, 4) AS INT) % 2 = 1"
 _SIDES = _BASE + f""",
@@ -242,6 +251,20 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.totals(compare.best_matches(*_sides(spark, sf_dir))).select("total", "novel", "partial", "redundant", "confidence", "verdict")
 
 
+_WARNED = """list_filter([CASE WHEN t = 0 THEN 'no files' END, CASE WHEN t > 0 AND c > 1000 AND r = 0 THEN 'zero membership' END, CASE WHEN t > 500 AND r / t::DOUBLE < 0.05 THEN 'low ratio' END,
+      CASE WHEN t > 500 AND r / t::DOUBLE > 0.95 THEN 'high ratio' END, CASE WHEN t > 100 AND n / t::DOUBLE BETWEEN 0.48 AND 0.52 AND r / t::DOUBLE BETWEEN 0.48 AND 0.52 THEN 'even split' END], lambda x: x IS NOT NULL) AS warnings"""
+
+
+@_query(_SIDES.replace(_ODD, "source <> 'src1'") + f"SELECT t AS total, n AS novel, p AS partial, r AS redundant, {_SANITY}, {_WARNED} FROM ({_COUNTS.replace('0 AS c', '(SELECT count(*) FROM edges) + 1000 AS c')})")
+def compare_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collection against all others, with the number of known clusters told from outside."""
+    files, mine = _scan(spark, sf_dir).files, F.col("marketplace") == "src1"
+    sets = cut(similarity.with_shingles(files).join(files.select("file_index", mine.alias("mine")), "file_index"))
+    known = similarity.similar_pairs(sets.drop("mine")).count() + 1000
+    matches = compare.best_matches(sets.where("not mine").drop("mine"), sets.where("mine").drop("mine"))
+    return compare.totals(matches, known).select("total", "novel", "partial", "redundant", "confidence", "warnings")
+
+
 @_query(_SIDES + f"SELECT t AS total, r AS redundant, n + p AS impact_novel, CASE WHEN r / t::DOUBLE > 0.5 THEN 'high' WHEN n + p > r THEN 'mostly new' ELSE 'mixed' END AS impact FROM ({_COUNTS})")
 def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.totals(compare.best_matches(*_sides(spark, sf_dir))).select("total", "redundant", "impact_novel", "impact")
@@ -294,14 +317,19 @@ def find_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.find(_parts(spark, sf_dir), "Small PLATED Brand#1").select("ord", "name", "marketplace", "score")
 
 
+@_query(f"SELECT marketplace, list(name ORDER BY score DESC, ord) AS names FROM (SELECT * FROM ({_FIND}) WHERE score > 0 ORDER BY score DESC, ord LIMIT 30) GROUP BY marketplace")
+def find_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.grouped(index.find(_parts(spark, sf_dir), "Small PLATED Brand#1"))
+
+
 @_query("SELECT CASE WHEN p_size % 2 = 0 THEN 'skill' ELSE 'agent' END AS kind, count(*) AS capabilities FROM part GROUP BY ALL")
 def capability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("capabilities"))
+    return index.capability_totals(_parts(spark, sf_dir))
 
 
 @_query("SELECT p_brand AS marketplace, count(*) AS plugins, list_sort(list(DISTINCT p_name)) AS names FROM part GROUP BY p_brand")
 def installed_by_marketplace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).groupBy("marketplace").agg(F.count("*").alias("plugins"), F.sort_array(F.collect_set("name")).alias("names"))
+    return index.installed_groups(_parts(spark, sf_dir))
 
 
 #: Texts for analytics: turns of conversations.

@@ -10,15 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..operators.index import lookup_part
 from ..plans.scan import Scan
 
 
-def write_tables(scan: Scan, folder: str) -> None:
+def write_located(located: DataFrame, folder: str, config: Config = DEFAULT) -> None:
+    """The locations for lookups by file name: in parts by a hash of the name, sorted by name and with a Bloom filter of the names, so
+    that a name is looked up in one part's files; ``folded`` has the names in lower case for the search by substrings."""
+    rows = located.withColumn("folded", F.lower("filename")).withColumn("part", lookup_part(F.col("filename"), config.lookup_parts))
+    # one file a part for small results; a hot name's part is still split by Spark's own limit on a file's rows
+    rows = rows.repartition(config.lookup_parts, "part").sortWithinPartitions("part", "filename", "cluster_id")
+    out = rows.write.mode("overwrite").partitionBy("part").option("maxRecordsPerFile", 5_000_000)
+    out.option("parquet.bloom.filter.enabled#filename", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(folder)
+
+
+def write_tables(scan: Scan, folder: str, config: Config = DEFAULT) -> None:
     """The result as Parquet tables: the form for large collections."""
     for name in ("clusters", "cluster_pairs", "file_index", "marketplace_index", "filename_index"):
         getattr(scan, name)().write.mode("overwrite").parquet(f"{folder}/{name}")
-    typed = scan.located().join(scan.clusters().select("cluster_id", "type"), "cluster_id")
-    typed.write.mode("overwrite").parquet(f"{folder}/located")
+    write_located(scan.located().join(scan.clusters().select("cluster_id", "type"), "cluster_id"), f"{folder}/located", config)
+    signed = scan.signatures.join(scan.about, "file_index")
+    signed.select("file_index", "marketplace", "plugin", "relative_path", "sig").write.mode("overwrite").parquet(f"{folder}/signatures")
 
 
 def report(scan: Scan, config: Config = DEFAULT) -> DataFrame:
@@ -29,7 +41,8 @@ def report(scan: Scan, config: Config = DEFAULT) -> DataFrame:
     clusters = clusters.select(F.transform("c", lambda c: c.dropFields("_")).alias("clusters"))
     files = scan.file_index().agg(F.sort_array(F.collect_list(F.struct("file_index", "marketplace", "plugin", "path", "filename", "is_official", "cluster_id", "in_cluster"))).alias("file_index"))
     index = lambda df, key, name: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "cluster_ids")))).alias(name))
-    total = scan.summary().select(F.struct("*").alias("summary"), "confidence", "warnings")
+    kinds = scan.by_type().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", F.struct("clusters", "files"))))).alias("by_type"))
+    total = scan.summary().crossJoin(kinds).select(F.struct("*").alias("summary"), "confidence", "warnings")
     one = total.crossJoin(files).crossJoin(index(scan.marketplace_index(), "marketplace", "marketplace_index")).crossJoin(index(scan.filename_index(), "filename", "filename_index")).crossJoin(clusters)
     meta = F.struct(F.lit("2.0").alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"), F.lit(config.threshold).alias("similarity_threshold"), F.lit(config.slots).alias("num_permutations"), "confidence", "warnings")
     return one.select(F.to_json(F.struct(meta.alias("metadata"), "summary", "file_index", "marketplace_index", "filename_index", "clusters"), {"ignoreNullFields": "false"}).alias("value"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..functions.pandas_udfs import front_matter
 from ..functions.text import description_of, kind_of, name_of, plugin_of
 from ..operators.numbering import numbered
 from ..scratch import cut
-from . import tree
+from . import lookup, tree
 
 REPORT = """metadata STRUCT<version: STRING, generated_at: STRING, similarity_threshold: DOUBLE, num_permutations: INT, confidence: STRING, warnings: ARRAY<STRING>>,
 summary STRUCT<total_files_scanned: INT, files_in_clusters: INT, unclustered_files: INT, unique_clusters: INT, unique_marketplaces: INT>,
@@ -36,40 +38,64 @@ class Scanned:
     counts: dict[str, int]
 
 
-def scan_tree(spark: SparkSession, root: str, config: Config = DEFAULT) -> Scanned:
-    """The Markdown files of every collection (folder of ``root`` that isn't hidden). Paths with ``backup`` in them and short
-    files are left out; bytes that are no UTF-8 are replaced. Ids are dense and follow collection and path. The files are
-    read once, into a checkpoint."""
-    names = tree.listed(spark, root).where(~F.col("collection").startswith(".") & ~F.contains(F.lower(F.concat_ws("/", "collection", "relative_path")), F.lit("backup")))
+def _scanned(names: DataFrame, root: str, config: Config) -> Scanned:
     seen = Observation()
     read = F.col("error").isNull()
     fits = read & (F.length("content") >= config.min_chars)
     counts = [F.count_if(c).alias(n) for n, c in (("indexed", fits), ("short", read & ~fits), ("failed", ~read))]
     rows = cut(tree.with_contents(names, root).observe(seen, *counts))
     own = rows.where(fits).withColumnRenamed("collection", "marketplace").drop("error")
-    ids = numbered(own.select("marketplace", "relative_path"), ["marketplace", "relative_path"], "file_index")
-    files = own.join(ids, ["marketplace", "relative_path"]).select("file_index", "marketplace", plugin_of(F.col("relative_path")).alias("plugin"), "relative_path", "full_path", "content")
+    ids = numbered(own.select("marketplace", "relative_path", "full_path"), ["marketplace", "relative_path", "full_path"], "file_index")
+    files = own.join(ids.select("full_path", "file_index"), "full_path")
+    files = files.select("file_index", "marketplace", plugin_of(F.col("relative_path")).alias("plugin"), "relative_path", "full_path", "content")
     return Scanned(files, rows.where(~read).select("full_path", "error"), seen.get)
 
 
+def scan_tree(spark: SparkSession, root: str, config: Config = DEFAULT) -> Scanned:
+    """The Markdown files of every collection (folder of ``root`` that isn't hidden). Paths with ``backup`` in them and short
+    files are left out; bytes that are no UTF-8 are replaced. Ids are dense and follow collection and path. The files are
+    read once, into a checkpoint."""
+    path = F.lower(F.concat_ws("/", "collection", "relative_path"))
+    names = tree.listed(spark, root).where(~F.col("collection").startswith(".") & ~F.contains(path, F.lit("backup")))
+    return _scanned(names, root, config)
+
+
+def scan_installed(spark: SparkSession, installed: DataFrame, config: Config = DEFAULT) -> Scanned:
+    """The Markdown files below the install paths of plugins (``name, marketplace, install_path``), of which there are few; paths
+    that don't exist are among the problems."""
+    folders = sorted({(r.marketplace, r.install_path) for r in installed.collect()})
+    root = folders[0][1] if folders else "/"
+    names = tree.listed(spark, root, folders=folders).where(~F.contains(F.lower("full_path"), F.lit("backup")))
+    return _scanned(names, root, config)
+
+
 def scan(spark: SparkSession, root: str, config: Config = DEFAULT) -> DataFrame:
     return scan_tree(spark, root, config).files
 
 
 def baseline(files: DataFrame, spec: str, installed: DataFrame | None = None) -> DataFrame:
-    """The files of ``installed``, a collection or ``collection/plugin`` (case counts only if both spellings exist)."""
+    """The files of ``installed``, a collection or ``collection/plugin``. A collection's case counts only if both spellings exist;
+    a plugin is a folder of the collection, of its ``plugins`` or of a folder in that, in this order. installed: plugins by
+    name and collection, or files that :func:`scan_installed` read."""
     if not spec.strip():
         raise ValueError("the baseline is blank")
     if spec == "installed":
         if installed is None:
             raise ValueError("no installed plugins are known")
+        if "content" in installed.columns:
+            return installed
         return files.join(installed.select("marketplace", F.col("name").alias("plugin")).distinct(), ["marketplace", "plugin"], "left_semi")
-    collection, _, plugin = spec.partition("/")
+    name, _, plugin = spec.partition("/")
+    collection = lookup.collection_name(files, name)
+    if collection is None:
+        some = [r[0] for r in files.select("marketplace").distinct().orderBy("marketplace").limit(10).collect()]
+        raise ValueError(f"not found: {name}; available: {', '.join(some)}")
     own = files.where(F.col("marketplace") == collection)
-    own = own if own.head(1) else files.where(F.lower("marketplace") == collection.lower())
-    own = own.where(F.col("plugin") == plugin) if plugin else own
-    if not own.head(1):
-        raise ValueError(f"not found: {spec}")
+    if plugin:
+        folder = lookup.plugin_folder(own, collection, plugin)
+        if folder is None:
+            raise ValueError(f"not found: {spec}")
+        own = own.where(F.col("relative_path").startswith(f"{folder}/"))
     return own
 
 
@@ -113,7 +139,24 @@ def located(spark: SparkSession, report: str | None, folder: str) -> DataFrame:
     if not exists(spark, path):
         raise ValueError(f"no index at {path}: run scan first")
     rows = report_locations(spark, path) if report else spark.read.parquet(path)
-    return rows.select("cluster_id", "type", "marketplace", "plugin", "path", "filename", "is_official")
+    saved = [c for c in ("folded", "part") if c in rows.columns]
+    return rows.select("cluster_id", "type", "marketplace", "plugin", "path", "filename", "is_official", *saved)
+
+
+def cluster_count(spark: SparkSession, report: str | None, folder: str) -> int:
+    """The number of clusters that a report, or the tables that a scan left, tell; 0 where there is none or it can't be read."""
+    try:
+        if report:
+            rows = spark.read.schema(REPORT).json(report, multiLine=True)
+            return rows.select(F.coalesce("summary.unique_clusters", F.lit(0))).first()[0]
+        return spark.read.parquet(f"{folder}/clusters").count() if exists(spark, f"{folder}/clusters") else 0
+    except (AnalysisException, Py4JJavaError, TypeError):
+        return 0
+
+
+def signed(spark: SparkSession, folder: str) -> DataFrame:
+    """``file_index, marketplace, plugin, relative_path, sig`` of every file of the last scan."""
+    return spark.read.parquet(f"{folder}/signatures")
 
 
 def capability_index(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ its ``error`` instead of the end of the scan.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "collection string, relative_path string, full_path string, size long, error string"
+SCHEMA = "collection string, relative_path string, full_path string, error string"
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str, str]:
@@ -25,39 +27,50 @@ def opened(root: str) -> tuple[fs.FileSystem, str, str]:
     return system, path.rstrip("/"), clean.rstrip("/").removesuffix(path.rstrip("/"))
 
 
+def children(system: fs.FileSystem, folder: str) -> list[tuple[str, bool]]:
+    """What a folder holds, in order: paths, and whether they are folders. Links to folders are not followed, and a link to
+    nothing is listed like a file, so that it shows up when it is read."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            return sorted((x.path, x.is_dir(follow_symlinks=False)) for x in found)
+    return sorted((x.path, x.type == fs.FileType.Directory) for x in system.get_file_info(fs.FileSelector(folder)))
+
+
 class _Folder(InputPartition):
-    def __init__(self, name: str) -> None:
-        self.name = name
+    def __init__(self, name: str, path: str) -> None:
+        self.name, self.path = name, path
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, suffix: str) -> None:
-        self.root, self.suffix = root, suffix
+    def __init__(self, root: str, suffix: str, folders: list[tuple[str, str]] | None) -> None:
+        self.root, self.suffix, self.folders = root, suffix, folders
 
     def partitions(self) -> list[_Folder]:
+        if self.folders is not None:
+            return [_Folder(*x) for x in self.folders] or [_Folder("", "")]
         system, path, _ = opened(self.root)
         if system.get_file_info(path).type != fs.FileType.Directory:
             raise ValueError(f"no such folder: {self.root}")
-        return [_Folder(x.base_name) for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.Directory] or [_Folder("")]
+        found = system.get_file_info(fs.FileSelector(path))
+        return [_Folder(x.base_name, f"{self.root.rstrip('/')}/{x.base_name}") for x in found if x.type == fs.FileType.Directory] or [_Folder("", "")]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        if not partition.name:
+        if not partition.path:
             return
-        system, path, lead = opened(self.root)
-        base = f"{path}/{partition.name}"
+        system, base, lead = opened(partition.path)
         todo = [base]
         while todo:
             folder = todo.pop()
             try:
-                found = sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda x: x.path)
+                found = children(system, folder)
             except OSError as e:
-                yield partition.name, folder.removeprefix(base).lstrip("/"), lead + folder, None, str(e)
+                yield partition.name, folder.removeprefix(base).lstrip("/"), lead + folder, str(e)
                 continue
-            for x in found:
-                if x.type == fs.FileType.Directory:
-                    todo.append(x.path)
-                elif x.path.endswith(self.suffix):
-                    yield partition.name, x.path[len(base) + 1 :], lead + x.path, x.size, None
+            for path, is_folder in found:
+                if is_folder:
+                    todo.append(path)
+                elif path.endswith(self.suffix):
+                    yield partition.name, path[len(base) + 1 :], lead + path, None
 
 
 class FileTree(DataSource):
@@ -69,13 +82,16 @@ class FileTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options["path"], self.options.get("suffix", ".md"))
+        folders = self.options.get("folders")
+        return _Reader(self.options["path"], self.options.get("suffix", ".md"), folders and json.loads(folders))
 
 
-def listed(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
-    """The files below the folders of a root: ``collection, relative_path, full_path, size, error``."""
+def listed(spark: SparkSession, root: str, suffix: str = ".md", folders: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``collection, relative_path, full_path, error`` of the files below the folders of a root, or below the folders named
+    (collection, path), which lie on the root's file system. A folder that isn't there is a row with an error."""
     spark.dataSource.register(FileTree)
-    return spark.read.format("file_tree").option("suffix", suffix).load(root)
+    rows = spark.read.format("file_tree").option("suffix", suffix)
+    return (rows if folders is None else rows.option("folders", json.dumps(folders))).load(root)
 
 
 def with_contents(names: DataFrame, root: str) -> DataFrame:

@@ -100,7 +100,7 @@ class KeptIndex:
 
     def probe(self, files: DataFrame) -> DataFrame:
         """``j, jaccard, i``: each file with its best candidate in the index, which stays as it is."""
-        return stars.best_candidates(self.signatures(), kernels.signatures(files, self.config, raw=True), self.config)
+        return stars.best_candidates(self.signatures(), cut(kernels.signatures(files, self.config, raw=True)), self.config)
 
     def follow(self, files: DataFrame, checkpoint: str) -> StreamingQuery:
         """Adds what a stream (``file_index, content``) holds now; each micro-batch is a batch."""
