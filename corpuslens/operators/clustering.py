@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.text import file_name, is_official, jaccard
 from ..scratch import cut
+from .blocks import weighted_sums
 from .numbering import numbered
 
 
@@ -30,12 +31,22 @@ def seeds(edges: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("seed"))
 
 
-def members(edges: DataFrame) -> DataFrame:
-    """``cluster_id, file_index``; a file may be in several clusters. Ids are dense in the order of the seeds."""
-    chosen = numbered(seeds(edges), ["seed"], "cluster_id")
+def members(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``cluster_id, file_index``; a file may be in several clusters. Ids are dense in the order of the seeds.
+
+    of: ``file_index, rep, n``, where the edges join the first files of equal sets; all files of a set are in its clusters then, and a
+    set of several files that has no edge is a cluster of its own."""
+    edges = cut(edges.select("i", "j"))
+    found = seeds(edges)
+    if of is not None:
+        met = edges.select(F.col("i").alias("rep")).union(edges.select("j"))
+        found = found.union(of.where("n > 1 and file_index = rep").join(met, "rep", "left_anti").select(F.col("rep").alias("seed")))
+    chosen = numbered(found, ["seed"], "cluster_id")
     both = edges.select(F.col("i").alias("seed"), F.col("j").alias("file_index")).union(edges.select("j", "i"))
-    near = both.join(chosen, "seed").select("cluster_id", "file_index")
-    return cut(near.union(chosen.select("cluster_id", F.col("seed").alias("file_index"))))
+    near = both.join(chosen, "seed").select("cluster_id", "file_index").union(chosen.select("cluster_id", F.col("seed").alias("file_index")))
+    if of is not None:
+        near = cut(near).withColumnRenamed("file_index", "rep").join(of.select("file_index", "rep"), "rep").select("cluster_id", "file_index")
+    return cut(near)
 
 
 def member_pairs(clusters: DataFrame, sets: DataFrame) -> DataFrame:
@@ -46,16 +57,13 @@ def member_pairs(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     return a.join(b, "cluster_id").where("file1_index < file2_index").select("cluster_id", "file1_index", "file2_index", jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
-def pair_means(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+def pair_means(clusters: DataFrame, sets: DataFrame, of: DataFrame) -> DataFrame:
     """``cluster_id, mean``: the mean similarity of all pairs of a cluster's files.
 
-    Equal sets of a cluster are taken as one with a weight, so a cluster of copies costs a row a file."""
-    keyed = sets.select("file_index", F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256).alias("key"))
-    weights = cut(clusters.join(keyed, "file_index").groupBy("cluster_id", "key").agg(F.count("*").alias("w"), F.min("file_index").alias("file_index")))
-    own = weights.join(sets, "file_index")
-    a = own.select("cluster_id", F.col("file_index").alias("i"), F.col("w").alias("wi"), F.col("sh").alias("a"))
-    b = own.select("cluster_id", F.col("file_index").alias("j"), F.col("w").alias("wj"), F.col("sh").alias("b"))
-    apart = a.join(b, "cluster_id").where("i < j").select("cluster_id", (F.col("wi") * F.col("wj") * jaccard(F.col("a"), F.col("b"))).alias("s"))
+    Equal sets of a cluster (of: ``file_index, rep, n``) are one with a weight, and the pairs of different ones are added up in blocks;
+    so no row stands for a pair, and a cluster of copies costs a row a file."""
+    weights = cut(clusters.join(of.select("file_index", "rep"), "file_index").groupBy("cluster_id", "rep").agg(F.count("*").alias("w")))
+    apart = weighted_sums(weights, sets.select(F.col("file_index").alias("rep"), "sh"))
     inside = weights.select("cluster_id", (F.col("w") * (F.col("w") - 1) / 2).alias("s"))
     size = weights.groupBy("cluster_id").agg(F.sum("w").alias("size"))
     sums = apart.unionByName(inside).groupBy("cluster_id").agg(F.sum("s").alias("s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..scratch import cut
-from .similarity import pairs_between
+from .similarity import best_pairs
 from .stars import best_candidates
 
 
@@ -16,9 +16,7 @@ def best(baseline: DataFrame, target: DataFrame, config: Config = DEFAULT, bande
     sets (``file_index, sh``), or candidates over signatures (``file_index, sig`` as bytes) with their estimates."""
     if banded:
         return best_candidates(baseline, target, config)
-    pairs = pairs_between(baseline, target, config.threshold)
-    found = pairs.groupBy("j").agg(F.max(F.struct("jaccard", (-F.col("i")).alias("least"))).alias("m"))
-    return found.select("j", F.col("m.jaccard").alias("jaccard"), (-F.col("m.least")).alias("i"))
+    return best_pairs(baseline, target, config.threshold)
 
 
 def _written(banded: bool, *sides: DataFrame) -> list[DataFrame]:

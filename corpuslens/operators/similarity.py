@@ -16,32 +16,73 @@ def with_shingles(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return eligible.select("file_index", shingles(F.col("content"), config.shingle).alias("sh"))
 
 
+def collapsed(sets: DataFrame) -> DataFrame:
+    """``file_index, rep, n``: every file with a shingle, the first file that has the same set, and how many have it. Written."""
+    key = F.md5(F.array_join(F.array_sort("sh"), "\n"))
+    keyed = cut(sets.where("size(sh) > 0").select("file_index", key.alias("key")))
+    first = cut(keyed.groupBy("key").agg(F.min("file_index").alias("rep"), F.count("*").alias("n")))
+    return cut(keyed.join(first, "key").select("file_index", "rep", "n"))
+
+
+def _firsts(sets: DataFrame, of: DataFrame) -> DataFrame:
+    """Each different set once, under its first file."""
+    return sets.join(of.where("file_index = rep").select("file_index"), "file_index", "left_semi")
+
+
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """Each set's rarest members, so many that two sets of the threshold's similarity must share one."""
-    members = sets.where("size(sh) > 0").select("file_index", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    """Each set's rarest members, so many that two sets of the threshold's similarity must share one, with their places.
+
+    Members are 64-bit hashes here. Where two collide, sets meet that share nothing, which is found when they are compared; and
+    sets that share enough meet all the same, since colliding members have one place in the order."""
+    members = sets.select("file_index", F.size("sh").alias("n"), F.explode("sh").alias("s")).select("file_index", "n", F.xxhash64("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("file_index").orderBy("df", "s"))
     ranked = members.join(frequency, "s").withColumn("r", rank)
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("file_index", "n", "s")
+    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("file_index", "n", "s", "r")
 
 
-def pairs_between(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
-    """``i, j, jaccard`` of all pairs at or above the threshold, exactly. ``same``: one table against itself, i < j.
+def different_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
+    """``i, j, jaccard`` of all pairs at or above the threshold, exactly, of sets that don't repeat within a side. ``same``: one
+    table against itself, i < j.
 
-    Only rare shingles take part in the join (a lossless filter), and candidates whose sizes rule the threshold out are
-    dropped in the join; what remains is verified on the whole sets."""
+    Only rare shingles take part in the join (a lossless filter). A candidate is dropped in the join if the sizes, or what is left
+    of both sets after the place of the shared shingle, rule the threshold out; what remains is verified on the whole sets."""
     tables = left if same else left.unionByName(right)
-    frequency = tables.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    a = _prefixes(left, frequency, threshold).select(F.col("file_index").alias("i"), F.col("n").alias("ni"), "s")
-    b = _prefixes(right, frequency, threshold).select(F.col("file_index").alias("j"), F.col("n").alias("nj"), "s")
-    near = (F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold - 1e-9) & ((F.col("i") < F.col("j")) if same else F.lit(True))
-    candidates = a.join(b, "s").where(near).select("i", "j").distinct()
+    frequency = tables.select(F.explode("sh").alias("s")).select(F.xxhash64("s").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
+    a = _prefixes(left, frequency, threshold).toDF("i", "ni", "s", "ri")
+    b = a.toDF("j", "nj", "s", "rj") if same else _prefixes(right, frequency, threshold).toDF("j", "nj", "s", "rj")
+    near = F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold - 1e-9
+    needed = (F.col("ni") + F.col("nj")) * (threshold / (1 + threshold)) - 1e-9
+    left_over = F.least(F.col("ni") - F.col("ri"), F.col("nj") - F.col("rj")) + 1 >= needed
+    candidates = a.join(b, "s").where(near & left_over & ((F.col("i") < F.col("j")) if same else F.lit(True))).select("i", "j").distinct()
     x, y = left.select(F.col("file_index").alias("i"), F.col("sh").alias("a")), right.select(F.col("file_index").alias("j"), F.col("sh").alias("b"))
     out = candidates.join(x, "i").join(y, "j").select("i", "j", jaccard(F.col("a"), F.col("b")).alias("jaccard"))
     return out.where(F.col("jaccard") >= threshold)
 
 
+def class_edges(sets: DataFrame, of: DataFrame, threshold: float = DEFAULT.threshold) -> DataFrame:
+    """Similar pairs of different sets, under the first files that have them."""
+    own = cut(_firsts(sets, of))
+    return different_pairs(own, own, threshold, same=True)
+
+
 def similar_pairs(sets: DataFrame, threshold: float = DEFAULT.threshold) -> DataFrame:
-    return pairs_between(sets, sets, threshold, same=True)
+    """``i, j, jaccard`` of all pairs of files, i < j: pairs of different sets, and of the files of equal ones, written out."""
+    of = collapsed(sets)
+    edges = class_edges(sets, of, threshold)
+    a, b = of.select(F.col("rep").alias("ra"), F.col("file_index").alias("fa")), of.select(F.col("rep").alias("rb"), F.col("file_index").alias("fb"))
+    apart = edges.withColumnsRenamed({"i": "ra", "j": "rb"}).join(a, "ra").join(b, "rb").select(F.least("fa", "fb").alias("i"), F.greatest("fa", "fb").alias("j"), "jaccard")
+    several = of.where("n > 1").select("rep", "file_index")
+    equal = several.withColumnRenamed("file_index", "i").join(several.withColumnRenamed("file_index", "j"), "rep").where("i < j").select("i", "j", F.lit(1.0).alias("jaccard"))
+    return apart.unionByName(equal)
+
+
+def best_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``j, jaccard, i``: for each right file its most similar left file at or above the threshold, the first among equals."""
+    of_left, of_right = collapsed(left), collapsed(right)
+    pairs = different_pairs(cut(_firsts(left, of_left)), cut(_firsts(right, of_right)), threshold)
+    best = pairs.groupBy("j").agg(F.max(F.struct("jaccard", (-F.col("i")).alias("least"))).alias("m"))
+    own = of_right.select(F.col("file_index").alias("file"), F.col("rep").alias("j"))
+    return own.join(best, "j").select(F.col("file").alias("j"), F.col("m.jaccard").alias("jaccard"), (-F.col("m.least")).alias("i"))
 
 
 def signatures(sets: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..scratch import cut
+from .blocks import sorted_groups
 from .numbering import numbered
 
 #: Files of a bucket's side that are compared with another side's at once.
@@ -97,25 +98,6 @@ def _classes(sigs: DataFrame) -> DataFrame:
     return sigs.groupBy("sig").agg(F.min("file_index").alias("least"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (bucket, one, two), which come sorted."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "one", "two")), strict=True))
-        at = 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[at]:
-                if held and keys[at] != now:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                now = keys[at]
-                held.append(batch.slice(at, i - at))
-                at = i
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each right file of a block the left file with most equal slots, the first among equals."""
     out: list[tuple[int, int, int]] = []
@@ -125,7 +107,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["j", "equal", "i"])
 
-    for group in _groups(batches):
+    for _, group in sorted_groups(batches, ("bucket", "one", "two")):
         right = group.column("right").to_numpy()
         ids = group.column("node").to_numpy()
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(ids), -1)

@@ -44,14 +44,19 @@ class Scan:
         """Cut once: every join below reads them, some of them several times."""
         return cut(similarity.with_shingles(self.files, self.config))
 
+    @cached_property
+    def of(self) -> DataFrame:
+        """``file_index, rep, n``: files by equal sets."""
+        return similarity.collapsed(self.sets)
+
     @cached_property
     def edges(self) -> DataFrame:
-        """Verified pairs; written once, since clustering reads them again and again."""
-        return cut(similarity.similar_pairs(self.sets, self.config.threshold))
+        """Verified pairs of different sets; written once, since clustering reads them again and again."""
+        return cut(similarity.class_edges(self.sets, self.of, self.config.threshold))
 
     @cached_property
     def members(self) -> DataFrame:
-        return stars.members(self.signatures, self.config) if self.banded else clustering.members(self.edges)
+        return stars.members(self.signatures, self.config) if self.banded else clustering.members(self.edges, self.of)
 
     @cached_property
     def raw_pairs(self) -> DataFrame:
@@ -61,7 +66,7 @@ class Scan:
     @cached_property
     def means(self) -> DataFrame:
         """``cluster_id, mean``: of the pairs, counted without listing them."""
-        return stars.slot_means(self.members, self.signatures, self.config) if self.banded else clustering.pair_means(self.members, self.sets)
+        return stars.slot_means(self.members, self.signatures, self.config) if self.banded else clustering.pair_means(self.members, self.sets, self.of)
 
     @cached_property
     def _clusters(self) -> DataFrame:

@@ -290,14 +290,14 @@ def overlap_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_SIDES + "SELECT i AS file_index FROM target WHERE i IN (SELECT b FROM ab)")
 def shared_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, base = _sides(spark, sf_dir)
-    pairs = similarity.pairs_between(base, target, CONFIG.threshold)
+    pairs = similarity.best_pairs(base, target, CONFIG.threshold)
     return target.select("file_index").join(pairs, F.col("file_index") == F.col("j"), "left_semi")
 
 
 @_query(_SIDES + "SELECT i AS file_index FROM target WHERE i NOT IN (SELECT b FROM ab)")
 def novel_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, base = _sides(spark, sf_dir)
-    pairs = similarity.pairs_between(base, target, CONFIG.threshold)
+    pairs = similarity.best_pairs(base, target, CONFIG.threshold)
     return target.where("size(sh) > 0").select("file_index").join(pairs, F.col("file_index") == F.col("j"), "left_anti")
 
 
@@ -477,7 +477,7 @@ def definition_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = _scan(spark, sf_dir)
-    return diffing.diff_pairs(scan.edges.select("i", "j"), scan.files)
+    return diffing.diff_pairs(similarity.similar_pairs(scan.sets, CONFIG.threshold).select("i", "j"), scan.files)
 
 
 @_query()
