@@ -1,11 +1,12 @@
 """Commands over a folder of collections: scan, where, compare-marketplaces, compare, impact, installed, find, stats,
-marketplace-level, checkout, describe and diff. Results are printed as lines of JSON."""
+marketplace-level, checkout, describe and diff. Results are printed as lines of JSON, or as text."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from .functions.pandas_udfs import front_matter
 from .operators import compare, diffing, index, similarity
 from .plans.scan import Scan
 from .scratch import cut
-from .sinks import exports
+from .sinks import exports, render
 from .sources import files as source
 from .sources import lookup
 
@@ -80,7 +81,8 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--report", help="a saved report of either version; else what scan left in --data")
         if name == "diff":
             s.add_argument("--context", type=int, default=3)
-        s.add_argument("--json", action="store_true")
+        s.add_argument("--json", action="store_true", help="lines of JSON, which is the default")
+        s.add_argument("--text", action="store_true", help="text for a terminal")
         s.add_argument("--verbose", "-v", action="store_true")
         s.add_argument("--heatmap", action="store_true")
     return p
@@ -101,26 +103,50 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def _say(lines: Iterable[str]) -> None:
+    print("\n".join(lines))
+
+
+def _found(rows: DataFrame, args: argparse.Namespace, show) -> None:  # noqa: ANN001
+    if args.text:
+        _say(render.found(rows.collect()))  # 30 at most
+    else:
+        show(index.grouped(rows) if args.verbose else rows)
+
+
 def _saved(spark: SparkSession, args: argparse.Namespace, show) -> bool:  # noqa: ANN001
     """Answers what the saved index or the installed plugins can answer; no file of a collection is read."""
     if args.command == "installed":
         plugins = source.installed_plugins(spark, args.installed_file)
-        show(plugins.orderBy("marketplace", "name") if args.verbose else index.installed_groups(plugins))
+        groups = index.installed_groups(plugins)
+        if args.text:
+            _say(render.installed(groups.toLocalIterator()))
+        else:
+            show(plugins.orderBy("marketplace", "name") if args.verbose else groups)
     elif args.command == "where":
-        show(index.where(source.located(spark, args.report, args.data), args.query))
+        places = index.where(source.located(spark, args.report, args.data), args.query)
+        if args.text and not args.report:
+            clusters = spark.read.parquet(f"{args.data}/clusters").join(places.select("cluster_id").distinct(), "cluster_id", "left_semi")
+            _say(render.where(clusters.collect(), places.collect()))
+        else:
+            show(places)
     elif args.command == "stats":
         places = source.located(spark, args.report, args.data)
         show(index.type_counts(places))
         show(index.filename_counts(places))
     elif args.command == "marketplace-level":
         places = source.located(spark, args.report, args.data)
-        show(index.collection_counts(places, None if args.verbose else 15))
-        show(index.top_overlaps(index.overlap_matrix(places)))
-        if args.heatmap:
-            show(index.heat_map(places))
+        counts, pairs = index.collection_counts(places, None if args.verbose else 15), index.top_overlaps(index.overlap_matrix(places))
+        heat = index.heat_map(places) if args.heatmap else None
+        if args.text:
+            first = pairs.collect()
+            _say(render.level(counts.collect(), places.select("marketplace").distinct().count(), first[:15], len(first), heat and heat.collect()))
+            return True
+        for df in (counts, pairs, heat):
+            if df is not None:
+                show(df)
     elif args.command == "find" and source.exists(spark, f"{args.data}/capabilities"):
-        found = index.find(source.capability_index(spark, f"{args.data}/capabilities"), args.query)
-        show(index.grouped(found) if args.verbose else found)
+        _found(index.find(source.capability_index(spark, f"{args.data}/capabilities"), args.query), args, show)
     elif args.command in ("compare", "impact", "compare-marketplaces") and args.banded and args.saved:
         _compared(spark, args, show, source.signed(spark, args.data), lambda files: files.select("file_index", "sig"), None)
     else:
@@ -133,13 +159,22 @@ def _compared(spark: SparkSession, args: argparse.Namespace, show, files: DataFr
     if args.command == "compare-marketplaces":
         sides = [source.baseline(files, m) for m in (args.marketplace_a, args.marketplace_b)]
         a, b = (cut(prepared(x)) for x in sides)
-        show(compare.venn(a, b, banded=args.banded))
         pairs = compare.matched_pairs(a, b, files.select("file_index", "relative_path"), banded=args.banded)
+        if args.text:
+            v = compare.venn(a, b, banded=args.banded).first()
+            _say(render.venn(v, args.marketplace_a, args.marketplace_b, pairs.limit(10).collect(), v.shared))
+            return
+        show(compare.venn(a, b, banded=args.banded))
         show(pairs if args.verbose else pairs.limit(10))
         return
     target, base = source.baseline(files, args.target), source.baseline(files, args.baseline, installed)
     matches = cut(compare.best_matches(cut(prepared(target)), cut(prepared(base)), banded=args.banded))
-    show(compare.totals(matches, source.cluster_count(spark, args.report, args.data)))
+    totals = compare.totals(matches, source.cluster_count(spark, args.report, args.data))
+    if args.text:
+        first = compare.redundant(matches, target, base).collect() if args.verbose else None
+        _say(render.compared(totals.first(), args.target, args.baseline, first))
+        return
+    show(totals)
     if args.verbose:
         show(compare.redundant(matches, target, base))
 
@@ -166,8 +201,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: A
         _compared(spark, args, show, files, signed if args.banded else similarity.with_shingles, installed)
     elif args.command == "find":
         found = source.capabilities(files).withColumn("ord", F.concat_ws("/", "marketplace", "path"))
-        found = index.find(found, args.query)
-        show(index.grouped(found) if args.verbose else found)
+        _found(index.find(found, args.query), args, show)
     elif args.command == "diff":
         ids = [_skill(files, x).select("file_index").first() for x in (args.a, args.b)]
         if None in ids:
@@ -178,7 +212,12 @@ def _run(spark: SparkSession, args: argparse.Namespace, show) -> int:  # noqa: A
         row = _skill(files, args.skill)
         if not row.head(1):
             raise ValueError(f"not found: {args.skill}")
-        show(describe(row))
+        about = describe(row)
+        if args.text:
+            r = about.first()
+            _say(render.skill(r, json.loads(r.frontmatter) if args.verbose else None))
+        else:
+            show(about)
     else:
         found = lookup.skill_to_copy(files, args.skill).first()
         if found is None:

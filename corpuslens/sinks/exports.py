@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import shutil
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.pandas_udfs import front_matter_of
 from ..operators.index import lookup_part
 from ..plans.scan import Scan
 
@@ -58,22 +60,34 @@ MANIFEST = ".corpuslens-checkout.json"
 
 
 def checkout(source: str, destination: str, keep_folders: bool = True) -> dict:
-    """Copies a skill (a file or a folder) on this machine and writes a manifest beside it. Hidden parts are skipped and
-    nothing is written outside the destination; without folders, a name that is there already is skipped."""
+    """Copies a skill (a file or a folder) on this machine and writes a manifest beside it: the front matter of the file, or of the
+    folder's ``SKILL.md``, and under ``_checkout`` source, time and number of files. Hidden parts are skipped and nothing is
+    written outside the destination; without folders, a name that is there already is skipped. What can't be copied ends the
+    checkout with a message, not an error."""
     src, dst = Path(source), Path(destination).resolve()
+    copied: list[str] = []
+    about: dict = {}
+    outcome = {"target_path": str(dst), "files_copied": copied, "metadata": about}
     if not src.exists():
-        return {"success": False, "message": f"not found: {source}", "files_copied": []}
-    copied, base = [], src if src.is_dir() else src.parent
-    for f in sorted(src.rglob("*")) if src.is_dir() else [src]:
-        part = f.relative_to(base)
-        if not f.is_file() or any(x.startswith(".") for x in part.parts):
-            continue
-        to = dst / (part if keep_folders else part.name)
-        if not to.resolve().is_relative_to(dst) or (not keep_folders and to.exists()):
-            continue
-        to.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copy2(f, to)
-        copied.append(str(part if keep_folders else part.name))
-    dst.mkdir(parents=True, exist_ok=True)
-    (dst / MANIFEST).write_text(json.dumps({"source": str(src), "files": copied}, indent=2))
-    return {"success": True, "message": f"copied {len(copied)} files", "files_copied": copied, "target_path": str(dst)}
+        return outcome | {"success": False, "message": f"not found: {source}"}
+    try:
+        base = src if src.is_dir() else src.parent
+        for f in sorted(src.rglob("*")) if src.is_dir() else [src]:
+            part = f.relative_to(base)
+            if not f.is_file() or any(x.startswith(".") for x in part.parts):
+                continue
+            to = dst / (part if keep_folders else part.name)
+            if not to.resolve().is_relative_to(dst) or (src.is_dir() and not keep_folders and to.exists()):
+                continue
+            to.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copy2(f, to)
+            copied.append(str(part if keep_folders else part.name))
+        head = src / "SKILL.md" if src.is_dir() else src
+        if head.suffix == ".md" and head.is_file():
+            about |= front_matter_of(head.read_text("utf-8", "replace"))
+        about["_checkout"] = {"source": str(src), "timestamp": datetime.now(UTC).isoformat(), "files_copied": len(copied)}
+        dst.mkdir(parents=True, exist_ok=True)
+        (dst / MANIFEST).write_text(json.dumps(about, indent=2, default=str))
+    except OSError as e:
+        return outcome | {"success": False, "message": f"copied {len(copied)} files, then: {e}"}
+    return outcome | {"success": True, "message": f"copied {len(copied)} files"}

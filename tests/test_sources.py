@@ -127,6 +127,18 @@ def test_banded_commands(spark, root, tmp_path, capsys):
     assert code == 0 and out[0]["total"] == 3 and all(r["similar_to"].startswith("one/") for r in out[1:])
     assert run("compare", "two", "-b", "one", "--banded")[1][0]["total"] == 3 and run("impact", "two", "-b", "one")[1][0]["impact"]
     assert run("compare", "two", "-b", "zero")[0] == 1 and run("compare", "two")[0] == 1  # no installed plugins are known
+    said = lambda *args: (cli.main(["--data", str(tmp_path / "data"), *args, "--text"]), capsys.readouterr().out.splitlines())[1]
+    assert said("where", "pdf.md")[0].endswith("clusters") and any(x.startswith("  two/root") or x.startswith("  two/skills") for x in said("where", "pdf.md"))
+    assert said("marketplace-level", "--heatmap")[0] == "4 collections" and said("compare", "two", "-b", "one", "--banded", "--saved", "-v")[0] == "two against one: 3 files"
+    assert said("compare-marketplaces", "-a", "one", "-b", "two", "--banded", "--saved")[0] == "one: 5 files, two: 3 files" and said("find", "pdf")[0].endswith("matches")
     assert [r["marketplace"] for r in run("marketplace-level", "--heatmap", **gone)[1] if "c1" in r] == sorted({"one", "two", "Three", "three"})
     assert run("describe", "one/tools/xls")[1][0]["name"] == "xls"
     assert cli.main(["--root", str(root), "checkout", "one/tools/xls", "-d", str(tmp_path / "out")]) == 0 and (tmp_path / "out/xls.md").exists()
+
+
+def test_checkout_manifest(tmp_path):
+    put(tmp_path, {"s/SKILL.md": "---\nname: x\nday: 2024-05-06\n---\nbody", "s/a.md": "a", "s/.git/b": "b", "file": "in the way"})
+    result = exports.checkout(str(tmp_path / "s"), str(tmp_path / "out"))
+    manifest = json.loads((tmp_path / "out" / exports.MANIFEST).read_text())
+    assert result["success"] and manifest["name"] == "x" and manifest["day"] == "2024-05-06" and manifest["_checkout"]["files_copied"] == 2 and manifest["_checkout"]["timestamp"]
+    assert not exports.checkout(str(tmp_path / "s"), str(tmp_path / "file/below"))["success"]
