@@ -2,7 +2,7 @@
 
 Every document becomes pieces of at most ``length`` tokens. A partition keeps ``windows`` open sequences, puts each piece
 into the one it fills best, and gives out the fullest when none has room. What is open at the end of a partition is
-packed the same way in a merge over groups of partitions, until one more round would not pay.
+packed the same way in one merge over groups of partitions.
 """
 
 from __future__ import annotations

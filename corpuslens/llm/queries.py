@@ -63,7 +63,8 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+    judged = quality.judge(_table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+    return judged.select("doc_id", *[c for c in judged.columns if c not in ("doc_id", "lang", "bits")], "lang", "bits")
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
