@@ -13,6 +13,8 @@ from .common import written
 
 #: Pairs of places counted at once.
 AT_ONCE = 4_000_000
+#: Long lists multiplied at once, and how many products of a matrix cost what one counted pair does.
+COLUMNS, PRODUCTS = 1_024, 32
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
@@ -52,13 +54,31 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def counted(va: np.ndarray, ra: np.ndarray, na: int, vb: np.ndarray, rb: np.ndarray, nb: int) -> np.ndarray:
-    """The same from inverted lists of the numbers: every pair of places in a list adds one."""
+    """The same from inverted lists of the numbers: every pair of places in a list adds one. Numbers that most rows hold are
+    counted as a product of 0/1 matrices instead, a column a number, which whole numbers below 2^24 leave exact."""
+    low, many = np.searchsorted(vb, va), np.searchsorted(vb, va, side="right")
+    many -= low
+    opens = np.flatnonzero(np.append(True, va[1:] != va[:-1])) if len(va) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(opens, len(va)))
+    long = lengths * many[opens] * PRODUCTS > na * nb
+    rest = ~np.repeat(long, lengths)
+    out = _listed(ra[rest], na, low[rest], many[rest], rb, nb)
+    opens, lengths = opens[long], lengths[long]
+    for i in range(0, len(opens), COLUMNS):
+        one, two = (np.zeros((n, len(opens[i : i + COLUMNS])), np.float32) for n in (na, nb))
+        for k, (at, n) in enumerate(zip(opens[i : i + COLUMNS].tolist(), lengths[i : i + COLUMNS].tolist(), strict=True)):
+            one[ra[at : at + n], k] = 1
+            two[rb[low[at] : low[at] + many[at]], k] = 1
+        out += (one @ two.T).astype(np.int32)
+    return out
+
+
+def _listed(ra: np.ndarray, na: int, low: np.ndarray, many: np.ndarray, rb: np.ndarray, nb: int) -> np.ndarray:
+    """Pairs of places: row ``ra[i]`` meets the ``many[i]`` rows that stand from ``low[i]`` in ``rb``."""
     out = np.zeros(na * nb, np.int32)
-    low, high = np.searchsorted(vb, va), np.searchsorted(vb, va, side="right")
-    many = high - low
     ends = np.cumsum(many)
     at = 0
-    while at < len(va):
+    while at < len(ra):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, side="right")))
         n = many[at:to]

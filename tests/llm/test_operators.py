@@ -377,6 +377,16 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_lists_of_any_length_are_counted():
+    """Rare numbers and numbers that most rows hold, empty rows, no rows: the same counts as sets give."""
+    rng = random.Random(5)
+    for _ in range(200):
+        sides = [[set(rng.sample(range(60), rng.randrange(40))) if rng.random() < 0.5 else {rng.randrange(500) for _ in range(rng.randrange(20))} for _ in range(rng.randrange(30))] for _ in "ab"]
+        flat = [blocks.sorted_lists(*(np.array([x[k] for x in ((v, i) for i, s in enumerate(side) for v in s)], np.int64) for k in (0, 1))) for side in sides]
+        got = blocks.counted(*flat[0], len(sides[0]), *flat[1], len(sides[1]))
+        assert got.tolist() == [[len(a & b) for b in sides[1]] for a in sides[0]]
+
+
 def test_shared_pivots_are_counted():
     rng = np.random.default_rng(6)
     a, b = (np.array([rng.choice(40, 12, replace=False) for _ in range(n)]) for n in (30, 50))
