@@ -1,6 +1,7 @@
-"""MinHash signatures straight from texts, as an Arrow kernel: no shingle set leaves a task.
+"""MinHash signatures and hashed shingle sets straight from texts, as Arrow kernels.
 
-The values are those of :func:`corpuslens.functions.text.signature` over :func:`corpuslens.functions.text.shingles`.
+Signatures are those of :func:`corpuslens.functions.text.signature` over :func:`corpuslens.functions.text.shingles`, and no
+shingle set leaves a task; hashed sets have a number for each member of the latter.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from ..config import DEFAULT, Config
@@ -18,13 +20,22 @@ from ..config import DEFAULT, Config
 PRIME = (1 << 31) - 1
 #: Shingles whose slots are worked out at once.
 AT_ONCE = 2048
+#: Word hashes that a task keeps; sets of fewer members are told apart by the members themselves.
+KEPT, FEW = 300_000, 8
 _SPACE, _OTHER = re.compile(r"\s+"), re.compile(r"[^a-z0-9 \-]")
 
 
+def _words(text: str) -> tuple[str, list[str]]:
+    left = _OTHER.sub("", _SPACE.sub(" ", text.lower()).strip(" "))
+    return left, [w for w in left.split(" ") if w]
+
+
 def shingle_set(text: str, size: int = 3) -> set[str]:
     """The set of word shingles of a text, by the rule of :func:`corpuslens.functions.text.shingles`."""
-    left = _OTHER.sub("", _SPACE.sub(" ", text.lower()).strip(" "))
-    words = [w for w in left.split(" ") if w]
+    return _shingles(*_words(text), size)
+
+
+def _shingles(left: str, words: list[str], size: int) -> set[str]:
     if len(words) >= size:
         return set(map(" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
     if words:
@@ -77,3 +88,113 @@ def signatures(files: DataFrame, config: Config = DEFAULT, raw: bool = False) ->
 
     kind = dict(files.dtypes)["file_index"]
     return files.select("file_index", "content").mapInArrow(run, f"file_index {kind}, sig {'binary' if raw else 'array<long>'}")
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _numbers(left: str, words: list[str], size: int, known: _Hashes) -> np.ndarray:
+    """A 64-bit number for each member of the shingle set, ascending."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in _shingles(left, words, size)], np.uint64))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    x = h[:n]
+    for k in range(1, size):
+        x = _spread(x) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return np.unique(_spread(x))
+
+
+def hashed_sets(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``file_index, sh, key`` of the files that are long enough: a 64-bit number for each of the shingles, ascending, and 128 bits
+    that equal sets share. Memory: a batch of texts, one text's numbers and the hashes of ``KEPT`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                keep, sets, keys = [], [], []
+                for k, text in enumerate(some.column("content").to_pylist()):
+                    if text is None or len(text) < config.min_chars:
+                        continue
+                    if len(known) > KEPT:
+                        known.clear()
+                    left, words = _words(text)
+                    found = _numbers(left, words, config.shingle, known)
+                    named = "\n".join(sorted(_shingles(left, words, config.shingle))) if len(found) < FEW else found.tobytes()
+                    keep.append(k)
+                    sets.append(found.view(np.int64))
+                    keys.append(xxhash.xxh3_128_digest(named))
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("file_index").take(pa.array(keep, pa.int64())), lists, pa.array(keys, pa.binary())], ["file_index", "sh", "key"])
+
+    kind = dict(files.dtypes)["file_index"]
+    return files.select("file_index", "content").mapInArrow(run, f"file_index {kind}, sh array<long>, key binary")
+
+
+#: Counters of members by which rare ones are told from common ones; every task holds them (8 MB).
+BUCKETS = 1 << 20
+
+
+def _buckets(values: np.ndarray) -> np.ndarray:
+    return _spread(values.view(np.uint64)).view(np.int64) & (BUCKETS - 1)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a column of lists, and where each list begins and ends among them."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
+
+
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many members of all sets fall into each of ``BUCKETS`` buckets; a task sends a row for each of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                n += np.bincount(_buckets(_flat(batch.column("sh").slice(i, 256))[0]), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["bucket", "n"])
+
+    found = sets.select("sh").mapInArrow(run, "bucket long, n long").groupBy("bucket").sum("n").toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """``file_index, n, s, r``: each set's rarest members by their buckets' counts, so many that two sets of the threshold's
+    similarity must share one; the set's size and the member's place, from 1. Any order of all members would do: counts
+    make the common ones last, which keeps candidates few. No row is shuffled."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = shared.value
+        for some in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+            values, ends = _flat(some.column("sh"))
+            n = np.diff(ends)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, times[_buckets(values)], owner))
+            place = np.arange(len(values)) - ends[:-1][owner] + 1
+            keep = np.flatnonzero(place <= (n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1)[owner])
+            for i in range(0, len(keep), 1 << 16):
+                at = keep[i : i + (1 << 16)]
+                who = owner[at]
+                yield pa.RecordBatch.from_arrays([some.column("file_index").take(pa.array(who)), pa.array(n[who], pa.int64()), pa.array(values[order[at]], pa.int64()), pa.array(place[at], pa.int64())], ["file_index", "n", "s", "r"])
+
+    return sets.select("file_index", "sh").mapInArrow(run, f"file_index {dict(sets.dtypes)['file_index']}, n long, s long, r long")

@@ -1,60 +1,62 @@
-"""Similarity joins over shingle sets: exact by prefix filtering, approximate by banded MinHash."""
+"""Similarity joins over shingle sets: whole by prefix filtering, approximate by banded MinHash."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import estimate, jaccard, shingles, signature
+from ..functions import kernels
+from ..functions.text import estimate, jaccard, signature
 from ..scratch import cut
 
 
 def with_shingles(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """``file_index, sh`` of the files that are long enough."""
-    eligible = files.where(F.length("content") >= config.min_chars)
-    return eligible.select("file_index", shingles(F.col("content"), config.shingle).alias("sh"))
+    """``file_index, sh, key`` of the files that are long enough: the shingles as 64-bit numbers, and 128 bits that equal sets share.
+
+    Two different shingles have one number with a probability of 2^-64, so of two sets that are compared a million pairs of
+    members give a wrong similarity in one of 10^13 cases."""
+    return kernels.hashed_sets(files, config)
+
+
+def _hashed(sets: DataFrame) -> DataFrame:
+    """Sets in that form; of sets of strings the numbers are hashes."""
+    if "key" in sets.columns:
+        return sets
+    key = F.unhex(F.md5(F.array_join(F.array_sort("sh"), "\n")))
+    return sets.select("file_index", F.transform("sh", lambda s: F.xxhash64(s)).alias("sh"), key.alias("key"))
 
 
 def collapsed(sets: DataFrame) -> DataFrame:
     """``file_index, rep, n``: every file with a shingle, the first file that has the same set, and how many have it. Written."""
-    key = F.md5(F.array_join(F.array_sort("sh"), "\n"))
-    keyed = cut(sets.where("size(sh) > 0").select("file_index", key.alias("key")))
+    keyed = cut(_hashed(sets).where("size(sh) > 0").select("file_index", "key"))
     first = cut(keyed.groupBy("key").agg(F.min("file_index").alias("rep"), F.count("*").alias("n")))
     return cut(keyed.join(first, "key").select("file_index", "rep", "n"))
 
 
 def _firsts(sets: DataFrame, of: DataFrame) -> DataFrame:
     """Each different set once, under its first file."""
-    return sets.join(of.where("file_index = rep").select("file_index"), "file_index", "left_semi")
-
-
-def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """Each set's rarest members, so many that two sets of the threshold's similarity must share one, with their places.
-
-    Members are 64-bit hashes here. Where two collide, sets meet that share nothing, which is found when they are compared; and
-    sets that share enough meet all the same, since colliding members have one place in the order."""
-    members = sets.select("file_index", F.size("sh").alias("n"), F.explode("sh").alias("s")).select("file_index", "n", F.xxhash64("s").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("file_index").orderBy("df", "s"))
-    ranked = members.join(frequency, "s").withColumn("r", rank)
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("file_index", "n", "s", "r")
+    return _hashed(sets).select("file_index", "sh").join(of.where("file_index = rep").select("file_index"), "file_index", "left_semi")
 
 
 def different_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
-    """``i, j, jaccard`` of all pairs at or above the threshold, exactly, of sets that don't repeat within a side. ``same``: one
-    table against itself, i < j.
-
-    Only rare shingles take part in the join (a lossless filter). A candidate is dropped in the join if the sizes, or what is left
-    of both sets after the place of the shared shingle, rule the threshold out; what remains is verified on the whole sets."""
-    tables = left if same else left.unionByName(right)
-    frequency = tables.select(F.explode("sh").alias("s")).select(F.xxhash64("s").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    a = _prefixes(left, frequency, threshold).toDF("i", "ni", "s", "ri")
-    b = a.toDF("j", "nj", "s", "rj") if same else _prefixes(right, frequency, threshold).toDF("j", "nj", "s", "rj")
+    """``i, j, jaccard`` of all pairs at or above the threshold, exactly, of sets of numbers that don't repeat within a side.
+    ``same``: one table against itself, i < j.
+
+    Only rare members take part in the join (a lossless filter, worked out without a shuffle). A candidate is dropped in the
+    join if the sizes, or what is left of both sets after the place of the shared member, rule the threshold out; what remains
+    is verified on the whole sets, of which only those with a candidate are sent."""
+    counts = kernels.bucket_counts(left)
+    if not same:
+        counts = counts + kernels.bucket_counts(right)
+    a = kernels.prefixes(left, counts, threshold).toDF("i", "ni", "s", "ri")
+    b = (kernels.prefixes(left, counts, threshold) if same else kernels.prefixes(right, counts, threshold)).toDF("j", "nj", "s", "rj")
     near = F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold - 1e-9
     needed = (F.col("ni") + F.col("nj")) * (threshold / (1 + threshold)) - 1e-9
     left_over = F.least(F.col("ni") - F.col("ri"), F.col("nj") - F.col("rj")) + 1 >= needed
-    candidates = a.join(b, "s").where(near & left_over & ((F.col("i") < F.col("j")) if same else F.lit(True))).select("i", "j").distinct()
+    candidates = cut(a.join(b, "s").where(near & left_over & ((F.col("i") < F.col("j")) if same else F.lit(True))).select("i", "j").distinct())
     x, y = left.select(F.col("file_index").alias("i"), F.col("sh").alias("a")), right.select(F.col("file_index").alias("j"), F.col("sh").alias("b"))
+    x, y = x.join(candidates.select("i"), "i", "left_semi"), y.join(candidates.select("j"), "j", "left_semi")
     out = candidates.join(x, "i").join(y, "j").select("i", "j", jaccard(F.col("a"), F.col("b")).alias("jaccard"))
     return out.where(F.col("jaccard") >= threshold)
 

@@ -41,7 +41,7 @@ class Scan:
 
     @cached_property
     def sets(self) -> DataFrame:
-        """Cut once: every join below reads them, some of them several times."""
+        """Numbers for shingles, cut once: every join below reads them, some of them several times."""
         return cut(similarity.with_shingles(self.files, self.config))
 
     @cached_property

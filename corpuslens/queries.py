@@ -234,8 +234,8 @@ matches AS (SELECT i AS file_index, CASE WHEN s >= 0.9 THEN 'redundant' WHEN s >
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Shingle sets of the odd (target) and the even (baseline) collections."""
     files, odd = _scan(spark, sf_dir).files, F.substring("marketplace", 4, 9).cast("int") % 2 == 1
-    sets = cut(similarity.with_shingles(files).join(files.select("file_index", odd.alias("odd")), "file_index"))
-    return sets.where("odd").drop("odd"), sets.where("not odd").drop("odd")
+    target, base = (cut(similarity.with_shingles(files.where(side))) for side in (odd, ~odd))
+    return target, base
 
 
 @_query(_SIDES + "SELECT * FROM matches")
@@ -259,9 +259,9 @@ _WARNED = """list_filter([CASE WHEN t = 0 THEN 'no files' END, CASE WHEN t > 0 A
 def compare_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One collection against all others, with the number of known clusters told from outside."""
     files, mine = _scan(spark, sf_dir).files, F.col("marketplace") == "src1"
-    sets = cut(similarity.with_shingles(files).join(files.select("file_index", mine.alias("mine")), "file_index"))
-    known = similarity.similar_pairs(sets.drop("mine")).count() + 1000
-    matches = compare.best_matches(sets.where("not mine").drop("mine"), sets.where("mine").drop("mine"))
+    base, target = (cut(similarity.with_shingles(files.where(side))) for side in (mine, ~mine))
+    known = similarity.similar_pairs(base.unionByName(target)).count() + 1000
+    matches = compare.best_matches(target, base)
     return compare.totals(matches, known).select("total", "novel", "partial", "redundant", "confidence", "warnings")
 
 

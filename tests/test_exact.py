@@ -1,10 +1,14 @@
 """Exact pairs, clusters and means over equal and nearly equal sets, against plain Python."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.config import DEFAULT
+from corpuslens.functions import kernels
+from corpuslens.functions import text as T
 from corpuslens.operators import blocks, clustering, compare, similarity
 from corpuslens.plans.scan import Scan
 
@@ -75,3 +79,32 @@ def test_scaffolds_are_internal(spark):
     rows = [(i, f"m{i % 2}", "p", "x.md", text) for i in range(8)]
     frame = spark.createDataFrame(rows, "file_index long, marketplace string, plugin string, relative_path string, content string")
     assert Scan(frame).clusters().first().type == "cross-marketplace" and Scan(frame, banded=True).clusters().first().type == "cross-marketplace"
+
+
+def test_numbers_stand_for_shingles(spark):
+    """As many numbers as shingles, shared as shingles are; equal sets have equal keys, whatever the texts."""
+    texts = ["a b c d", "d c b a", "a  B c, d", "a b c d a b c d", "one", "one two", "two one", "--", "-- -", "é", "", "   ", None, "a b c x y z" * 300, "ÀÉ b c d İ"]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_index long, content string")
+    config = replace(DEFAULT, min_chars=0)
+    got = {r.file_index: (set(r.sh), r.key) for r in kernels.hashed_sets(files, config).collect()}
+    want = {r.file_index: set(r.sh) for r in files.where("content is not null").select("file_index", T.shingles(F.col("content")).alias("sh")).collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert len(got[i][0]) == len(want[i])
+        for j in want:
+            assert len(got[i][0] & got[j][0]) == len(want[i] & want[j]) and (got[i][1] == got[j][1]) == (want[i] == want[j])
+    assert kernels.hashed_sets(files.where("false"), config).count() == 0
+
+
+def test_prefixes_lose_nothing(spark):
+    """Any two sets of the threshold's similarity share a prefix member; a member of all sets comes last."""
+    rows = [(i, [7, *(100 * (i // 5) + k for k in range(20)), 5000 + i]) for i in range(60)]
+    sets = spark.createDataFrame([*rows, (99, [])], "file_index long, sh array<long>").repartition(3)
+    counts = kernels.bucket_counts(sets)
+    assert counts.sum() == sum(len(s) for _, s in rows)
+    found = {}
+    for r in kernels.prefixes(sets, counts, 0.7).collect():
+        found.setdefault(r.file_index, set()).add(r.s)
+    own = {i: set(s) for i, s in rows}
+    assert all(found[i] & found[j] for i in own for j in own if similarity_of(own[i], own[j]) >= 0.7)
+    assert not any(7 in s for s in found.values())
