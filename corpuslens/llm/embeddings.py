@@ -6,8 +6,12 @@ pivots that two vectors share are counted, over the whole heads, and pairs with
 with a candidate are then sent, once for each list where they have one, and pairs are verified by their cosine in double
 precision. A pair is looked at in one list alone, that of the least pivot among the first few of both.
 
-Pivots are random directions from a fixed seed, so no sample is fitted and every vector is indexed. Equal vectors are one
-entry, so groups of copies meet nobody twice. Long lists are searched in blocks, every two blocks in a task of their own;
+Pivots are points of the data, after what all vectors have in common is taken off (the mean direction, over all of them): a
+sample of at most SAMPLE distinct vectors, those with the smallest hashes, without points close to an earlier one; where they
+are fewer than the index wants, random directions from a fixed seed fill it up. Every vector is indexed. Taking the mean off
+turns a pair at the bound further apart, by as much as the mean is long, and the index is wider for that. Since the index
+follows the number of vectors and their mean, a link at the edge of its recall may come or go as rows are added. Equal
+vectors are one entry, so groups of copies meet nobody twice. Long lists are searched in blocks, every two blocks in a task of their own;
 pairs are counted where they meet and never written out.
 """
 
@@ -28,13 +32,94 @@ from .components import connected_components
 COSINE = 0.9
 #: A longer inverted list is cut into blocks.
 BLOCK = 2_048
+#: Vectors of which pivots are made, the cosine from which one of two of them goes, the lengths of vectors that have a mean, and
+#: the least cosine that a pair at the bound may be left with.
+SAMPLE, CLOSE, LENGTHS, LEFT = 4_096, 0.7, 16, 0.5
+#: A component of a unit vector as a whole number, so that sums don't depend on their order.
+SCALE = 1 << 28
 
 
-def index_shape(n: int) -> tuple[int, int, int, int]:
+def index_shape(n: int, left: float = COSINE) -> tuple[int, int, int, int]:
     """For n distinct vectors: pivots, the pivots that describe a vector, the first of them whose lists it is in, and how many
-    two candidates must share. Pivots grow as the root of n, without an end, and with them the other two."""
+    two candidates must share. Pivots grow as the root of n, without an end, and with them the other two. ``left``: the cosine
+    of a pair at the bound once the mean is taken off; the index widens as it falls."""
     more = max(0, (4 * int(n**0.5)).bit_length() - 10)
-    return max(256, 1 << (4 * int(n**0.5)).bit_length()), 16 + 2 * more, 6 + more, 5
+    wide = max(1.0, 0.9 / left) ** 2.3
+    pivots = max(256, 1 << (4 * int(n**0.5)).bit_length()) << int(np.ceil(np.log2(wide) - 0.25))
+    return pivots, int(np.ceil((16 + 2 * more) * wide)), int(np.ceil((6 + more) * wide)), 5
+
+
+def off_mean(mean: np.ndarray, cosine: float) -> tuple[np.ndarray, float]:
+    """What is taken off the unit vectors with that mean, and the cosine of a pair at the bound afterwards. The whole mean goes
+    if that cosine stays at LEFT or more, else a part of it: where all vectors are alike, hardly any."""
+    c = float(mean @ mean)
+    if c < 1e-4:
+        return np.zeros_like(mean), cosine
+    if c > 1 - 1e-6:
+        return np.zeros_like(mean), cosine
+    stays = max(0.0, (LEFT * (1 - c) - (cosine - c)) / (1 - LEFT))
+    share = 1 - min(1.0, (stays / c) ** 0.5)
+    rest = (1 - share) ** 2 * c
+    return share * mean, min(cosine, (rest + cosine - c) / (rest + 1 - c))
+
+
+def taken_off(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit vectors without the mean, at unit length; those of which nothing is left stay as they are."""
+    y = x - mean
+    size = np.sqrt((y * y).sum(axis=1, keepdims=True))
+    return np.where(size > 1e-9, y / np.maximum(size, 1e-9), x)
+
+
+def apart(points: np.ndarray) -> np.ndarray:
+    """The unit points that are not close to an earlier one that stays."""
+    near = points @ points.T >= CLOSE
+    kept: list[int] = []
+    gone = np.zeros(len(points), bool)
+    for i in range(len(points)):
+        if not gone[i]:
+            kept.append(i)
+            gone |= near[i]
+    return points[kept]
+
+
+def _means(kind: str):
+    """``d, at, s, n``: by length of vectors the sums of their units' components, as whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        width = np.dtype(kind).itemsize
+        for batch in batches:
+            raw = batch.column("vector").to_pylist()
+            sizes = np.array([len(r) // width for r in raw], np.int64)
+            for d in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == d).tolist()
+                for i in range(0, len(own), 256):
+                    part = np.rint(_unit([raw[j] for j in own[i : i + 256]], kind) * SCALE).astype(np.int64).sum(axis=0)
+                    sums[d] = sums.get(d, 0) + part
+                counts[d] = counts.get(d, 0) + len(own)
+        for d, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d)), pa.array(np.arange(d)), pa.array(s), pa.array(np.full(d, counts[d]))], ["d", "at", "s", "n"])
+
+    return run
+
+
+def reference_points(nodes: DataFrame, cosine: float, kind: str) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], float]:
+    """By length of vectors what is taken off them and the sample's points, for the LENGTHS most frequent ones; and the least
+    cosine of a pair at the bound afterwards. nodes: ``node, vector``. The driver gets SAMPLE vectors and a row a component."""
+    sums = nodes.select("vector").mapInArrow(_means(kind), "d long, at long, s long, n long").groupBy("d", "at").agg(F.sum(F.col("s").cast("decimal(38,0)")).cast("double").alias("s"), F.sum("n").alias("n"))
+    most = sums.where("at = 0").orderBy(F.desc("n"), "d").limit(LENGTHS).select("d")
+    found: dict[int, dict[int, float]] = {}
+    for r in sums.join(most, "d", "left_semi").collect():
+        found.setdefault(r.d, {})[r.at] = r.s / SCALE / r.n
+    sample = nodes.select("vector", F.xxhash64("node").alias("h"), "node").orderBy("h", "node").limit(SAMPLE).select("vector").collect()
+    out, left = {}, cosine
+    for d, mean in found.items():
+        off, after = off_mean(np.array([mean[i] for i in range(d)]), cosine)
+        own = [bytes(r.vector) for r in sample if len(r.vector) == d * np.dtype(kind).itemsize]
+        points = apart(taken_off(_unit(own, kind), off)) if own else np.empty((0, d))
+        out[d], left = (off, points), min(left, after)
+    return out, left
 
 
 def _vectors(kind: str):
@@ -74,11 +159,12 @@ def permutations(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     return np.take_along_axis(some, np.lexsort((some, -np.take_along_axis(close, some, axis=1)), axis=1), axis=1)
 
 
-def _described(pivots: int, near: int, first: int, seed: int, kind: str):
-    """``id, copies, head, lists``: the nearest pivots of each vector as 32-bit numbers, and the lists that it is in."""
+def _described(points, pivots: int, near: int, first: int, seed: int, kind: str):  # noqa: ANN001
+    """``id, copies, head, lists``: the nearest pivots of each vector as 32-bit numbers, and the lists that it is in. points:
+    a broadcast of :func:`reference_points`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         width = np.dtype(kind).itemsize
         for batch in batches:
             raw = batch.column("vector").to_pylist()
@@ -87,10 +173,13 @@ def _described(pivots: int, near: int, first: int, seed: int, kind: str):
             lists = np.zeros((len(raw), first), np.int64)
             for d in np.unique(sizes).tolist():
                 if d not in known:
-                    known[d] = directions(pivots, d, seed)
+                    off, own = points.value.get(d, (np.zeros(d), np.empty((0, d))))
+                    own = own[:pivots]
+                    known[d] = off, np.concatenate([own, directions(pivots - len(own), d, seed)])
                 at = np.flatnonzero(sizes == d).tolist()
                 for i in range(0, len(at), 256):
-                    order = permutations(_unit([raw[j] for j in at[i : i + 256]], kind), known[d], near).astype("<u4")
+                    off, of = known[d]
+                    order = permutations(taken_off(_unit([raw[j] for j in at[i : i + 256]], kind), off), of, near).astype("<u4")
                     for j, head in zip(at[i : i + 256], order, strict=True):
                         heads[j] = head.tobytes()
                         lists[j] = d * pivots + head[:first].astype(np.int64)
@@ -177,8 +266,10 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, seed: int = 3, shape:
     # One vector of each group of copies; numbers are given once, when the table is written.
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    pivots, near, first, enough = shape or index_shape(nodes.count())
-    heads = nodes.select("id", "copies", "vector").mapInArrow(_described(pivots, near, first, seed, kind), "id long, copies long, head binary, lists array<long>")
+    points, left = reference_points(nodes, cosine, kind)
+    pivots, near, first, enough = shape or index_shape(nodes.count(), left)
+    points = df.sparkSession.sparkContext.broadcast(points)
+    heads = nodes.select("id", "copies", "vector").mapInArrow(_described(points, pivots, near, first, seed, kind), "id long, copies long, head binary, lists array<long>")
     heads = written(heads, "heads")
     postings = heads.select("id", "head", F.explode("lists").alias("key"))
     wanted = dealt(postings, F.ceil(F.count("*") / BLOCK)).mapInArrow(_counted(pivots, near, first, enough), "key long, id long")

@@ -412,6 +412,50 @@ def test_embedding_recall_by_shape(n, d):
         assert (chance.sum() - len(a)) / len(a) ** 2 < 1e-4
 
 
+@pytest.mark.parametrize(("c", "most"), [(0.0, 0.05), (0.2, 0.06), (0.5, 0.05), (0.8, 0.2)])
+def test_embedding_recall_off_centre(c, most):
+    """Vectors with a median cosine of c: pairs at 0.9, away in any direction or along their kind's, that an index of 50,000 finds,
+    and pairs that share a list as a share of all pairs."""
+    d, n = 384, 700
+    rng, mu = np.random.default_rng(8), np.zeros(384)
+    mu[0] = c**0.5
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    draw = lambda k: unit(mu + (1 - c) ** 0.5 * unit(rng.normal(size=(k, d))))
+    off, left = embeddings.off_mean(draw(20_000).mean(0), 0.9)
+    pivots, near, first, enough = embeddings.index_shape(50_000, left)
+    points = embeddings.apart(embeddings.taken_off(draw(embeddings.SAMPLE), off))[:pivots]
+    g = np.concatenate([points, embeddings.directions(pivots - len(points), d, 3)])
+    x, r, away = draw(n), rng.normal(size=(n, d)), rng.normal(size=(n, d))
+    r -= (r * x).sum(1, keepdims=True) * x
+    own = unit(x - mu)
+    away[:, 0] = 0
+    away -= (away * own).sum(1, keepdims=True) * own
+    rho = (0.9 - c) / (1 - c)
+    a = embeddings.permutations(embeddings.taken_off(x, off), g, near)
+    for y in (0.9 * x + 0.19**0.5 * unit(r), unit(mu + (1 - c) ** 0.5 * (rho * own + (1 - rho * rho) ** 0.5 * unit(away)))):
+        b = embeddings.permutations(embeddings.taken_off(y, off), g, near)
+        found = [len(set(p) & set(q)) >= enough and bool(set(p[:first]) & set(q[:first])) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+        assert np.mean(found) >= 0.9
+    assert (np.bincount(a[:, :first].ravel()).astype(float) ** 2).sum() / n**2 < most
+
+
+@pytest.mark.parametrize("c", [0.6, 0.97])
+def test_embeddings_off_centre_table(spark, c):
+    """A common direction in all vectors, planted near copies, vectors of other lengths, one vector that is the mean: by brute force."""
+    rng, mu = np.random.default_rng(9), np.zeros(64)
+    mu[0] = c**0.5
+    x = rng.normal(size=(1200, 64))
+    x = mu + (1 - c) ** 0.5 * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:200] + rng.normal(size=(200, 64)) * 0.03, mu[None], -mu[None]]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000 + i, [1.0] * (i % 20 + 1)) for i in range(40)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect()}
+    links = np.array([got[i] for i in range(len(x))])
+    assert (links <= true).all() and links.sum() >= 0.9 * true.sum() and len(got) == len(rows)
+    assert all(got[5000 + i] == 1 for i in range(40))
+
+
 def test_embeddings_of_a_planted_table(spark):
     """Large groups of near copies and of copies among unlike vectors, against brute force, in few and in many blocks."""
     rng = np.random.default_rng(12)
