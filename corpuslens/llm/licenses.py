@@ -6,6 +6,9 @@ regression over the pairs and triples of licence notices tells families and an u
 on rows held out from training; and a prediction counts only if the window holds enough of one of the family's notices and
 the whole name of the licence, where the notice has one: a notice of a licence that differs by a word of its name is unknown.
 
+Some notices stand in several licences. Which one is read from what follows: the version number of the GNU licences and
+whether a later one may be chosen, within AHEAD words; the clauses of BSD licences in the whole text.
+
 Texts without any key word are not looked at further. Key words are chosen so that a window without one can't hold enough of
 any notice, so nothing is lost.
 """
@@ -27,11 +30,12 @@ from .common import written
 NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License"],
     "lgpl": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "This work is licensed under the GNU Lesser General Public License."],
     "agpl": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "This work is licensed under the GNU Affero General Public License."],
     "bsd-2-clause": ["Licensed under the BSD 2-Clause License."],
-    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd-3-clause": ["Licensed under the BSD 3-Clause License."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
@@ -48,6 +52,11 @@ NAMES = [
     "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License",
 ]
 UNKNOWN = "unknown"
+#: Families whose licences are told apart by a version number, and how many words after a notice it stands at most.
+VERSIONED, AHEAD = ("gpl", "lgpl", "agpl"), 24
+#: The clauses that tell BSD licences apart (fixed values), and the lines near another licence's notice in which "All rights
+#: reserved." belongs to that licence.
+BINARY, ENDORSE, NEAR = "redistributions in binary form", "neither the names? of", 40
 #: Different corpus windows that stand for the unknown class in training (those with the smallest hashes), the share of a
 #: notice that a window must hold, and words of a notice below which it must begin a sentence.
 SAMPLE, CONFIRM, SHORT = 1_000, 0.7, 5
@@ -131,21 +140,23 @@ class Finder:
         return F.exists(F.array(F.lower(text)), lambda x: reduce(lambda a, b: a | b, [*(F.contains(x, F.lit(k)) for k in self.keys if len(k) > 4), *(F.rlike(x, F.lit(p)) for p in self.pairs)]))
 
     def windows(self, docs: DataFrame) -> DataFrame:
-        """``id, doc_id, paragraph, at, words`` (with their lines) of all windows with a key word. ``id``: of the row."""
+        """``id, doc_id, clauses, paragraph, at, words`` (with their lines), ``after`` (words that follow) of all windows with a key
+        word. ``id``: of the row."""
+        clauses = [F.rlike("text", F.lit("(?i)" + c.replace(" ", r"[^\p{L}\p{N}]+"))).alias(n) for c, n in ((BINARY, "binary"), (ENDORSE, "endorse"))]
         rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("id")).where(self.has_key(F.col("text")))
         numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(_NUMBER), x)), "\n")
         blank = rf"(?:^|\n)\d+{_NUMBER}[^\p{{L}}\p{{N}}\n]*(?=\n|\z)"
-        rows = rows.select("id", "doc_id", F.posexplode(F.split(numbered, blank)).alias("paragraph", "part")).where(self.has_key(F.col("part")))
+        rows = rows.select("id", "doc_id", F.struct(*clauses).alias("clauses"), F.posexplode(F.split(numbered, blank)).alias("paragraph", "part")).where(self.has_key(F.col("part")))
 
         split = F.filter(F.split("part", "\n"), lambda x: x != "")
         plain = F.transform(split, lambda x: F.struct(F.substring_index(x, _NUMBER, 1).cast("long").alias("n"), F.regexp_replace(x, rf"^\d+{_NUMBER}", "").alias("text")))
         lines = F.transform(plain, lambda x: F.struct(x.n.alias("n"), words_of(x.text).alias("words"), F.rlike(x.text, F.lit(self.begins)).alias("ok")))
         words = F.flatten(F.transform(lines, lambda x: F.transform(x.words, lambda w: F.struct(w.alias("w"), x.n.alias("n"), x.ok.alias("ok")))))
-        rows = rows.select("id", "doc_id", "paragraph", _once(words, "all"))
+        rows = rows.select("id", "doc_id", "clauses", "paragraph", _once(words, "all"))
         last = F.greatest(F.lit(0), F.ceil(F.size("all") / self.reach) - 2)
-        parts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("at"), F.slice("all", (i * self.reach + 1).cast("int"), F.lit(2 * self.reach)).alias("words")))
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("at"), F.slice("all", (i * self.reach + 1).cast("int"), F.lit(2 * self.reach)).alias("words"), F.transform(F.slice("all", ((i + 2) * self.reach + 1).cast("int"), F.lit(self.reach + AHEAD)), lambda x: x.w).alias("after")))
         parts = F.filter(parts, lambda x: F.exists(x.words, lambda y: y.w.isin(self.keys)))
-        return rows.select("id", "doc_id", "paragraph", F.explode(parts).alias("x")).select("id", "doc_id", "paragraph", "x.at", "x.words")
+        return rows.select("id", "doc_id", "clauses", "paragraph", F.explode(parts).alias("x")).select("id", "doc_id", "clauses", "paragraph", "x.at", "x.words", "x.after")
 
     def with_grams(self, rows: DataFrame) -> DataFrame:
         known = F.array_intersect(_grams(F.col("words.w")), _listed(self.vocabulary))
@@ -207,13 +218,26 @@ def training_rows(docs: DataFrame, finder: Finder, sample: int = SAMPLE) -> Data
     return given.unionByName(corpus.withColumn("family", F.lit(UNKNOWN))).select("family", "grams", (F.pmod("h", F.lit(5)) == 0).alias("held"))
 
 
+def member(family: Column, following: Column, clauses: Column) -> Column:
+    """The licence of a family by the words from its notice on and by its text's clauses; without a version, or without
+    clauses, the family alone."""
+    number = r"(?:^| )(?:version|v) ?([0-9])(?: ([0-9])(?: |$))?"
+    major, minor = F.regexp_extract(following, number, 1), F.regexp_extract(following, number, 2)
+    later = F.when(F.rlike(following, F.lit(r"(?:any|or) later")), "-or-later").otherwise("")
+    version = F.when(major == "", "").otherwise(F.concat(F.lit("-"), major, F.lit("."), F.when(minor == "", "0").otherwise(minor), later))
+    bsd = F.when(clauses["endorse"], "bsd-3-clause").when(clauses["binary"], "bsd-2-clause").otherwise("bsd")
+    return F.when(family.isin(*VERSIONED), F.concat(family, version)).when(family == "bsd", bsd).otherwise(family)
+
+
 def scan(docs: DataFrame, sample: int = SAMPLE, families: dict[str, list[str]] | None = None) -> DataFrame:
     """``doc_id, paragraph, family, probability, similarity`` of each licence notice in ``docs`` (``doc_id, text``; other
     columns play no part).
 
     paragraph: the number of the line where the notice begins, from 0; probability: the family's, above the calibrated bound;
     similarity: the share of the notice's pairs and triples that stand there, at least CONFIRM, its name whole. A notice of
-    fewer than SHORT words must begin a line or a sentence. Several notices on one line have a row for each family. Null,
+    fewer than SHORT words must begin a line or a sentence. family: of GNU licences with the version that follows (``gpl-2.0``,
+    ``lgpl-2.1-or-later``), without one ``gpl``; a BSD text with its third clause ``bsd-3-clause``, with the second alone
+    ``bsd-2-clause``, with neither ``bsd``; ``proprietary`` only where no other notice is within NEAR lines. Several notices on one line have a row for each family. Null,
     empty and blank texts have no paragraphs; texts of any length count whole; repeated rows give repeated results; null ids
     stay. A table without text trains on the notices alone.
     """
@@ -228,15 +252,20 @@ def scan(docs: DataFrame, sample: int = SAMPLE, families: dict[str, list[str]] |
         worse = reduce(lambda a, b: a | b, more, F.lit(False))
         fits = (F.get("shares", F.lit(i)) >= CONFIRM) & ~worse
         cases.append(F.when(fits, F.struct(F.lit(i).alias("notice"), F.lit(n.family).alias("family"), F.lit(len(n.words)).alias("length"), F.get("shares", F.lit(i)).alias("similarity"), own.alias("own"), _listed(n.grams).alias("whole"))))
-    rows = rows.select("id", "doc_id", "paragraph", "at", "words", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("c"))
+    rows = rows.select("id", "doc_id", "clauses", "paragraph", "at", "words", "after", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("c"))
     pair = lambda i: F.concat_ws(" ", F.element_at("words.w", i), F.element_at("words.w", i + 1))
     first = F.array_min(F.filter(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.array_contains(F.col("c.whole"), pair(i))))
-    rows = rows.select("*", _once(first, "first")).select("id", "doc_id", "paragraph", "at", "c.*", "first", F.element_at("words", F.col("first")).alias("word"))
+    rows = rows.select("*", _once(first, "first"))
+    following = F.array_join(F.slice(F.concat("words.w", "after"), F.col("first"), F.col("c.length") + AHEAD), " ")
+    rows = rows.select("id", "doc_id", "clauses", "paragraph", "at", "c.*", "first", F.element_at("words", F.col("first")).alias("word"), following.alias("following"))
     rows = rows.where((F.col("length") >= SHORT) | F.col("word.ok")).withColumnRenamed("own", "grams")
     found = model.predict(rows).where((F.col("guess") == F.col("family")) & (F.col("probability") > model.bound))
     # A notice at the end of a window stands at the beginning of the next one too.
     place = F.col("at") * finder.reach + F.col("first")
     before = F.lag(place).over(Window.partitionBy("id", "paragraph", "notice").orderBy("at"))
     found = found.withColumn("same", F.coalesce(place - before < F.col("length"), F.lit(False))).where("not same")
+    found = found.withColumn("family", member(F.col("family"), F.col("following"), F.col("clauses")))
     found = found.groupBy("id", "doc_id", F.col("word.n").alias("line"), "family").agg(F.max("probability").alias("probability"), F.round(F.max("similarity"), 6).alias("similarity"))
+    others = F.count_if(F.col("family") != "proprietary").over(Window.partitionBy("id").orderBy("line").rangeBetween(-NEAR, NEAR))
+    found = found.withColumn("others", others).where("family != 'proprietary' or others = 0")
     return found.select("doc_id", F.col("line").alias("paragraph"), "family", "probability", "similarity")

@@ -336,8 +336,33 @@ def test_token_counts(spark, odd, sf_dir):
         assert got.where("crossing > tokens or crossing < 0").count() == 0
 
 
+def licence(family, text):
+    return family + "-3.0" * (family == "gpl" and "version 3" in text)
+
+
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+BSD = "Copyright (c) 2024, A. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n 1. Redistributions of source code must retain the above copyright notice.\n\n"
+BSD_2, BSD_3 = " 2. Redistributions in binary form must reproduce the above copyright notice.\n", "\n 3. Neither the name of the copyright holder nor\n the names of its contributors may be used.\n"
+
+
+def test_licences_of_one_family(spark):
+    """None of these texts is in training: what follows a notice tells the licence."""
+    cases = [
+        (GPL.format("General", 2), {"gpl-2.0-or-later"}), (GPL.format("General", 3), {"gpl-3.0-or-later"}), (GPL.format("Lesser General", "2.1"), {"lgpl-2.1-or-later"}),
+        (GPL.format("Lesser General", 3), {"lgpl-3.0-or-later"}), (GPL.format("Affero General", 3), {"agpl-3.0-or-later"}),
+        (f"{'word ' * 31}{GPL.format('General', 2)}", {"gpl-2.0-or-later"}), (f"{'word ' * 17}\n# {GPL.format('General', 2)}".replace(" the ", " the\n# "), {"gpl-2.0-or-later"}),
+        (GPL.split(" as published")[0].format("General") + ".", {"gpl"}), ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2.0"}),
+        (BSD, {"bsd"}), (BSD + BSD_2, {"bsd-2-clause"}), (BSD + BSD_2 + BSD_3, {"bsd-3-clause"}), ("Copyright (c) 2024, A.\nAll rights reserved.", {"proprietary"}),
+        ("Released under the MIT License." + "\nline" * 60 + "\nAll rights reserved.", {"mit", "proprietary"}), (BSD + "\nline" * 60 + "\n" + GPL.format("General", 2), {"bsd", "gpl-2.0-or-later"}),
+    ]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert got == {i: f for i, (_, f) in enumerate(cases)}
+
+
 def test_licenses(spark):
-    notices = [(f, t) for f, texts in licenses.NOTICES.items() for t in texts]
+    notices = [(licence(f, t), t) for f, texts in licenses.NOTICES.items() for t in texts]
     prose = ["the quick brown fox under the terms of the hill", "all rights were lost", "version 2.0 of the plan", None, "", "MIT is a university."]
     docs = [(i, f"Some words here.\n{t}\nMore of the text.") for i, (_, t) in enumerate(notices)] + [(100 + i, t) for i, t in enumerate(prose)]
     got = {(r.doc_id, r.paragraph): r.family for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -561,7 +586,7 @@ def test_licenses_by_brute_force(spark):
     for f, texts in licenses.NOTICES.items():
         for t in texts:
             docs.append((len(docs), f"{prose(400)}\n{prose(5)}. {t} {prose(7)}\n\n{prose(30)}"))
-            want.add((len(docs) - 1, 1, f))
+            want.add((len(docs) - 1, 1, licence(f, t)))
             if len(t.split()) > 12:
                 edited = t.split()
                 edited[1] = "edited"
@@ -674,7 +699,7 @@ def test_licenses_wrapped_over_lines(spark):
             for f, t in notices:
                 lines = textwrap.wrap(t, width)
                 if max(len(x.split()) for x in lines) < 0.6 * len(t.split()):
-                    want.add((len(docs), 2, f))
+                    want.add((len(docs), 2, licence(f, t)))
                     docs.append((len(docs), "\n".join(mark + x for x in ["Some words here", "and one more line.", *lines, "More of the text."])))
     docs += [(900, "under the terms of\nthe hill\n\nthe GNU General\n\nPublic License"), (901, "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software and associated documentation files"), (902, None)]
     got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
