@@ -19,9 +19,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, the one with the smallest doc_id; of
-    equal ids one row; rows without an id stay. Null and empty texts are a group; an empty table stays empty."""
-    return simhash.keep_dissimilar(docs)
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id: those that op4's SimHash fingerprints link,
+    and those of an exact similarity of 0.8 (five-word shingles). Of equal ids one row; rows without an id stay. Texts without a
+    word, null and empty ones too, are a group; an empty table stays empty."""
+    return simhash.keep_unlike(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
