@@ -36,3 +36,18 @@ def test_sets_are_not_written(spark):
     assert "MapInArrow" in scan.sets._jdf.queryExecution().optimizedPlan().toString()
     pairs = clustering.member_pairs(scan.members, scan.sets, scan.of).collect()
     assert len(pairs) == 9 and all(r.similarity == 1.0 and r.file1_index % 3 == r.file2_index % 3 for r in pairs)
+
+
+def test_clusters_write_no_row_for_a_link(spark, monkeypatch):
+    """A group of near copies is linked each with each; clusters take the links as lists, a row for a set and part."""
+    rows = [(k, [f"w{x}" for x in range(40)] + [f"own{k}"]) for k in range(30)] + [(k, [f"v{k}"]) for k in (50, 51)] + [(60, ["v50"])]
+    sets = spark.createDataFrame(rows, "file_index long, sh array<string>").repartition(3)
+    of = similarity.collapsed(sets)
+    links = similarity.class_links(sets, of, 0.7)
+    got = {r.a: sorted(r.near) for r in links.collect()}
+    assert links.count() == 30 and got == {a: [b for b in range(30) if b != a] for a in range(30)}
+    monkeypatch.setattr(packed, "PART", 3)
+    apart = clustering.linked(similarity.class_edges(sets, of, 0.7))
+    assert apart.count() == 30 * 4 and {(r.a, b) for r in apart.collect() for b in r.near} == {(a, b) for a in got for b in got[a]}
+    for found in (clustering.linked_members(links, of), clustering.linked_members(apart, of)):
+        assert sorted((r.cluster_id, r.file_index) for r in found.collect()) == [(0, k) for k in range(30)] + [(1, 50), (1, 60)]
