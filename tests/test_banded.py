@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,18 @@ def test_kept_index_follows_a_stream(spark, tmp_path):
         stream = spark.readStream.schema("file_index long, content string").parquet(source)
         index.follow(stream, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert clusters_of(index) == plain_stars({i: plain_signature(t) for i, t in texts})
+
+
+def test_pairs_of_a_cluster_are_compared_in_blocks(spark, monkeypatch):
+    """Signatures meet once a block, not once a pair; every pair comes once."""
+    monkeypatch.setattr(stars, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    sigs = {i: rng.integers(0, 3, DEFAULT.slots).astype("<u4") for i in range(23)}
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sigs.items()], "file_index long, sig binary")
+    held = {7: range(15), 8: range(10, 23), 9: [3, 20]}
+    clusters = spark.createDataFrame([(c, i) for c, own in held.items() for i in own], "cluster_id long, file_index long").repartition(3)
+    pairs = stars.member_pairs(clusters, frame)
+    assert "MapInArrow" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {(c, i, j): float((sigs[i] == sigs[j]).mean()) for c, own in held.items() for i in own for j in own if i < j}
+    got = pairs.collect()
+    assert len(got) == len(want) and {(r.cluster_id, r.file1_index, r.file2_index): r.similarity for r in got} == want
