@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions import kernels
 from corpuslens.operators import clustering, packed, similarity
 from corpuslens.plans.scan import Scan
 from tests.test_exact import made, similarity_of
@@ -51,3 +52,15 @@ def test_clusters_write_no_row_for_a_link(spark, monkeypatch):
     assert apart.count() == 30 * 4 and {(r.a, b) for r in apart.collect() for b in r.near} == {(a, b) for a in got for b in got[a]}
     for found in (clustering.linked_members(links, of), clustering.linked_members(apart, of)):
         assert sorted((r.cluster_id, r.file_index) for r in found.collect()) == [(0, k) for k in range(30)] + [(1, 50), (1, 60)]
+
+
+def test_sets_and_counters_take_one_pass(spark, monkeypatch):
+    """Files by equal sets and the counters of members come of the same reading of the texts."""
+    rows = made(7)
+    sets = similarity._hashed(spark.createDataFrame(rows, "file_index long, sh array<string>").repartition(3))
+    want = kernels.bucket_counts(sets)
+    monkeypatch.setattr(kernels, "bucket_counts", None)
+    of, counts = similarity.counted(sets)
+    assert (counts == want).all() and counts.sum() == sum(len(set(s)) for _, s in rows if s)
+    assert of.count() == sum(bool(s) for _, s in rows)
+    similarity.similar_pairs(sets, 0.7)
