@@ -64,3 +64,33 @@ def test_sets_and_counters_take_one_pass(spark, monkeypatch):
     assert (counts == want).all() and counts.sum() == sum(len(set(s)) for _, s in rows if s)
     assert of.count() == sum(bool(s) for _, s in rows)
     similarity.similar_pairs(sets, 0.7)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_group_is_sent_once(spark, same):
+    """Each set of a group of near copies goes to one cell with all of its pairs; a pair between groups has a cell too."""
+    left, right = (range(0, 12), range(0, 12)) if same else (range(0, 6), range(3, 12))
+    inside = [(g * 100 + i, g * 100 + j) for g in range(40) for i in left for j in right if i < j or not same]
+    found = spark.createDataFrame(inside, "i long, j long")
+    placed = packed._placed(found, same, 64, 8)
+    cells = packed._cells(placed, same)
+    assert sorted((r.i, r.j) for r in placed.collect()) == sorted(inside)
+    assert cells.count() == 40 * (12 if same else 6 + 9) and cells.select("side", "id").distinct().count() == cells.count()
+    chain = spark.createDataFrame([(k, k + 1) if same else ((k + 1) // 2, k // 2) for k in range(200)], "i long, j long")
+    placed = packed._placed(chain, same, 64, 8)
+    assert placed.count() == 200 and {r.key for r in placed.select("key").distinct().collect()} == {-1, -2}
+    sets = packed._cells(placed, same)
+    at = ["key", "one", "two"]
+    for c, role in (("i", 0), ("j", 1)):
+        there = sets.where(F.col("role").isin(role, 2)).select(*at, F.col("id").alias(c))
+        assert placed.join(there, [*at, c]).count() == 200
+
+
+def test_wanted_texts_alone_are_hashed(spark):
+    """Sets that are read again are made from the wanted texts, in the task that uses them."""
+    files = spark.range(9).select(F.col("id").alias("file_index"), F.concat(F.lit("one two three four "), F.col("id"), F.repeat(F.lit(" x"), 60)).alias("content"))
+    sets = similarity.with_shingles(files)
+    some = kernels.only(sets, files.where("file_index in (2, 5)").select("file_index"))
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = {r.file_index: list(r.sh) for r in sets.collect() if r.file_index in (2, 5)}
+    assert {r.file_index: list(r.sh) for r in some.collect()} == want and len(want) == 2
