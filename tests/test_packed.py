@@ -94,3 +94,11 @@ def test_wanted_texts_alone_are_hashed(spark):
     assert some._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     want = {r.file_index: list(r.sh) for r in sets.collect() if r.file_index in (2, 5)}
     assert {r.file_index: list(r.sh) for r in some.collect()} == want and len(want) == 2
+
+
+def test_pairs_that_are_read_once_are_not_written(spark):
+    """Pairs of clusters are the largest rows there are; where one query reads them, no checkpoint holds them."""
+    files = spark.range(6).select(F.col("id").alias("file_index"), F.lit("m").alias("marketplace"), F.lit("p").alias("plugin"), F.lit("x.md").alias("relative_path"), F.repeat(F.lit("same words here "), 10).alias("content"))
+    pairs = Scan(files).cluster_pairs()
+    assert "Join" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.file1_index, r.file2_index, r.similarity) for r in pairs.collect()) == [(i, j, 1.0) for i in range(6) for j in range(i + 1, 6)]
