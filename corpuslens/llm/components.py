@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, written
 
+#: Edges for each task that writes a round's edges, about, and such tasks at least: a file costs more than some thousand edges do.
+TASK_EDGES, TASKS = 100_000, 16
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
@@ -40,5 +43,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, old = state, now
-        now = written(_small_star(_large_star(old)), "edges")
+        now = written(_small_star(_large_star(old)).coalesce(max(TASKS, -(-state[0] // TASK_EDGES))), "edges")
         drop_written(old)

@@ -273,15 +273,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_unlike(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group that links of :func:`near_duplicates` (SimHash fingerprints that differ in at most
     ``radius`` bits) and those of :func:`keep_dissimilar` (an exact similarity) join: the one with the smallest doc_id; ids as in
-    :func:`keep_one`. A group may need links of both kinds, so all are joined at once."""
+    :func:`keep_one`. A group may need links of both kinds, so all are joined at once: texts of one fingerprint by their least
+    hash, which stands for the fingerprint in its links."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(own.withColumn("h", F.xxhash64("text")).mapInArrow(_fingerprinted, "doc_id long, h long, fingerprint long"), "fingerprints")
-    roots = connected_components(covering_edges(rows.select(F.col("fingerprint").alias("fp")).distinct(), radius))
-    near = rows.select("h", "fingerprint").distinct().join(roots, F.col("fingerprint") == F.col("node"), "left").select("h", F.coalesce("root", "fingerprint").alias("root"))
-    near = written(near, "near")
-    least = written(near.groupBy("root").agg(F.min("h").alias("a")), "least")
-    edges = near.join(least, "root").where("h != a").select("a", F.col("h").alias("b"))
-    roots = connected_components(edges.unionByName(similar_edges(own)))
+    near = rows.select("h", "fingerprint").distinct()
+    least = written(rows.groupBy("fingerprint").agg(F.min("h").alias("least")), "least")
+    edges = near.join(least, "fingerprint").where("h != least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    one, two = (least.select(F.col("fingerprint").alias(x), F.col("least").alias(f"_{x}")) for x in "ab")
+    links = covering_edges(least.select(F.col("fingerprint").alias("fp")), radius).join(one, "a").join(two, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    roots = connected_components(edges.unionByName(links).unionByName(similar_edges(own)))
     rows = rows.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
     return _one_of_each(docs, written(rows, "rooted"))
 
